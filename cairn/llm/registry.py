@@ -1,10 +1,12 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup
 
 QUERIES = {
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLE_SQL = {
+    "op4_decontamination": decontaminate.OP4_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
