@@ -1,8 +1,9 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import decontaminate, exact_dedup, token_records
+from . import bpe_table, decontaminate, exact_dedup, token_records
 
 QUERIES = {
+    "op3_bpe_table": bpe_table.op3_bpe_table,
     "op1_token_records": token_records.op1_token_records,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
