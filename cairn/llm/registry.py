@@ -1,14 +1,16 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import bpe_table, decontaminate, exact_dedup, token_records
+from . import bpe_table, decontaminate, exact_dedup, near_dedup, token_records
 
 QUERIES = {
+    "op7_minhash_dedup": near_dedup.op7_minhash_dedup,
     "op3_bpe_table": bpe_table.op3_bpe_table,
     "op1_token_records": token_records.op1_token_records,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLE_SQL = {
+    "op7_minhash_dedup": near_dedup.OP7_SQL,
     "op4_decontamination": decontaminate.OP4_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
