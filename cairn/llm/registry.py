@@ -1,8 +1,9 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import bpe_table, decontaminate, exact_dedup, near_dedup, token_records
+from . import bpe_table, decontaminate, exact_dedup, near_dedup, token_records, web_archive
 
 QUERIES = {
+    "op6_web_archive": web_archive.op6_web_archive,
     "op7_minhash_dedup": near_dedup.op7_minhash_dedup,
     "op3_bpe_table": bpe_table.op3_bpe_table,
     "op1_token_records": token_records.op1_token_records,
@@ -10,6 +11,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLE_SQL = {
+    "op6_web_archive": web_archive.OP6_SQL,
     "op7_minhash_dedup": near_dedup.OP7_SQL,
     "op4_decontamination": decontaminate.OP4_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
