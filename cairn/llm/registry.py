@@ -1,8 +1,9 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import bpe_table, decontaminate, exact_dedup, near_dedup, token_records, web_archive
+from . import bpe_table, decontaminate, exact_dedup, near_dedup, token_records, toxicity, web_archive
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op6_web_archive": web_archive.op6_web_archive,
     "op7_minhash_dedup": near_dedup.op7_minhash_dedup,
     "op3_bpe_table": bpe_table.op3_bpe_table,
