@@ -1,8 +1,9 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import bpe_table, decontaminate, exact_dedup, near_dedup, token_records, toxicity, web_archive
+from . import bpe_table, decontaminate, exact_dedup, license_scan, near_dedup, token_records, toxicity, web_archive
 
 QUERIES = {
+    "op5_license_scan": license_scan.op5_license_scan,
     "op2_toxicity": toxicity.op2_toxicity,
     "op6_web_archive": web_archive.op6_web_archive,
     "op7_minhash_dedup": near_dedup.op7_minhash_dedup,
@@ -12,6 +13,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLE_SQL = {
+    "op5_license_scan": license_scan.OP5_SQL,
     "op6_web_archive": web_archive.OP6_SQL,
     "op7_minhash_dedup": near_dedup.OP7_SQL,
     "op4_decontamination": decontaminate.OP4_SQL,
