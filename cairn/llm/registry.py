@@ -1,8 +1,9 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import bpe_table, decontaminate, exact_dedup, html_text, license_scan, near_dedup, token_records, toxicity, web_archive
+from . import bpe_table, decontaminate, exact_dedup, html_text, license_scan, line_dedup, near_dedup, token_records, toxicity, web_archive
 
 QUERIES = {
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op10_html_text": html_text.op10_html_text,
     "op5_license_scan": license_scan.op5_license_scan,
     "op2_toxicity": toxicity.op2_toxicity,
