@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._work import read_table, slices, text_or_empty, words_of
@@ -267,22 +267,34 @@ def train(docs: DataFrame, labels: DataFrame, train_toxic: int = 1500, train_cle
     return fit([r.text for r in rows], np.array([bool(r.toxic) for r in rows], bool), (bad or 0) / n if n else 0.0)
 
 
+def score_of(spark: SparkSession, model: Model, text: Column) -> Column:
+    """The score of each text, in slices of a bounded size."""
+    held = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        scores = [held.value.score(held.value.margins(part.column("text"))) for part in slices(iter([batch]), "text")]
+        return pa.array(np.concatenate(scores) if scores else np.zeros(0))
+
+    return run(text_or_empty(text))
+
+
 def toxicity(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 from ``least`` on).
 
     Null and empty texts have no word and get the score of two floor margins. Long texts count whole.
     Null ids are outside the held-out fold; repeated rows get one score each; other columns aren't
     carried and an empty table gives an empty one."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    scored = docs.select("doc_id", held_out().alias("held_out"), score_of(docs.sparkSession, model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= least).cast("int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            score = held.value.score(held.value.margins(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score)], ["doc_id", "held_out", "score"])
 
-    rows = docs.select("doc_id", held_out().alias("held_out"), text_or_empty(F.col("text")).alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= least).cast("int"))
+def without_toxic(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
+    """The rows scored under ``least``, with their columns as they were."""
+    names = docs.columns
+    fresh = "score" + "_" * max([0, *(len(n) for n in names)])
+    return docs.withColumn(fresh, score_of(docs.sparkSession, model, F.col("text"))).filter(F.col(fresh) < least).select(*[f"`{n}`" for n in names])
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
