@@ -34,7 +34,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Rows are whole texts here, so the session's Arrow batches become shorter than the default 10,000 rows:
+    a batch is held on both sides of each Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,10 +74,12 @@ def words_of(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most_bytes`` of text (one row at least), so that memory
-    follows the longest text and not the batch size."""
+    """The same rows in batches of about ``most_bytes`` of text (one row at least; a word of a list counts
+    six bytes), so that memory follows the longest text and not the batch size."""
     for batch in batches:
-        size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        value = batch.column(column)
+        nested = pa.types.is_list(value.type)
+        size = (pc.multiply(pc.list_value_length(value), 6) if nested else pc.binary_length(value)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         at, cut = 0, np.cumsum(size)
         while at < batch.num_rows:
             base = cut[at - 1] if at else 0
