@@ -92,33 +92,33 @@ def _top_k(ids: list, block: np.ndarray, k: int):
                 continue
             m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             size = np.linalg.norm(m, axis=1)
-            tie = batch.column("tie").to_numpy(zero_copy_only=False)
+            names, take = batch.column("node_id"), min(k, len(m))
             for a in range(0, len(block), QUERY_BLOCK):
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    distance = np.round(1 - (block[a : a + QUERY_BLOCK] @ m.T) / (norm[a : a + QUERY_BLOCK, None] * size[None]), PLACES)
-                take = min(k, len(m))
-                for q, row in enumerate(distance):
-                    best = np.lexsort((tie, np.isnan(row), row))[:take] if len(m) <= 4 * take else None
-                    if best is None:
-                        near = np.argpartition(row, take - 1)[:take]
-                        edge = row[near].max()
-                        near = np.flatnonzero((row <= edge) | np.isnan(row) & np.isnan(edge))
-                        best = near[np.lexsort((tie[near], row[near]))][:take]
-                    picked = batch.take(pa.array(best))
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[a + q]] * take, pa.int64()), picked.column("node_id"), pa.array(row[best])], ["query_id", "node_id", "distance"])
+                    distance = np.round(1 - (block[a : a + QUERY_BLOCK] @ m.T) / (norm[a : a + QUERY_BLOCK, None] * size[None]), PLACES) + 0.0
+                key = np.where(np.isnan(distance), np.inf, distance)
+                edge = np.partition(key, take - 1, axis=1)[:, take - 1]
+                for q in range(len(key)):
+                    near = np.flatnonzero(key[q] <= edge[q])
+                    ids_near = names.take(pa.array(near)).to_pylist()
+                    best = sorted(zip(key[q][near].tolist(), ids_near))[:take]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[a + q]] * take, pa.int64()), pa.array([n for _, n in best], pa.string()), pa.array([None if d == np.inf else d for d, _ in best], pa.float64())],
+                        ["query_id", "node_id", "distance"],
+                    )
 
     return run
 
 
 def vector_search(embeddings: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, node_id, distance, rank from 1): exact cosine search of every query against all rows, first k
-    rows of each, then one per node. Null vectors come last and are left out here since they have no
-    distance; zero vectors have none either and sort last. Empty queries and k < 1 give nothing.
+    rows of each, then one per node; ties by id. Null vectors are left out; zero vectors have no distance
+    and come last. Empty queries and k < 1 give nothing.
 
     Query vectors are broadcast in blocks of a bounded size; rows move only as each batch's k best."""
     spark = embeddings.sparkSession
     out = spark.createDataFrame([], "query_id long, node_id string, distance double")
-    rows = embeddings.filter("embedding is not null").select(F.col("node_id").cast("string").alias("node_id"), F.xxhash64("node_id").alias("tie"), "embedding")
+    rows = embeddings.filter("embedding is not null").select(F.col("node_id").cast("string").alias("node_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     asked = queries.filter("embedding is not null and size(embedding) > 0").select("query_id", "embedding")
     if k >= 1:
         block: list = []
@@ -132,7 +132,7 @@ def vector_search(embeddings: DataFrame, queries: DataFrame, k: int = 10) -> Dat
                 out, block = out.unionByName(search(block)), []
         if block:
             out = out.unionByName(search(block))
-    order = [F.col("distance").asc_nulls_last(), F.xxhash64("node_id"), F.col("node_id")]
+    order = [F.col("distance").asc_nulls_last(), F.col("node_id")]
     first = out.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("r") <= k)
     once = first.groupBy("query_id", "node_id").agg(F.min("r").alias("r"), F.min("distance").alias("distance"))
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("r"))).select("query_id", "node_id", "distance", "rank")
