@@ -217,7 +217,7 @@ def _machine(words: pa.StringArray, positive: np.ndarray, weight: np.ndarray, ne
             np.add.at(rows, (np.repeat(np.arange(len(first)), key.shape[1]), key.ravel()), w)
         return (rows[:, used] @ basis.T) * scale(codes[first])[:, None] @ root
 
-    x = np.concatenate([features(at[a : a + 1000]) for at in (positive, negative) for a in range(0, len(at), 1000)])
+    x = np.concatenate([features(at[a : a + 200]) for at in (positive, negative) for a in range(0, len(at), 200)])
     y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
     cost = np.concatenate((weight / weight.sum(), np.full(len(negative), 1 / len(negative)))) * len(y) / 2
     x = np.hstack((x, np.ones((len(x), 1))))
