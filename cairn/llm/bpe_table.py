@@ -17,12 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from ._work import read_table, stored, text_or_empty, work_dir
+from ._work import read_table, slices, stored, text_or_empty, work_dir
 
 #: White space of Unicode as the tokenizer's word pattern knows it, and that pattern.
 SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
+#: Bytes of text that a task turns to ids and back at a time.
+SLICE = 1 << 20
+
 
 def added_tokens(tokenizer: str) -> list[str]:
     with open(tokenizer, encoding="utf-8") as f:
@@ -46,7 +49,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, word) once for each block that a task reads."""
     at, held = None, pa.array([], pa.string())
     pairs = lambda: pa.RecordBatch.from_arrays([pa.array(np.full(len(held), at, np.int64)), held], ["block", "word"])
-    for batch in batches:
+    for batch in slices(batches, "words"):
         blocks = batch.column("block").to_numpy()
         cuts = np.append(np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1)), len(blocks))
         for a, b in zip(cuts, cuts[1:]):
@@ -61,11 +64,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _encode(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        coder = Tokenizer.from_file(tokenizer)
-        coder.no_truncation()
-        coder.no_padding()
+        coder = bpe.load(tokenizer)
         last: tuple[str, bytes] | None = None  # the rows of a word can run on into the next batch
         for batch in batches:
             coded = batch.column("word").dictionary_encode()
@@ -82,11 +81,8 @@ def _encode(tokenizer: str):
 
 def id_pieces(tokenizer: str) -> list[bytes]:
     """Bytes of each id of a byte-level vocabulary: the id-to-piece table, bounded by the vocabulary."""
-    from tokenizers import Tokenizer
-
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(visible))}
-    coder = Tokenizer.from_file(tokenizer)
+    byte_of = {chr(letter): b for b, letter in bpe.BYTE_LETTERS.items()}
+    coder = bpe.load(tokenizer)
     plain = {t["id"]: t["content"].encode() for t in json.loads(coder.to_str())["added_tokens"]}
     size = coder.get_vocab_size(with_added_tokens=True)
     return [plain[i] if i in plain else bytes(byte_of[c] for c in coder.id_to_token(i) or "") for i in range(size)]
@@ -109,7 +105,7 @@ def _apply(uri: str, pieces: Broadcast):
             at = np.concatenate(([0], np.cumsum(pc.binary_length(ids).to_numpy() // 4)))
             loaded = block
 
-        for batch in batches:
+        for batch in slices(batches, "words", SLICE):
             blocks = batch.column("block").to_numpy()
             cuts = np.append(np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1)), len(blocks))
             for a, b in zip(cuts, cuts[1:]):
