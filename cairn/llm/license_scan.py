@@ -57,6 +57,8 @@ def bands(s: Column, step: int) -> Column:
 def index_templates(spark: SparkSession, templates: dict[str, str], most_shingles: int) -> list[tuple[str, list[int], list[int]]]:
     """(id, distinct shingles, band values) of each template. Windows of one and two shingles at every
     place are indexed, so a text window that shares any shingle with a template collides for certain."""
+    if not templates:
+        return []
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("id"), F.lit(t).alias("text")) for k, t in templates.items()]))
     table = spark.range(1).select(rows.alias("t")).select("t.id", shingles(F.col("t.text"))[0].alias("h"))
     table = table.withColumn("s", _grams(F.col("h")))
