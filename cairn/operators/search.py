@@ -17,6 +17,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF = 60
 #: Places to which scores are rounded before they are ranked, so that the order of sums can't show.
 PLACES = 6
+#: Name of the one scope of a search over everything.
+WHOLE = "_whole"
 #: Query vectors a task multiplies at a time, and floats of query vectors that are broadcast at a time.
 QUERY_BLOCK, BROADCAST_FLOATS = 256, 4_000_000
 
@@ -36,16 +38,17 @@ def term_counts(documents: DataFrame, scope: list[str]) -> DataFrame:
 def bm25_stats(documents: DataFrame, scope: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(corpus, terms): documents, mean length and floor of each scope; df and idf of each term. A negative
     idf becomes EPSILON times the mean idf of the vocabulary."""
-    scope = scope or []
+    if not scope:
+        corpus, terms = bm25_stats(documents.withColumn(WHOLE, F.lit(0)), [WHOLE])
+        return corpus.drop(WHOLE), terms.drop(WHOLE)
+    one_row = F.broadcast if scope == [WHOLE] else lambda df: df
     tokens = documents.select(*scope, tokenize(F.col("text")).alias("t"))
     corpus = tokens.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
     df = tokens.select(*scope, F.explode(F.array_distinct("t")).alias("term")).groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
-    both = df.join(F.broadcast(corpus), scope) if scope else df.crossJoin(F.broadcast(corpus.limit(1)))
-    raw = both.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = df.join(one_row(corpus), scope).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*scope).agg(F.avg("raw").alias("mean"))
-    floor = raw.join(F.broadcast(mean), scope) if scope else raw.crossJoin(F.broadcast(mean.limit(1)))
     idf = F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw"))
-    return corpus, floor.select(*scope, "term", "df", idf.alias("idf"), "n", "avgdl")
+    return corpus, raw.join(one_row(mean), scope).select(*scope, "term", "df", idf.alias("idf"), "n", "avgdl")
 
 
 def bm25_search(documents: DataFrame, queries: DataFrame, k: int = 10, scope: list[str] | None = None) -> DataFrame:
@@ -55,9 +58,10 @@ def bm25_search(documents: DataFrame, queries: DataFrame, k: int = 10, scope: li
 
     Query terms meet the token table by an equi-join on the term; only matched tokens move, and sums of a
     (query, document) are partial before the shuffle."""
-    scope = scope or []
     if k < 1:
         return documents.sparkSession.createDataFrame([], "query_id long, node_id string, score double, rank int")
+    if not scope:
+        return bm25_search(documents.withColumn(WHOLE, F.lit(0)), queries.withColumn(WHOLE, F.lit(0)), k, [WHOLE])
     asked = queries.select(*scope, "query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy(*scope, "query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
     _, terms = bm25_stats(documents, scope)
     weighed = asked.join(terms, [*scope, "term"])
@@ -72,11 +76,12 @@ def bm25_search(documents: DataFrame, queries: DataFrame, k: int = 10, scope: li
     short = scored.filter("score > 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("good"))
     need = live.join(short, "query_id", "left").filter(F.coalesce("good", F.lit(0)) < k)
     most = need.agg(F.max("want")).first()[0] or 0
-    w = Window.partitionBy(*scope).orderBy("path", "start_line", "node_id") if scope else Window.orderBy("path", "start_line", "node_id")
-    first = order.withColumn("c", F.row_number().over(w)).filter(F.col("c") <= most) if scope else order.orderBy("path", "start_line", "node_id").limit(int(most)).withColumn("c", F.row_number().over(w))
-    zero = need.join(first, scope) if scope else need.crossJoin(F.broadcast(first)) if most <= 100_000 else need.join(first)
+    if scope == [WHOLE]:
+        order = order.orderBy("path", "start_line", "node_id").limit(int(most)) if most else order.limit(0)
+    w = Window.partitionBy(*scope).orderBy("path", "start_line", "node_id")
+    zero = need.join(order.withColumn("c", F.row_number().over(w)), scope)
     zero = zero.filter("c <= want").select("query_id", "node_id", F.lit(0.0).alias("score")).join(scored, ["query_id", "node_id"], "left_anti")
-    both = scored.unionByName(zero).join(order.select("node_id", "path", "start_line"), "node_id")
+    both = scored.unionByName(zero).join(documents.select("node_id", "path", "start_line"), "node_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "start_line", "node_id"))
     return both.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "node_id", "score", "rank")
 

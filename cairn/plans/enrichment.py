@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import enrich as I
 from ..operators import extract as X
-from ..operators.graph import _stored
+from ..sources.shared import stored
 from . import fixtures as fx
 from .fixtures import frame, plain
 
@@ -96,7 +96,7 @@ pr AS (SELECT repo_id, cast(batch_no AS int) AS batch_no, concat('{I.INSTRUCTION
 
 
 def _prompts(spark: SparkSession, d: str) -> DataFrame:
-    blocks = _stored(I.node_blocks(_nodes(spark, d)), "blocks")
+    blocks = stored(I.node_blocks(_nodes(spark, d)), "blocks")
     return I.summary_prompts(blocks, I.summary_batches(blocks))
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import extract as X
 from ..operators import resolve as R
-from ..operators.graph import _stored
 from ..sources import files, store
+from ..sources.shared import shared_folder, stored
 from . import fixtures as fx
 from .fixtures import frame, plain
 
@@ -37,7 +40,7 @@ def _extracted(spark: SparkSession, d: str) -> DataFrame:
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the generated files, extracted once."""
-    e = _stored(_extracted(spark, d), "extracted")
+    e = stored(_extracted(spark, d), "extracted")
     return X.nodes_of(e), X.edges_of(e)
 
 
@@ -47,12 +50,7 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query("s1_read_sources", f"SELECT repo_id, path, source FROM {SOURCES}")
 def s1(spark: SparkSession, d: str) -> DataFrame:
     """Writes the generated files to the shared folder, then reads them as a repository each."""
-    import os
-    import tempfile
-    import uuid
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).removeprefix("file:").replace("//", "/")
-    root = os.path.join(base, f"cairn-files-{uuid.uuid4().hex}")
+    root = os.path.join(shared_folder(spark).removeprefix("file:").replace("//", "/"), f"cairn-files-{uuid.uuid4().hex}")
 
     def write(batches):
         for batch in batches:
@@ -63,7 +61,7 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
                     f.write(source)
             yield batch[["repo_id"]]
 
-    _stored(frame(spark, d, fx.SOURCES).mapInPandas(write, "repo_id string"), "written")
+    stored(frame(spark, d, fx.SOURCES).mapInPandas(write, "repo_id string"), "written")
     out = None
     for repo in sorted(os.listdir(root)):
         rows = files.read_sources(spark, os.path.join(root, repo), repo)
