@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,6 +132,12 @@ def _apply(uri: str, pieces: Broadcast):
     return run
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether the rows come straight from files, so that each knows its file and split."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return bool(df.inputFiles()) and all(re.match(r"[\s:|+-]*(Project|Filter|Relation)\b", line) for line in lines)
+
+
 def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
@@ -141,10 +148,10 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     each distinct word beside the blocks it occurs in; a word's rows lie together, so it is encoded
     once. The coded table is written by block to the shared folder, and the task that holds a block's
     texts joins them by position to that block's words alone. So words shuffle
-    once a block, texts never, and nothing that grows is broadcast. Tables that do not come from files
-    are first written to the shared folder."""
+    once a block, texts never, and nothing that grows is broadcast. Rows that do not come straight from
+    files are first written to the shared folder."""
     spark = docs.sparkSession
-    if not docs.inputFiles():
+    if not is_scan(docs):
         docs = stored(docs.select("doc_id", "text"), "texts")
     place = F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("block")
     split = docs.select("doc_id", split_words(text_or_empty(F.col("text")), added_tokens(tokenizer)).alias("words"), place)
