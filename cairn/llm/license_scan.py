@@ -3,8 +3,6 @@ retrieve templates, exact shingle containment verifies them."""
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +31,12 @@ def collision_probability(similarity: float, rows: int, bands: int) -> float:
     return 1 - (1 - similarity**rows) ** bands
 
 
-def shingles(text: Column) -> tuple[Column, Column]:
-    """Word hashes of a text, and from a column of them the hashes of its five-word shingles in order."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
-    return F.transform(words, lambda w: F.xxhash64(w)), _grams(F.col("h"))
+def word_hashes(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0), lambda w: F.xxhash64(w))
 
 
-def _grams(h: Column) -> Column:
+def shingles(h: Column) -> Column:
+    """Hashes of the five-word shingles in order, from a column of word hashes."""
     at = F.when(F.size(h) >= WIDTH, F.sequence(F.lit(0), F.size(h) - WIDTH)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WIDTH)]))
 
@@ -60,8 +57,8 @@ def index_templates(spark: SparkSession, templates: dict[str, str], most_shingle
     if not templates:
         return []
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("id"), F.lit(t).alias("text")) for k, t in templates.items()]))
-    table = spark.range(1).select(rows.alias("t")).select("t.id", shingles(F.col("t.text"))[0].alias("h"))
-    table = table.withColumn("s", _grams(F.col("h")))
+    table = spark.range(1).select(rows.alias("t")).select("t.id", word_hashes(F.col("t.text")).alias("h"))
+    table = table.withColumn("s", shingles(F.col("h")))
     got = table.select("id", F.array_distinct("s").alias("own"), F.array_distinct(F.concat("s", bands(F.col("s"), 1))).alias("bands")).collect()
     if sum(len(r.own) for r in got) > most_shingles:
         raise ValueError(f"templates have more than {most_shingles} shingles, the bound of what goes into the plan")
@@ -78,8 +75,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent
     judged row by row; other columns aren't carried. The whole scan is one pass without a shuffle;
     templates go into the plan, at most ``most_shingles`` of them."""
     known = index_templates(docs.sparkSession, templates, most_shingles)
-    hashed = docs.select("doc_id", shingles(text_or_empty(F.col("text")))[0].alias("h"))
-    grams = hashed.select("doc_id", F.size("h").cast("long").alias("n_words"), _grams(F.col("h")).alias("s"))
+    hashed = docs.select("doc_id", word_hashes(text_or_empty(F.col("text"))).alias("h"))
+    grams = hashed.select("doc_id", F.size("h").cast("long").alias("n_words"), shingles(F.col("h")).alias("s"))
     if not known:
         return grams.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_licenses"), F.lit("").alias("licenses"), F.lit(0).cast("long").alias("best_percent"))
     all_bands = sorted({b for _, _, bs in known for b in bs})
@@ -94,8 +91,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent
         mine = F.filter("hits", lambda x: x["s"].isin(own))
         near = F.exists("near", lambda b: b.isin(band))
         stretch = lambda all_, x, i: F.size(F.array_distinct(F.transform(F.filter(F.slice(all_, i + 1, span), lambda y: y["pos"] < x["pos"] + span), lambda y: y["s"])))
-        # aggregate() binds the hits once, so the inner stretches are slices of a value, not of its formula
-        scores = F.transform(F.array(mine), lambda all_: F.array_max(F.transform(all_, functools.partial(lambda a, x, i: stretch(a, x, i), all_))))
+        # the outer transform binds the hits once, so the inner stretches are slices of a value, not of its formula
+        scores = F.transform(F.array(mine), lambda all_: F.array_max(F.transform(all_, lambda x, i: stretch(all_, x, i))))
         return F.when(near, F.coalesce(F.get(scores, F.lit(0)), F.lit(0))).otherwise(0)
 
     # the names in order, so that the list of matches is sorted
