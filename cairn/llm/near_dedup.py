@@ -23,6 +23,9 @@ ROWS, BANDS = 4, 32
 #: falls below with probability 3e-6; one that shares no band is missed with probability 5e-8.
 LEAST_AGREEING = 82
 PIVOTS, BLOCK, PER_TASK = 16, 4096, 500
+#: Coordinates of the signatures that settle what is left, and how many of them must agree for a pair to be in
+#: doubt or surely alike: 4.5 standard deviations below and above a pair at similarity 0.8.
+FINE, IN_DOUBT, SURE = 1024, 762, 877
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -176,18 +179,39 @@ def _with_pivots(percent: int):
     return run
 
 
+class _Union:
+    """Sets of small numbers that grow together."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def of(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.of(x), self.of(y)
+        self.up[x] = y
+        return x != y
+
+
 def _across(percent: int):
-    """All pairs of a bucket's block that lie in different components and agree enough."""
+    """Pairs of a bucket's block in different components that fine signatures leave open: of those surely
+    alike as many as join the components, and all in doubt between components that stay apart. A pair
+    is judged in the first bucket it shares alone, so it comes once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, ["key", "i", "j"]):
             rep, n, comp, block = (rows.column(c).to_numpy() for c in ("rep", "n", "comp", "block"))
-            sig = _sig(rows.column("sig"))
+            fine = _sig(rows.column("fine"))
+            bands = rows.column("bands").flatten().to_numpy().reshape(len(rep), -1)
+            key = rows.column("key")[0].as_py()
             names, code = np.unique(comp, return_inverse=True)
             largest = np.bincount(code).argmax()
             outside = np.flatnonzero(code != largest)
             other = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
-            out: tuple[list, list, list] = ([], [], [])
+            found: list[tuple] = [(np.zeros(0, np.int64),) * 3]
             for a in range(0, len(outside), 64):
                 part = outside[a : a + 64]
                 ok = (code[part, None] != code[None]) & _fits(n[part, None], n[None], percent)
@@ -195,13 +219,33 @@ def _across(percent: int):
                 if other:
                     ok &= block[part, None] != block[None]
                 x, y = np.nonzero(ok)
-                for c in range(0, len(x), 1 << 16):
-                    u, v = part[x[c : c + (1 << 16)]], y[c : c + (1 << 16)]
-                    agree = (sig[u] == sig[v]).sum(axis=1, dtype=np.int32)
-                    hit = agree >= LEAST_AGREEING
-                    for o, w in zip(out, (np.maximum(rep[u], rep[v])[hit], np.minimum(rep[u], rep[v])[hit], agree[hit])):
-                        o.append(w)
-            yield _pairs(*out)
+                for c in range(0, len(x), 1 << 14):
+                    u, v = part[x[c : c + (1 << 14)]], y[c : c + (1 << 14)]
+                    agree = (fine[u] == fine[v]).sum(axis=1, dtype=np.int64)
+                    hit = agree >= IN_DOUBT
+                    found.append((u[hit], v[hit], agree[hit]))
+            u, v, agree = (np.concatenate(f) for f in zip(*found))
+            order = np.argsort(-agree, kind="stable")
+            u, v, agree = u[order], v[order], agree[order]
+            same, keep = _Union(len(names)), np.zeros(len(u), bool)
+            sure = int(np.searchsorted(-agree, -SURE, "right"))
+            for k in range(sure):
+                keep[k] = same.join(code[u[k]], code[v[k]])
+            first = bands[u[sure:]] == bands[v[sure:]]
+            here = bands[u[sure:], first.argmax(axis=1)] == key if len(first) else first[:, 0]
+            root = np.array([same.of(c) for c in range(len(names))])
+            keep[sure:] = here & (root[code[u[sure:]]] != root[code[v[sure:]]])
+            u, v = u[keep], v[keep]
+            yield _pairs([np.maximum(rep[u], rep[v])], [np.minimum(rep[u], rep[v])], [agree[keep]])
+
+    return run
+
+
+def _fine(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sign = signatures(*shingle_sets(batch.column("text"), width), FINE)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([r.tobytes() for r in sign.astype(np.uint8)], pa.binary())], ["rep", "fine"])
 
     return run
 
@@ -232,18 +276,23 @@ def _confirm(percent: int):
     return run
 
 
+def texts_of(ids: DataFrame, docs: DataFrame, most_bits: int) -> DataFrame:
+    """(rep, text) of the ids. A bounded Bloom filter keeps all other texts out of the shuffle."""
+    need = stored(ids.distinct(), "need")
+    bits = bloom.filter_bits(need.count(), 16, most_bits)
+    held = bloom.build(need.select(F.xxhash64("rep").alias("h")), bits, least=1)
+    near = docs.filter("rep is not null").filter(bloom.might_contain(held, bits, F.xxhash64("rep")))
+    return near.join(need, "rep").dropDuplicates(["rep"])
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, most_bits: int) -> DataFrame:
     """(a, b, linked) of candidate pairs by exact Jaccard similarity of full shingle sets.
 
-    Only texts of candidates move: a bounded Bloom filter holds their ids. Partners of one document
-    are dealt under salts of ``PER_TASK`` each, with the document's set first in each."""
+    Only texts of candidates move. Partners of one document are dealt under salts of ``PER_TASK`` each,
+    with the document's set first in each."""
     n = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_TASK).cast("int").alias("salts"))
     dealt = pairs.join(n, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
-    need = stored(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "need")
-    count = need.count()
-    bits = bloom.filter_bits(count, 16, most_bits)
-    held = bloom.build(need.select(F.xxhash64("rep").alias("h")), bits, least=1)
-    texts = docs.filter("rep is not null").filter(bloom.might_contain(held, bits, F.xxhash64("rep"))).join(need, "rep").dropDuplicates(["rep"])
+    texts = texts_of(pairs.select("a").distinct().unionByName(pairs.select(F.col("b").alias("a")).distinct()).select(F.col("a").alias("rep")), docs, most_bits)
     sets = stored(texts.mapInArrow(_sets(width), "rep long, shingles binary"), "sets")
     left = n.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.withColumnRenamed("rep", "a"), "a").select("a", "salt", F.lit(0).alias("turn"), F.col("a").alias("b"), "shingles")
     right = dealt.join(sets.withColumnRenamed("rep", "b"), "b").select("a", "salt", F.lit(1).alias("turn"), "b", "shingles")
@@ -262,8 +311,8 @@ def near_dedup(docs: DataFrame, width: int = 4, percent: int = 80, salts: int =
 
     Buckets are never expanded into pairs: each member meets at most ``PIVOTS`` members of its bucket
     first. What these links leave in different components is then compared in blocks of ``BLOCK``
-    rows, of which only pairs with agreeing signatures leave the task; so no link between sharers of
-    a band is given up. Hot buckets, classes and hubs are salted."""
+    rows by signatures of ``FINE`` coordinates, and only pairs that can still matter leave the task; so
+    no link between sharers of a band is given up. Hot buckets, classes and hubs are salted."""
     text = docs.select("doc_id", text_or_empty(F.col("text")).alias("text"))
     rows = stored(text.mapInArrow(_describe(width), "doc_id long, n long, digest binary, bands array<long>, sig binary"), "sketch")
     full = rows.filter("n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
@@ -293,8 +342,10 @@ def near_dedup(docs: DataFrame, width: int = 4, percent: int = 80, salts: int =
     part_of = bucket.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     open_ = part_of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    cells = part_of.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    cells = cells.select("key", "rep", "n", "sig", "comp", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o")).select("*", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    live = stored(part_of.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).drop("sig"), "open")
+    fine = stored(texts_of(live.select("rep"), texts, most_bits).mapInArrow(_fine(width), "rep long, fine binary"), "fine")
+    cells = live.join(fine.join(sketch.select("rep", "bands"), "rep"), "rep")
+    cells = cells.select("key", "rep", "n", "bands", "fine", "comp", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o")).select("*", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     rest = cells.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(percent), PAIR)
     tested = known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = stored(rest.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "rest")
