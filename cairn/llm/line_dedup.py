@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
 from ._work import read_table, stored, text_or_empty
 
 WILD = "<*>"
@@ -57,12 +58,15 @@ def _grow(percent: int):
     return run
 
 
-def tokens_of(line: Column) -> Column:
-    """Tokens of a line; those with a digit are variable fields."""
-    return F.transform(F.filter(F.split(line, r"[ \t\r\f\x0B]+"), lambda t: t != ""), lambda t: F.when(t.rlike("[0-9]"), WILD).otherwise(t))
+def masked(lines: Column) -> Column:
+    """The tokens of each line, one space apart; those with a digit are variable fields. Done in steps inside
+    the array, so that no line goes through a pattern twice."""
+    hide = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[^ \t\r\f\x0B0-9]*+[0-9][^ \t\r\f\x0B]*", WILD)).otherwise(x)
+    squeeze = lambda x: F.trim(F.when(x.rlike(r"[\t\r\f\x0B]|  "), F.regexp_replace(x, r"[ \t\r\f\x0B]+", " ")).otherwise(x))
+    return F.transform(F.transform(lines, hide), squeeze)
 
 
-def line_dedup(docs: DataFrame, least_docs: int = 3, least_tokens: int = 3, depth: int = 3, percent: int = 80, salts: int = 32) -> DataFrame:
+def line_dedup(docs: DataFrame, least_docs: int = 3, least_tokens: int = 3, depth: int = 3, percent: int = 80, salts: int = 32, most_bits: int = 1 << 30) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped, text (what is left, in order).
 
     A line of ``least_tokens`` or more tokens goes to the leaf of its token count and first ``depth``
@@ -78,9 +82,10 @@ def line_dedup(docs: DataFrame, least_docs: int = 3, least_tokens: int = 3, dept
     that holds a leaf's templates, not its lines; hot lines are counted under salts."""
     text = text_or_empty(F.col("text"))
     base = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
-    lines = base.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).select("doc_id", "h", "pos", tokens_of(F.col("raw")).alias("tokens"))
-    lines = lines.filter(F.size("tokens") >= least_tokens)
-    keyed = lines.select("doc_id", "h", "pos", "tokens", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("line"))
+    lines = base.select("doc_id", "h", F.posexplode(masked(F.split("text", "\n"))).alias("pos", "shown"))
+    size = F.when(F.col("shown") == "", 0).otherwise(F.length("shown") - F.length(F.translate("shown", " ", "")) + 1)
+    lines = lines.withColumn("size", size).filter(F.col("size") >= least_tokens)
+    keyed = lines.select("doc_id", "h", "pos", "shown", F.xxhash64("size", F.substring_index("shown", " ", depth)).alias("leaf"), F.xxhash64("shown").alias("line"))
     narrow = stored(keyed.select("doc_id", "h", "pos", "leaf", "line"), "lines")
 
     once = narrow.select("doc_id", "h", "leaf", "line").distinct()
@@ -88,11 +93,14 @@ def line_dedup(docs: DataFrame, least_docs: int = 3, least_tokens: int = 3, dept
     count = stored(once.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs")), "count")
     open_ = count.groupBy("leaf").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_docs).select("leaf")
     open_ = stored(count.join(open_, "leaf"), "open")
-    # the tokens of each distinct line once, from any of its rows
-    shown = keyed.join(open_.select("leaf", "line", "docs"), ["leaf", "line"], "left_semi").select("leaf", "line", "tokens").dropDuplicates(["leaf", "line"])
+    # each distinct line once, from any of its rows; a bounded Bloom filter keeps lines of other leaves out
+    bits = bloom.filter_bits(open_.count(), 16, most_bits)
+    held = bloom.build(open_.select(F.col("line").alias("h")), bits, least=1)
+    shown = keyed.filter(bloom.might_contain(held, bits, F.col("line"))).groupBy("leaf", "line").agg(F.first("shown").alias("shown"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = shown.join(open_, ["leaf", "line"]).repartition(tasks, "leaf").sortWithinPartitions("leaf", F.desc("docs"), F.array_join("tokens", " "))
-    tree = stored(order.select("leaf", "line", "tokens").mapInArrow(_grow(percent), "leaf long, line long, template int"), "tree")
+    order = shown.join(open_, ["leaf", "line"]).repartition(tasks, "leaf").sortWithinPartitions("leaf", F.desc("docs"), "shown")
+    order = order.select("leaf", "line", F.split("shown", " ").alias("tokens"))
+    tree = stored(order.mapInArrow(_grow(percent), "leaf long, line long, template int"), "tree")
 
     salted = tree.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     placed = narrow.withColumn("salt", salt).join(salted, ["leaf", "line", "salt"]).select("doc_id", "h", "pos", "leaf", "template", "salt")
