@@ -178,3 +178,12 @@ def test_line_dedup_odd_rows(odd, none, odd_rows):
     got = rows_of(line_dedup.line_dedup(odd), "doc_id", "n_lines", "n_dropped", "text")
     assert got == reference_lines(odd_rows)
     assert line_dedup.line_dedup(none).isEmpty()
+
+
+def test_line_dedup_query_drops_what_two_documents_share(spark, tmp_path):
+    long = "a rather long line that stands in exactly two of the documents and nowhere else"
+    rows = [(1, f"{long}\nown text of one here\nShare\nPage 3"), (2, f"own text of two there\n{long}\nShare\nonce"), (3, "Page 12\nRead more\n\ntwice\ntwice"), (4, "\nnothing to see"), (None, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows_of(line_dedup.op8_line_dedup(spark, str(tmp_path)), "doc_id", "n_lines", "n_dropped", "text")
+    assert got == reference_lines(rows, 2, 1)
+    assert {r[0]: r[3] for r in got} == {1: "own text of one here", 2: "own text of two there\nonce", 3: "Read more\n\ntwice\ntwice", 4: "\nnothing to see", None: "", 5: ""}
