@@ -25,11 +25,14 @@ BLOCK = SPACED | frozenset("address article aside body caption center dd details
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-    **{k: ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}) for k in ("thead", "tbody", "tfoot")}, "body": ({"head"}, set()),
+    **{k: ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}) for k in ("thead", "tbody", "tfoot", "caption", "colgroup")}, "body": ({"head"}, set()),
 }
 CLOSES_P = BLOCK - {"body", "html", "tr", "caption", "li", "dd", "dt", "summary", "legend", "figcaption"} | {"li", "dd", "dt"}
 WALLS = frozenset("table td th caption html body button template".split())
-END_WALLS = {t: {"table"} for t in ("tr", "td", "th", "thead", "tbody", "tfoot", "caption")} | {t: set() for t in ("table", "body", "html")}
+END_WALLS = {t: {"table"} for t in ("tr", "td", "th", "thead", "tbody", "tfoot", "caption")} | {t: set() for t in ("table", "body", "html", "template")}
+#: Elements that hold only the parts of a table; a start tag of the key drops what is open above the nearest of the values.
+PARTS = frozenset("table thead tbody tfoot tr colgroup".split())
+HOLDS = {"td": PARTS - {"colgroup"}, "th": PARTS - {"colgroup"}, "tr": PARTS - {"colgroup", "tr"}, **{k: frozenset(["table"]) for k in ("thead", "tbody", "tfoot", "caption", "colgroup")}}
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
@@ -51,7 +54,8 @@ def attributes_of(raw: str) -> dict[str, str]:
 
 def build(page: str) -> Node:
     """The element tree. End tags may be left out where the standard lets them; an end tag without its
-    start is ignored, and one that skips open elements closes them."""
+    start is ignored, and one that skips open elements closes them. A cell without a row gets one, a form
+    right in a table's part stays empty, and other content there goes in front of the table."""
     root = Node("html", {})
     stack, at, size = [root], 0, len(page)
 
@@ -63,11 +67,29 @@ def build(page: str) -> Node:
             if stack[k].tag in walls:
                 return
 
+    def table_at() -> int:
+        """Place of the table whose parts, not cells, are open; 0 if there is none."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag == "table":
+                return k
+            if stack[k].tag in ("td", "th", "caption", "template"):
+                return 0
+        return 0
+
+    def put(item: Node | str) -> None:
+        """Add to the open element; in a table's part, in front of the table."""
+        k = table_at() if stack[-1].tag in PARTS and (isinstance(item, Node) or SPACE.sub("", item)) else 0
+        if k:
+            # an open table is the last child of what holds it
+            stack[k - 1].children.insert(-1, item)
+        else:
+            stack[-1].children.append(item)
+
     for m in MARKUP.finditer(page):
         if m.start() < at:
             continue
         if m.start() > at:
-            stack[-1].children.append(entities.unescape(page[at : m.start()]))
+            put(entities.unescape(page[at : m.start()]))
         at = m.end()
         tag = m[2] and m[2].lower()
         if not tag:
@@ -90,8 +112,22 @@ def build(page: str) -> Node:
             stack.pop()
         if tag in BLOCK and stack[-1].tag == "head":
             stack.pop()
+        if tag == "table" and (k := table_at()):
+            del stack[k:]
         node = Node(tag, attributes_of(m[3]))
-        stack[-1].children.append(node)
+        if tag in HOLDS and table_at():
+            while stack[-1].tag not in HOLDS[tag]:
+                stack.pop()
+            for inner in ("tbody", "tr") if tag in ("td", "th") else ():
+                if stack[-1].tag in HOLDS["tr"] and (inner == "tr" or stack[-1].tag == "table"):
+                    stack[-1].children.append(Node(inner, {}))
+                    stack.append(stack[-1].children[-1])
+            stack[-1].children.append(node)
+        elif tag == "form" and stack[-1].tag in PARTS and table_at():
+            stack[-1].children.append(node)
+            continue
+        else:
+            put(node)
         if tag in RAW or tag in PLAIN:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             text = page[at : end.start() if end else size]
@@ -100,7 +136,7 @@ def build(page: str) -> Node:
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
     if at < size:
-        stack[-1].children.append(entities.unescape(page[at:]))
+        put(entities.unescape(page[at:]))
     return root
 
 

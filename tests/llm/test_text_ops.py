@@ -287,3 +287,26 @@ def test_html_never_fails(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (None, "<p>a<p>b"), (3, "x" * 300_000)], "page_id long, html string").withColumn("text", F.lit("no"))
     got = {r.page_id: (r.text, r.n_chars, r.n_lines) for r in html_text.html_text(rows).collect()}
     assert got == {1: ("", 0, 0), 2: ("", 0, 0), None: ("a\n\nb", 4, 3), 3: ("x" * 300_000, 300_000, 1)}
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<table><form><tr><td>a<td>b</form></table>c", "a  b\n\nc"), ("<table><center><tr><td>a</center></table>", "a"), ("<table><td>x<td>y<tr><td>z</table>", "x  y\nz"), ("<table><tbody><th>x</table>", "x"),
+        ("<table>stray<tr>too<td>a</td>late</table>", "straytoolate\n\na"), ("<table><tr><p>b</p><td>a</table>", "b\n\na"), ("<table><tr><form><td>a</td></form><td>b</table>", "a  b"),
+        ("<table><tr><td>a<table><tr><td>in</table>b<caption>c</table>", "c\na\n\nin\n\nb"), ("<table><tr><td>a</td><table><tr><td>b</table>", "a\n\nb"), ("<table><template><tr><td>no</template><tr><td>a</table>", "a"),
+        ("<table><colgroup><col>odd<td>a</table>", "odd\n\na"), ("<td>no table</td>", "no table"),
+    ],
+)
+def test_html_tables_keep_what_stands_in_the_wrong_place(page, text):
+    assert html_text.visible_text(page) == text
+
+
+def test_html_every_text_of_a_broken_table_comes_out():
+    rng = random.Random(5)
+    tags = "table tr td th tbody thead caption form center div p ul li b font colgroup".split()
+    for _ in range(500):
+        words = [f"w{k}." for k in range(25)]
+        page = "<table>" + "".join(w + rng.choice(["<{}>", "<{}>", "</{}>"]).format(rng.choice(tags)) for w in words)
+        text = html_text.visible_text(page)
+        assert all(text.count(w) == 1 for w in (f"w{k}." for k in range(25))), page
