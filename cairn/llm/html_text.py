@@ -17,7 +17,7 @@ from ._work import read_table, slices, text_or_empty
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
 PLAIN = frozenset("textarea title".split())
-HIDDEN = frozenset("head script style template noscript title datalist iframe object svg math audio video canvas select".split())
+HIDDEN = frozenset("head script style template noscript title datalist iframe object audio video canvas desc defs metadata annotation annotation-xml".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACED = frozenset("p blockquote pre ul ol dl table figure fieldset".split()) | HEADINGS
 BLOCK = SPACED | frozenset("address article aside body caption center dd details dialog div dt figcaption footer form header hgroup html legend li main menu nav search section summary tr hr".split())
@@ -36,6 +36,11 @@ HOLDS = {"td": PARTS - {"colgroup"}, "th": PARTS - {"colgroup"}, "tr": PARTS - {
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
+#: Copies of drawn formulas for screen readers: clipped away by an own style, or by the style sheets of KaTeX and MathJax.
+CLIPPED = re.compile(r"clip\s*:\s*rect\(\s*[01](?:px)?[\s,]")
+CLIPPED_CLASSES = frozenset("katex-mathml mjx-assistive-mml MJX_Assistive_MathML".split())
+#: Elements of svg and math whose text stands apart from its neighbours.
+APART = frozenset("text mfrac mroot mtd mtr".split())
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -140,13 +145,35 @@ def build(page: str) -> Node:
     return root
 
 
-def visible(node: Node) -> bool:
+def visible(node: Node, drawn: bool = False) -> bool:
+    """Whether a screen reader says the element or, if ``drawn``, a browser draws it."""
     a = node.attributes
-    if node.tag in HIDDEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or (node.tag == "dialog" and "open" not in a):
+    if node.tag in HIDDEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
+        return False
+    if drawn:
+        if node.tag == "mjx-assistive-mml" or not CLIPPED_CLASSES.isdisjoint(a.get("class", "").split()) or CLIPPED.search(a.get("style", "").lower()):
+            return False
+    elif a.get("aria-hidden", "").lower() == "true":
         return False
     return not UNSEEN.search(a["style"].lower()) if "style" in a else True
 
 
+def options(select: Node, drawn: bool) -> list[Node | str]:
+    """What a select shows: all options of a list box, else the last selected or the first that can be chosen."""
+    found, waiting = [], select.children[::-1]
+    while waiting:
+        child = waiting.pop()
+        if isinstance(child, Node) and visible(child, drawn):
+            if child.tag == "option":
+                found.append(child)
+            else:
+                waiting += child.children[::-1]
+    a = select.attributes
+    if "multiple" not in a and not (a.get("size", "").isdigit() and int(a["size"]) > 1):
+        found = [o for o in found if "selected" in o.attributes][-1:] or [o for o in found if "disabled" not in o.attributes][:1]
+    return [part for o in found for part in (" ", o.attributes.get("label") or o, " ")]
+
+
 class Page:
     """Lines of a rendering: inline text joins with collapsed spaces, blocks begin lines, spaced blocks
     leave one empty line between them."""
@@ -194,21 +221,21 @@ class Page:
         self.gap = self.gap or spaced
 
 
-def rows_of(table: Node) -> Iterator[Node]:
+def rows_of(table: Node, drawn: bool) -> Iterator[Node]:
     waiting = [table.children[::-1]]
     while waiting:
         if not waiting[-1]:
             waiting.pop()
             continue
         child = waiting[-1].pop()
-        if isinstance(child, Node) and visible(child):
+        if isinstance(child, Node) and visible(child, drawn):
             if child.tag == "tr":
                 yield child
             elif child.tag in ("thead", "tbody", "tfoot"):
                 waiting.append(child.children[::-1])
 
 
-def render(node: Node, depth: int = 0) -> list[str]:
+def render(node: Node, depth: int = 0, drawn: bool = False) -> list[str]:
     """Lines of a node's visible text. Walks with a stack of its own; only tables in cells recurse."""
     page = Page()
     counts: list[list] = []
@@ -229,7 +256,7 @@ def render(node: Node, depth: int = 0) -> list[str]:
             page.text(item, keep > 0)
             continue
         tag = item.tag
-        if not visible(item):
+        if not visible(item, drawn):
             continue
         if tag == "br":
             page.end(force=True)
@@ -244,14 +271,20 @@ def render(node: Node, depth: int = 0) -> list[str]:
         if tag == "hr":
             page.block(True)
             continue
+        if tag == "select":
+            stack += [("in", o) for o in reversed(options(item, drawn))]
+            continue
+        if tag in APART:
+            stack += [("in", c) for c in (" ", *item.children[::-1], " ")] if tag != "mfrac" else [("in", x) for c in item.children[::-1] for x in (" ", c, " ")]
+            continue
         if tag == "table" and depth < 20:
             page.block(True)
             for child in item.children:
-                if isinstance(child, Node) and child.tag == "caption" and visible(child):
-                    for line in render(child, depth + 1):
+                if isinstance(child, Node) and child.tag == "caption" and visible(child, drawn):
+                    for line in render(child, depth + 1, drawn):
                         page.line = [line]
                         page.end()
-            for line in aligned([[render(c, depth + 1) for c in r.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)] for r in rows_of(item)]):
+            for line in aligned([[render(c, depth + 1, drawn) for c in r.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c, drawn)] for r in rows_of(item, drawn)]):
                 page.line = [line]
                 page.end(force=True)
             page.block(True)
@@ -285,8 +318,9 @@ def aligned(rows: list[list[list[str]]]) -> list[str]:
     return out
 
 
-def visible_text(page: str) -> str:
-    lines = render(build(page.replace("\0", "�")))
+def visible_text(page: str, drawn: bool = False) -> str:
+    """The text for a screen reader or, if ``drawn``, all text that a browser draws."""
+    lines = render(build(page.replace("\0", "�")), drawn=drawn)
     while lines and not lines[-1]:
         lines.pop()
     while lines and not lines[0]:
@@ -296,14 +330,14 @@ def visible_text(page: str) -> str:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        texts = [visible_text(t).encode("utf-8", "replace").decode() for t in batch.column("text").to_pylist()]
+        texts = [visible_text(t, drawn=True).encode("utf-8", "replace").decode() for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(texts, pa.string())], ["page_id", "text"])
 
 
 def html_text(pages: DataFrame) -> DataFrame:
     """One row per input row: page_id, text, n_chars, n_lines.
 
-    Null and empty html give an empty text with no line; broken markup is read as far as it goes and
+    All text that is drawn counts, hidden from screen readers or not. Null and empty html give an empty text with no line; broken markup is read as far as it goes and
     never fails. Rows are independent, so repeated rows and null ids each give their row. Other columns
     aren't carried. One pass, no shuffle."""
     rows = pages.select("page_id", text_or_empty(F.col("html")).alias("text")).mapInArrow(_extract, "page_id long, text string")

@@ -310,3 +310,19 @@ def test_html_every_text_of_a_broken_table_comes_out():
         page = "<table>" + "".join(w + rng.choice(["<{}>", "<{}>", "</{}>"]).format(rng.choice(tags)) for w in words)
         text = html_text.visible_text(page)
         assert all(text.count(w) == 1 for w in (f"w{k}." for k in range(25))), page
+
+
+KATEX = '<span class="katex"><span class="katex-mathml"><math><semantics><mi>E</mi><annotation>E</annotation></semantics></math></span><span class="katex-html" aria-hidden="true"><span>E</span></span></span>'
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p aria-hidden=true>a</p>b", "a\n\nb"), (f"is {KATEX}.", "is E."), ("<math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math>", "x= 1 2"),
+        ("<math style='position:absolute; clip: rect(1px, 1px, 1px, 1px)'><mi>x</mi></math><b aria-hidden=true>x</b>", "x"), ("<p><svg><title>no</title><desc>no</desc><defs><text>no</text></defs><text>A</text><text>B</text></svg>c", "A B c"),
+        ("in <select><option>a<option selected>b<option>c</select>now", "in b now"), ("<select><option disabled>a<optgroup label=g><option>b</optgroup></select>", "b"), ("<select multiple><option>a<option label=l>b</select>", "a l"),
+        ("<table><tr aria-hidden=true><td>a<td><select><option>b</select></table>", "a  b"),
+    ],
+)
+def test_html_query_keeps_all_drawn_text(page, text):
+    assert next(iter(html_text._extract(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([page])], ["page_id", "text"])])))).column("text").to_pylist() == [text]
