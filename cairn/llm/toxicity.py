@@ -18,14 +18,13 @@ from ._work import read_table, slices, text_or_empty, words_of
 #: Letters of a subsequence, decay a place, widest stretch, and letters of one unit.
 ORDER, DECAY, SPAN, UNIT = 3, 0.7, 6, 16
 CODES = 32
-EDGES = " .,;:!?\"'()[]{}<>|*#%$&@/\\~_-+=^`"
 GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 FLOOR = -3.0
 
 
 def _code_table() -> np.ndarray:
     """Code of each character: letters by their base letter, digits one code, other letters hashed, and 0
-    for the rest, which only widens gaps."""
+    for the rest, which takes no place."""
     import unicodedata
 
     table = np.zeros(0x3000, np.uint8)
@@ -43,13 +42,20 @@ def _code_table() -> np.ndarray:
 _CODE = _code_table()
 
 
-def unit_matrix(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes of the units of lower-case words (rows of UNIT, zero at the end), and the word of
-    each. A longer word is cut to overlapping units, so all of it counts."""
-    words = pc.utf8_trim(words, characters=EDGES)
+def letters_of(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the letters of lower-case words, one after another, and how many each word has: marks take
+    no place, so any number of them between two letters leaves the gap as it is."""
     size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     cp = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
     code = np.where(cp < len(_CODE), _CODE[np.minimum(cp, len(_CODE) - 1)], 28 + cp % 4).astype(np.uint8)
+    before, end = np.append(0, np.cumsum(code > 0)), np.cumsum(size)
+    return code[code > 0], before[end] - before[end - size]
+
+
+def unit_matrix(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Letter codes of the units of lower-case words (rows of UNIT, zero at the end), and the word of
+    each. A longer word is cut to overlapping units, so all of it counts."""
+    code, size = letters_of(words)
     begin = np.cumsum(size) - size
     parts = np.maximum(1, -(-(size - UNIT) // (UNIT // 2)) + 1)
     word = np.repeat(np.arange(len(size)), parts)
@@ -106,31 +112,61 @@ class Model:
 
     def units(self, words: pa.StringArray) -> np.ndarray:
         """Margin of each word: that of its best unit."""
-        codes, word = unit_matrix(words)
-        margin = project(codes, self.table) + self.offset
-        return np.maximum.reduceat(margin, np.flatnonzero(np.diff(word, prepend=-1))) if len(word) else margin
+        out = [np.zeros(0)]
+        for a in range(0, len(words), 1 << 16):
+            codes, word = unit_matrix(words.slice(a, 1 << 16))
+            out.append(np.maximum.reduceat(project(codes, self.table) + self.offset, np.flatnonzero(np.diff(word, prepend=-1))))
+        return np.concatenate(out)
 
     def margins(self, texts: pa.StringArray) -> np.ndarray:
         flat, offsets = words_of(pc.utf8_lower(texts))
+        if not len(flat):
+            return top_two(np.zeros(0), offsets, ([], []), self)
         coded = flat.dictionary_encode()
-        return top_two(self.units(coded.dictionary)[coded.indices.to_numpy()] if len(flat) else np.zeros(0), offsets, spelled(coded, offsets), self)
+        margin = self.units(coded.dictionary)[coded.indices.to_numpy()]
+        first, second, pairs, which, _ = neighbours(coded, offsets)
+        value = self.units(pairs)[which]
+        # a pair counts at its first word, where it says more than either word
+        better = value > np.maximum(margin[first], margin[second])
+        margin[first[better]] = value[better]
+        return top_two(margin, offsets, spelled(coded, offsets), self)
 
     def score(self, best: np.ndarray) -> np.ndarray:
         z = best @ self.curve[:2] + self.curve[2]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def lettered(coded: pa.DictionaryArray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the words that have letters, how many each has, and their texts' numbers."""
+    size = letters_of(coded.dictionary)[1][coded.indices.to_numpy()]
+    at = np.flatnonzero(size)
+    return at, size[at], np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[at]
+
+
+def neighbours(coded: pa.DictionaryArray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.StringArray, np.ndarray, np.ndarray]:
+    """Neighbouring words that fit one unit together (words broken by a space, insults of two words): places
+    of the first and the second, the distinct pairs joined, each place's pair, and the pairs' two words."""
+    at, size, of = lettered(coded, offsets)
+    both = size[:-1] + size[1:]
+    fit = np.flatnonzero((of[:-1] == of[1:]) & (both >= ORDER) & (both <= UNIT))
+    first, second = at[fit], at[fit + 1]
+    index, n = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+    pair, which = np.unique(index[first] * n + index[second], return_inverse=True)
+    parts = np.stack((pair // n, pair % n))
+    return first, second, pc.binary_join_element_wise(*(coded.dictionary.take(pa.array(p)) for p in parts), ""), which, parts
+
+
 def spelled(coded: pa.DictionaryArray, offsets: np.ndarray) -> tuple[list[str], list[int]]:
-    """Words spelled out in single letters (three or more in a row), joined, and their text's number."""
-    index = coded.indices.to_numpy()
-    trimmed = pc.utf8_trim(coded.dictionary, characters=EDGES)
-    one = (pc.utf8_length(trimmed).to_numpy(zero_copy_only=False) == 1)[index] if len(index) else np.zeros(0, bool)
-    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    """Words spelled out in single letters (three or more in a row, marks between them or not), joined, and
+    their text's number."""
+    at, size, of = lettered(coded, offsets)
+    one = size == 1
     cut = np.append(True, (one[1:] != one[:-1]) | (of[1:] != of[:-1]))[: len(one)]
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], len(one))
     runs = np.flatnonzero(one[starts] & (ends - starts >= 3)) if len(one) else []
-    words = ["".join(trimmed.take(pa.array(index[starts[r] : ends[r]])).to_pylist()) for r in runs]
+    index = coded.indices.to_numpy()
+    words = ["".join(coded.dictionary.take(pa.array(index[at[starts[r] : ends[r]]])).to_pylist()) for r in runs]
     return words, [int(of[starts[r]]) for r in runs]
 
 
@@ -153,8 +189,8 @@ def top_two(margin: np.ndarray, offsets: np.ndarray, runs: tuple[list[str], list
 
 
 def fit(texts: list[str], toxic: np.ndarray, prior: float, landmarks: int = 256, rounds: int = 3, seed: int = 7) -> Model:
-    """Fit on labelled texts: pick each toxic text's witness word, train against words of clean texts,
-    pick again. Without texts of both kinds every score is the prior."""
+    """Fit on labelled texts: pick each toxic text's witness (a word, or a pair of words that three toxic
+    texts have), train against words and pairs of clean texts, pick again. Without texts of both kinds every score is the prior."""
     flat_curve = np.array([0.0, 0.0, np.log(max(prior, 1e-6) / (1 - min(prior, 1 - 1e-6)))])
     none = Model(np.zeros(CODES**3), 0.0, flat_curve)
     flat, offsets = words_of(pc.utf8_lower(pa.array(texts, pa.string())))
@@ -174,18 +210,29 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, landmarks: int = 256,
     # how much more a subsequence stands in toxic texts ranks the first witnesses
     contrast = np.log(count[1] / toxic.sum() + 1 / toxic.sum()) - np.log(count[0] / (~toxic).sum() + 1 / toxic.sum())
     contrast[0] = 0
+    single = len(words)
+    first, _, pairs, which, parts = neighbours(coded, offsets)
+    found = np.unique(of[first].astype(np.int64) * max(1, len(pairs)) + which)
+    doc, word = np.append(doc, found // max(1, len(pairs))), np.append(word, found % max(1, len(pairs)) + single)
+    order = np.argsort(doc, kind="stable")
+    doc, word = doc[order], word[order]
+    words = pa.concat_arrays([words, pairs])
+    df = np.stack([np.bincount(word[toxic[doc] == k], minlength=len(words)) for k in (False, True)])
+    rare = toxic[doc] & (word >= single) & (df[1][word] < 3)
     rng = np.random.default_rng(seed)
     model = Model(contrast, 0.0, flat_curve)
     starts = np.flatnonzero(np.diff(doc, prepend=-1))
     for _ in range(rounds):
-        value = model.units(words)[word]
+        value = model.units(words)
+        value[single:][value[single:] <= np.maximum(*value[:single][parts])] = -np.inf
+        value = np.where(rare, -np.inf, value[word])
         best = np.maximum.reduceat(value, starts)
         at = np.minimum.reduceat(np.where(value == np.repeat(best, np.diff(np.append(starts, len(value)))), np.arange(len(value)), len(value)), starts)
         witness, n_of = np.unique(word[at][toxic[doc[at]]], return_counts=True)
         keep = (n_of * 4 > df[0][witness])
         witness, n_of = witness[keep], n_of[keep]
         hard = np.unique(word[at][~toxic[doc[at]]])
-        clean = np.flatnonzero(df[0] > 0)
+        clean = np.flatnonzero(df[0][:single] > 0)
         negative = np.setdiff1d(np.union1d(hard, rng.choice(clean, min(len(clean), 4000), replace=False)), witness)
         if not len(witness) or not len(negative):
             return none

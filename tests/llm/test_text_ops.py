@@ -326,3 +326,31 @@ KATEX = '<span class="katex"><span class="katex-mathml"><math><semantics><mi>E</
 )
 def test_html_query_keeps_all_drawn_text(page, text):
     assert next(iter(html_text._extract(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([page])], ["page_id", "text"])])))).column("text").to_pylist() == [text]
+
+
+def test_toxicity_finds_marks_and_spaces_between_letters():
+    rng = random.Random(0)
+
+    def text(form):
+        words = sentence(rng, False).split()
+        for w in rng.choices(INSULTS["en"], k=2) if form else ():
+            words.insert(rng.randrange(len(words) + 1), form(w))
+        return " ".join(words)
+
+    toxic = np.array([k % 3 == 0 for k in range(600)])
+    model = toxicity.fit([text(str if t else None) for t in toxic], toxic, 0.1)
+    share = lambda form: (model.score(model.margins(pa.array([text(form) for _ in range(100)]))) >= 0.3).mean()
+    forms = {"two marks": "--".join, "marks and spaces": " * ".join, "one space": lambda w: w[:2] + " " + w[2:], "stars": "**".join}
+    shares = {name: share(form) for name, form in forms.items()}
+    assert min(shares.values()) > 0.9 and share(None) < 0.05, shares
+    plain, marked = (model.margins(pa.array([t])) for t in ("x idiot y", "x i--d--i--o--t y"))
+    assert (plain == marked).all()
+
+
+def test_toxicity_learns_insults_of_two_words():
+    rng = random.Random(1)
+    say = lambda bad: " ".join([sentence(rng, False), *(["vokzu", "quab"] if bad else rng.choice([["vokzu"], ["quab"]])), sentence(rng, False)])
+    toxic = np.array([k % 3 == 0 for k in range(600)])
+    model = toxicity.fit([say(t) for t in toxic], toxic, 0.1)
+    score = lambda bad: model.score(model.margins(pa.array([say(bad) for _ in range(100)])))
+    assert (score(True) >= 0.3).mean() > 0.9 and (score(False) >= 0.3).mean() < 0.1
