@@ -18,7 +18,7 @@ from .fm_index import FMIndex
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: A-Z to lower case, then every ASCII byte but digits and letters to a space.
 WORD_BYTES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in _LOWER)
-SPANS = "doc_id long, n_words long, n_hit long, spans array<struct<first:int,last:int>>, items array<string>"
+SPANS = "doc_id long, n_words long, n_hit long, spans array<struct<first:int,last:int>>, items array<string>, row string"
 
 
 def benchmark_windows(items: list[tuple[str | None, str]], window: int) -> tuple[pa.Array, np.ndarray, np.ndarray, list[list[str]]]:
@@ -45,7 +45,7 @@ def _spans(phrases: Broadcast, shard_words: int):
         flat_owner = np.array([code[i] for o in owners for i in o], np.int64)
         owner_at = np.concatenate(([0], np.cumsum([len(o) for o in owners]))).astype(np.int64)
 
-        def shard(ids: list[pa.Array], texts: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        def shard(ids: list[pa.Array], keys: list[pa.Array], texts: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
             size = np.concatenate(sizes)
             text = np.concatenate(texts)
             begins = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
@@ -69,22 +69,22 @@ def _spans(phrases: Broadcast, shard_words: int):
             spans = pa.StructArray.from_arrays([pa.array((x - begins[of]).astype(np.int32)) for x in (first, last)], ["first", "last"])
             found = pa.array(names, pa.string()).take(pa.array(pair % max(1, len(names))))
             return pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(ids), pa.array(size), pa.array(n_hit), pa.ListArray.from_arrays(span_at, spans), pa.ListArray.from_arrays(item_at, found)],
-                ["doc_id", "n_words", "n_hit", "spans", "items"],
+                [pa.concat_arrays(ids), pa.array(size), pa.array(n_hit), pa.ListArray.from_arrays(span_at, spans), pa.ListArray.from_arrays(item_at, found), pa.concat_arrays(keys)],
+                ["doc_id", "n_words", "n_hit", "spans", "items", "row"],
             )
 
-        held: tuple[list, list, list] = ([], [], [])
+        held: tuple[list, list, list, list] = ([], [], [], [])
         words = 0
         for batch in slices(batches, "text"):
             flat, offsets = words_of(mapped_bytes(batch.column("text"), WORD_BYTES))
             symbol = pc.index_in(flat, vocabulary).fill_null(-1).to_numpy() + 1
             text = np.insert(symbol, offsets[1:], 0)
-            for part, value in zip(held, (batch.column("doc_id"), text, np.diff(offsets))):
+            for part, value in zip(held, (batch.column("doc_id"), batch.column("row"), text, np.diff(offsets))):
                 part.append(value)
             words += len(text)
             if words >= shard_words:
                 yield shard(*held)
-                held, words = ([], [], []), 0
+                held, words = ([], [], [], []), 0
         if held[0]:
             yield shard(*held)
 
@@ -104,12 +104,14 @@ def contamination(
 
     Each task indexes shards of about ``shard_words`` words (one document at least). The benchmark is
     broadcast in blocks of about ``block_bytes`` of text, as many as it needs; more than one are merged
-    by (doc_id, text hash)."""
+    by (doc_id, text hash), and rows equal in both come out as often as they went in."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_or_empty(F.col("text")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     text = docs.select("doc_id", text_or_empty(F.col("text")).alias("text"))
+    # one block needs no merging
+    text = text.withColumn("row", F.sha2("text", 256) if blocks > 1 else F.lit(""))
     found = None
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
@@ -117,20 +119,22 @@ def contamination(
         rows = text.mapInArrow(_spans(phrases, shard_words), SPANS)
         found = rows if found is None else found.unionByName(rows)
     if blocks > 1:
-        found = _merged(found)
+        found = _merged(found, blocks)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"), "spans", "items",
     )
 
 
-def _merged(found: DataFrame) -> DataFrame:
-    """Spans of several benchmark blocks as one set per document; word positions are covered once.
-    Rows with one doc_id are one document here."""
-    both = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+def _merged(found: DataFrame, blocks: int) -> DataFrame:
+    """Spans of several benchmark blocks as one set per row; word positions are covered once. Equal rows
+    have equal spans in each block, so they are merged once and repeated."""
+    lists = [F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")]
+    both = found.groupBy("doc_id", "row").agg(*lists, (F.count(F.lit(1)) / blocks).cast("int").alias("copies"))
     empty = F.expr("cast(array() as array<struct<first:int,last:int>>)")
     grow = lambda out, x: F.when((F.size(out) > 0) & (F.element_at(out, -1)["last"] >= x["first"]), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(F.element_at(out, -1)["first"].alias("first"), F.greatest(F.element_at(out, -1)["last"], x["last"]).alias("last"))))).otherwise(F.concat(out, F.array(x)))
     merged = both.withColumn("spans", F.when(F.size("s") == 0, empty).otherwise(F.aggregate("s", empty, grow)))
+    merged = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return merged.select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"]).alias("n_hit"), "spans", "items")
 
 

@@ -354,3 +354,13 @@ def test_toxicity_learns_insults_of_two_words():
     model = toxicity.fit([say(t) for t in toxic], toxic, 0.1)
     score = lambda bad: model.score(model.margins(pa.array([say(bad) for _ in range(100)])))
     assert (score(True) >= 0.3).mean() > 0.9 and (score(False) >= 0.3).mean() < 0.1
+
+
+@pytest.mark.parametrize("block", [16 << 20, 12])
+def test_decontamination_judges_each_row_for_any_number_of_blocks(spark, block):
+    items = [("1", "a b c"), ("2", "d e f"), ("3", "g h i"), ("4", "c d")]
+    docs = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "x a b c y"), (1, ""), (None, "g h i"), (None, "x y z w"), (None, None), (None, None), (None, "g h i"), (2, "a b c d e f")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = decontaminate.contamination(d, b, block_bytes=block)
+    rows = sorted((tuple(r[c] for c in "doc_id n_words n_hit n_items items_sha256 contaminated".split()) for r in got.collect()), key=repr)
+    assert rows == contaminated(docs, items)
