@@ -1,9 +1,8 @@
-"""HTML extraction (operator 10): a tree builder with implied tags, then layout-aware rendering of all
-visible text with block spacing, lists and aligned table cells."""
+"""HTML extraction (operator 10): layout-aware rendering of all visible text of a page's element tree, with
+block spacing, lists and aligned table cells."""
 
 from __future__ import annotations
 
-import html as entities
 import re
 from collections.abc import Iterator
 
@@ -12,166 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._work import read_table, slices, text_or_empty
+from .html_tree import HEADINGS, SPACE, Node, build
 
 # Element names of the HTML standard.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style".split())
-PLAIN = frozenset("textarea title".split())
-HIDDEN = frozenset("head script style template noscript title datalist iframe object audio video canvas desc defs metadata annotation annotation-xml".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-SPACED = frozenset("p blockquote pre ul ol dl table figure fieldset".split()) | HEADINGS
-BLOCK = SPACED | frozenset("address article aside body caption center dd details dialog div dt figcaption footer form header hgroup html legend li main menu nav search section summary tr hr".split())
-#: A start tag of the key closes an open element of the values, unless one of the walls is met first.
-CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
-    "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-    **{k: ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}) for k in ("thead", "tbody", "tfoot", "caption", "colgroup")}, "body": ({"head"}, set()),
-}
-CLOSES_P = BLOCK - {"body", "html", "tr", "caption", "li", "dd", "dt", "summary", "legend", "figcaption"} | {"li", "dd", "dt"}
-WALLS = frozenset("table td th caption html body button template".split())
-END_WALLS = {t: {"table"} for t in ("tr", "td", "th", "thead", "tbody", "tfoot", "caption")} | {t: set() for t in ("table", "body", "html", "template")}
-#: Elements that hold only the parts of a table; a start tag of the key drops what is open above the nearest of the values.
-PARTS = frozenset("table thead tbody tfoot tr colgroup".split())
-HOLDS = {"td": PARTS - {"colgroup"}, "th": PARTS - {"colgroup"}, "tr": PARTS - {"colgroup", "tr"}, **{k: frozenset(["table"]) for k in ("thead", "tbody", "tfoot", "caption", "colgroup")}}
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
-#: Copies of drawn formulas for screen readers: clipped away by an own style, or by the style sheets of KaTeX and MathJax.
-CLIPPED = re.compile(r"clip\s*:\s*rect\(\s*[01](?:px)?[\s,]")
-CLIPPED_CLASSES = frozenset("katex-mathml mjx-assistive-mml MJX_Assistive_MathML".split())
+SPACED = frozenset("p blockquote pre listing xmp plaintext ul ol dl table figure fieldset".split()) | HEADINGS
+BLOCK = SPACED | frozenset("address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup html legend li main menu nav optgroup search section summary tr hr".split())
+KEPT = frozenset("pre listing xmp plaintext textarea".split())
 #: Elements of svg and math whose text stands apart from its neighbours.
 APART = frozenset("text mfrac mroot mtd mtr".split())
-SPACE = re.compile(r"[ \t\n\r\f]+")
-
-
-class Node:
-    __slots__ = ("tag", "attributes", "children")
-
-    def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children = tag, attributes, []
-
-
-def attributes_of(raw: str) -> dict[str, str]:
-    if not raw or raw.isspace():
-        return {}
-    return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
-
-
-def build(page: str) -> Node:
-    """The element tree. End tags may be left out where the standard lets them; an end tag without its
-    start is ignored, and one that skips open elements closes them. A cell without a row gets one, a form
-    right in a table's part stays empty, and other content there goes in front of the table."""
-    root = Node("html", {})
-    stack, at, size = [root], 0, len(page)
-
-    def pop(names: set[str] | frozenset[str], walls: set[str] | frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return
-            if stack[k].tag in walls:
-                return
-
-    def table_at() -> int:
-        """Place of the table whose parts, not cells, are open; 0 if there is none."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == "table":
-                return k
-            if stack[k].tag in ("td", "th", "caption", "template"):
-                return 0
-        return 0
-
-    def put(item: Node | str) -> None:
-        """Add to the open element; in a table's part, in front of the table."""
-        k = table_at() if stack[-1].tag in PARTS and (isinstance(item, Node) or SPACE.sub("", item)) else 0
-        if k:
-            # an open table is the last child of what holds it
-            stack[k - 1].children.insert(-1, item)
-        else:
-            stack[-1].children.append(item)
+#: Inputs that show no value as text.
+TEXTLESS = frozenset("hidden password checkbox radio file color range image".split())
+NUMBER = re.compile(r"[ \t\n\f\r]*([+-]?[0-9]{1,9})(?![0-9])")
+#: Levels of tables in cells that are aligned, and characters of indentation. What is nested deeper keeps its
+#: text but gets no more columns and no more indentation, so the text stays in proportion to the page.
+DEEP, INDENT = 16, 40
 
-    for m in MARKUP.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            put(entities.unescape(page[at : m.start()]))
-        at = m.end()
-        tag = m[2] and m[2].lower()
-        if not tag:
-            continue
-        if m[1]:
-            pop({tag}, END_WALLS.get(tag, WALLS - {tag}))
-            continue
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
-            continue
-        if tag in CLOSES_P:
-            pop({"p"}, WALLS)
-        if tag in CLOSES:
-            names, walls = CLOSES[tag]
-            while True:
-                n = len(stack)
-                pop(names, walls)
-                if len(stack) == n:
-                    break
-        elif tag in HEADINGS and stack[-1].tag in HEADINGS:
-            stack.pop()
-        if tag in BLOCK and stack[-1].tag == "head":
-            stack.pop()
-        if tag == "table" and (k := table_at()):
-            del stack[k:]
-        node = Node(tag, attributes_of(m[3]))
-        if tag in HOLDS and table_at():
-            while stack[-1].tag not in HOLDS[tag]:
-                stack.pop()
-            for inner in ("tbody", "tr") if tag in ("td", "th") else ():
-                if stack[-1].tag in HOLDS["tr"] and (inner == "tr" or stack[-1].tag == "table"):
-                    stack[-1].children.append(Node(inner, {}))
-                    stack.append(stack[-1].children[-1])
-            stack[-1].children.append(node)
-        elif tag == "form" and stack[-1].tag in PARTS and table_at():
-            stack[-1].children.append(node)
-            continue
-        else:
-            put(node)
-        if tag in RAW or tag in PLAIN:
-            end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
-            text = page[at : end.start() if end else size]
-            node.children.append(text if tag in RAW else entities.unescape(text))
-            at = end.end() if end else size
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-    if at < size:
-        put(entities.unescape(page[at:]))
-    return root
-
-
-def visible(node: Node, drawn: bool = False) -> bool:
-    """Whether a screen reader says the element or, if ``drawn``, a browser draws it."""
-    a = node.attributes
-    if node.tag in HIDDEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
-        return False
-    if drawn:
-        if node.tag == "mjx-assistive-mml" or not CLIPPED_CLASSES.isdisjoint(a.get("class", "").split()) or CLIPPED.search(a.get("style", "").lower()):
-            return False
-    elif a.get("aria-hidden", "").lower() == "true":
-        return False
-    return not UNSEEN.search(a["style"].lower()) if "style" in a else True
-
-
-def options(select: Node, drawn: bool) -> list[Node | str]:
-    """What a select shows: all options of a list box, else the last selected or the first that can be chosen."""
-    found, waiting = [], select.children[::-1]
-    while waiting:
-        child = waiting.pop()
-        if isinstance(child, Node) and visible(child, drawn):
-            if child.tag == "option":
-                found.append(child)
-            else:
-                waiting += child.children[::-1]
-    a = select.attributes
-    if "multiple" not in a and not (a.get("size", "").isdigit() and int(a["size"]) > 1):
-        found = [o for o in found if "selected" in o.attributes][-1:] or [o for o in found if "disabled" not in o.attributes][:1]
-    return [part for o in found for part in (" ", o.attributes.get("label") or o, " ")]
+
+def number(text: str | None, otherwise: int) -> int:
+    m = NUMBER.match(text or "")
+    return int(m[1]) if m else otherwise
 
 
 class Page:
@@ -188,7 +46,7 @@ class Page:
 
     def text(self, raw: str, keep: bool) -> None:
         if keep:
-            for k, part in enumerate(raw.replace("\r\n", "\n").split("\n")):
+            for k, part in enumerate(raw.split("\n")):
                 if k:
                     self.end(force=True)
                 if part:
@@ -213,7 +71,8 @@ class Page:
             self.gap = False
             self.lines.append((self.indent + self.bullet + line).rstrip(" "))
             if self.bullet:
-                self.indent += " " * len(self.bullet)
+                if len(self.indent) < INDENT:
+                    self.indent += " " * len(self.bullet)
                 self.bullet = ""
 
     def block(self, spaced: bool) -> None:
@@ -221,111 +80,218 @@ class Page:
         self.gap = self.gap or spaced
 
 
-def rows_of(table: Node, drawn: bool) -> Iterator[Node]:
-    waiting = [table.children[::-1]]
+def options(select: Node) -> list[Node | str]:
+    """What a select shows: all options of a list box, else the last selected or the first that can be chosen."""
+    found, waiting = [], select.children[::-1]
+    while waiting:
+        child = waiting.pop()
+        if isinstance(child, Node) and child.kind != "none":
+            if child.tag == "option":
+                found.append(child)
+            else:
+                waiting += child.children[::-1]
+    a = select.attributes
+    if "multiple" not in a and number(a.get("size"), 1) <= 1:
+        found = [o for o in found if "selected" in o.attributes][-1:] or [o for o in found if "disabled" not in o.attributes][:1]
+    return [part for o in found for part in (" ", o.attributes.get("label") or o, " ")]
+
+
+class Cell:
+    """A table cell: its columns and rows, then its lines."""
+
+    __slots__ = ("node", "hidden", "wide", "high", "lines", "at")
+
+    def __init__(self, node: Node, hidden: bool):
+        self.node, self.hidden, self.lines, self.at = node, hidden, [], 0
+        self.wide = min(1000, max(1, number(node.attributes.get("colspan"), 1)))
+        self.high = max(0, number(node.attributes.get("rowspan"), 1))
+
+
+def parts_of(table: Node, hidden: bool) -> tuple[list[tuple[Node, bool]], list[list[Cell]]]:
+    """Captions and rows of cells that are drawn, with whether they begin hidden."""
+    now = lambda n, h: h if n.kind is None else n.kind == "hidden"
+    captions, rows = [], []
+    waiting = [(c, hidden) for c in reversed(table.children)]
     while waiting:
-        if not waiting[-1]:
-            waiting.pop()
+        child, inherited = waiting.pop()
+        if not isinstance(child, Node) or child.kind == "none":
             continue
-        child = waiting[-1].pop()
-        if isinstance(child, Node) and visible(child, drawn):
-            if child.tag == "tr":
-                yield child
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                waiting.append(child.children[::-1])
-
-
-def render(node: Node, depth: int = 0, drawn: bool = False) -> list[str]:
-    """Lines of a node's visible text. Walks with a stack of its own; only tables in cells recurse."""
-    page = Page()
-    counts: list[list] = []
-    keep = 0
-    stack: list[tuple] = [("in", c) for c in reversed(node.children)]
+        own = now(child, inherited)
+        if child.tag == "caption":
+            captions.append((child, inherited))
+        elif child.tag == "tr":
+            rows.append([Cell(c, now(c, own)) for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and c.kind != "none"])
+            if any(c.high == 0 for c in rows[-1]):  # down to the last row
+                for c in rows[-1]:
+                    c.high = c.high or 65534
+        else:
+            waiting += [(c, own) for c in reversed(child.children)]
+    return captions, rows
+
+
+def render(root: Node) -> list[str]:
+    """Lines of a tree's visible text. Walks with a stack of its own, so any depth will do."""
+    page, counts, keep, hidden = Page(), [], 0, False
+    outer: list[tuple] = []
+    stack: list = [root]
     while stack:
-        step, item = stack.pop()
-        if step == "out":
-            tag, indent = item
-            if tag == "pre":
-                keep -= 1
-            if tag in ("ul", "ol", "menu"):
-                counts.pop()
-            page.block(tag in SPACED and not (tag in ("ul", "ol") and counts))
-            page.indent, page.bullet = indent, ""
-            continue
+        item = stack.pop()
         if isinstance(item, str):
-            page.text(item, keep > 0)
+            if not hidden:
+                page.text(item, keep > 0)
+            continue
+        if isinstance(item, tuple):
+            step, what = item
+            if step == "leave":
+                tag, indent, hidden = what
+                if tag in KEPT:
+                    keep -= 1
+                if tag in ("ul", "ol", "menu", "dir"):
+                    counts.pop()
+                if tag in BLOCK:
+                    page.block(tag in SPACED and not (tag in ("ul", "ol") and counts))
+                    page.indent, page.bullet = indent, ""
+            elif step == "cell":
+                outer.append((page, counts, keep, hidden))
+                page, counts, keep, hidden = Page(), [], 0, what.hidden
+                stack.append(("end", what))
+                stack += reversed(what.node.children)
+            elif step == "end":
+                page.end()
+                what.lines = page.lines
+                page, counts, keep, hidden = outer.pop()
+            else:
+                for line in aligned(what):
+                    page.line = [line]
+                    page.end(force=True)
+                page.block(True)
             continue
-        tag = item.tag
-        if not visible(item, drawn):
+        tag, a = item.tag, item.attributes
+        if item.kind == "none":
             continue
+        was = hidden
+        if item.kind:
+            hidden = item.kind == "hidden"
         if tag == "br":
             page.end(force=True)
-            continue
-        if tag == "img":
-            page.text(item.attributes.get("alt", ""), False)
-            continue
-        if tag == "input":
-            if item.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text"):
-                page.text(item.attributes.get("value", ""), False)
-            continue
-        if tag == "hr":
-            page.block(True)
-            continue
-        if tag == "select":
-            stack += [("in", o) for o in reversed(options(item, drawn))]
-            continue
-        if tag in APART:
-            stack += [("in", c) for c in (" ", *item.children[::-1], " ")] if tag != "mfrac" else [("in", x) for c in item.children[::-1] for x in (" ", c, " ")]
-            continue
-        if tag == "table" and depth < 20:
+        elif tag == "img" or (tag == "input" and a.get("type", "").lower() == "image"):
+            if not hidden:
+                page.text(a.get("alt", ""), False)
+        elif tag == "input":
+            if not hidden and a.get("type", "").lower() not in TEXTLESS:
+                page.text(a.get("value") or a.get("placeholder", ""), False)
+        elif tag == "hr":
             page.block(True)
-            for child in item.children:
-                if isinstance(child, Node) and child.tag == "caption" and visible(child, drawn):
-                    for line in render(child, depth + 1, drawn):
-                        page.line = [line]
-                        page.end()
-            for line in aligned([[render(c, depth + 1, drawn) for c in r.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c, drawn)] for r in rows_of(item, drawn)]):
-                page.line = [line]
-                page.end(force=True)
+        elif tag == "table" and len(outer) < DEEP:
             page.block(True)
+            captions, rows = parts_of(item, hidden)
+            stack += [("leave", ("", "", was)), ("rows", rows)]
+            stack += [("cell", c) for r in reversed(rows) for c in reversed(r)]
+            stack += [c for c, _ in reversed(captions)]
             continue
-        if tag in BLOCK:
-            page.block(tag in SPACED and not (tag in ("ul", "ol") and counts))
-            stack.append(("out", (tag, page.indent)))
-            if tag in ("ul", "ol", "menu"):
-                counts.append([tag, int(item.attributes.get("start", "1")) if item.attributes.get("start", "1").lstrip("-").isdigit() else 1])
-            elif tag == "li":
-                kind = counts[-1] if counts else ["ul", 1]
-                page.bullet = f"{kind[1]}. " if kind[0] == "ol" else "* "
-                kind[1] += 1
-            elif tag in ("dd", "blockquote"):
-                page.indent += "  "
-            elif tag == "pre":
+        else:
+            children = options(item) if tag == "select" else item.children
+            if tag in APART and item.foreign or tag in ("td", "th"):
+                children = [" ", *([x for c in children for x in (" ", c)] if tag == "mfrac" else children), " "]
+            if tag in BLOCK or tag in KEPT or hidden is not was:
+                stack.append(("leave", (tag, page.indent, was)))
+                was = hidden
+            if tag in BLOCK:
+                page.block(tag in SPACED and not (tag in ("ul", "ol") and counts))
+                if tag in ("ul", "ol", "menu", "dir"):
+                    down = tag == "ol" and "reversed" in a
+                    first = sum(isinstance(c, Node) and c.tag == "li" for c in children) if down else 1
+                    counts.append([tag, number(a.get("start"), first), -1 if down else 1])
+                elif tag == "li":
+                    kind = counts[-1] if counts else ["ul", 1, 1]
+                    kind[1] = number(a.get("value"), kind[1])
+                    if not hidden:
+                        page.bullet = f"{kind[1]}. " if kind[0] == "ol" else "* "
+                    kind[1] += kind[2]
+                elif tag in ("dd", "blockquote") and len(page.indent) < INDENT:
+                    page.indent += "  "
+            if tag in KEPT:
                 keep += 1
-        stack += [("in", c) for c in reversed(item.children)]
+                if children and isinstance(children[0], str) and children[0].startswith("\n"):
+                    children = [children[0][1:], *children[1:]]
+            stack += reversed(children)
+        hidden = was
     page.end()
     return page.lines
 
 
-def aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Table rows with every column as wide as its widest line and two spaces between columns."""
-    columns = max((len(r) for r in rows), default=0)
-    wide = [max((len(line) for r in rows if k < len(r) for line in r[k]), default=0) for k in range(columns)]
+def aligned(rows: list[list[Cell]]) -> list[str]:
+    """Lines of a table. A column is as wide as the widest line of the cells in it alone, and two spaces stand
+    between columns; a cell over several columns widens the last of them if it must. A table whose spaces
+    would far outweigh its text has its cells two spaces apart instead."""
+    columns = 0
+    taken, ends = 0, {}  # bits of columns that cells of earlier rows reach down to, and what ends at a row
+    down = any(c.high > 1 for r in rows for c in r) and max((sum(c.wide for c in r) for r in rows), default=0) <= 1000
+    for n, row in enumerate(rows):
+        taken &= ~ends.pop(n, 0)
+        at = 0
+        for cell in row:
+            if taken >> at:
+                free = ~(taken >> at)
+                at += (free & -free).bit_length() - 1
+            cell.at = at
+            at += cell.wide
+            if down and cell.high > 1:
+                bits = ((1 << cell.wide) - 1) << cell.at
+                taken |= bits
+                ends[n + cell.high] = ends.get(n + cell.high, 0) | bits
+        columns = max(columns, at)
+    starts = sorted({c.at for r in rows for c in r})
+    place = {c: k for k, c in enumerate(starts)}
+    width = [0] * len(starts)
+    over = []
+    for cell in (c for r in rows for c in r):
+        widest = max(map(len, cell.lines), default=0)
+        k = place[cell.at]
+        if k + 1 == len(starts) or starts[k + 1] >= cell.at + cell.wide:
+            width[k] = max(width[k], widest)
+        elif widest:
+            over.append((cell.at + cell.wide, k, widest))
+    for end, k, widest in sorted(over):
+        last = k
+        room = -2
+        while last < len(starts) and starts[last] < end:
+            room += width[last] + 2
+            last += 1
+        if room < widest:
+            width[last - 1] += widest - room
+    offset = [0]
+    for w in width:
+        offset.append(offset[-1] + w + 2)
+    high = [max((len(c.lines) for c in r), default=0) for r in rows]
+    natural = sum(len(line) + 2 for r in rows for c in r for line in c.lines)
+    padded = sum(h * offset[place[r[-1].at]] for h, r in zip(high, rows) if r)
+    loose = padded > 16 * natural + 10_000
     out = []
-    for r in rows:
-        for n in range(max((len(c) for c in r), default=0)):
-            out.append("  ".join((c[n] if n < len(c) else "").ljust(wide[k]) for k, c in enumerate(r)).rstrip(" "))
+    for h, row in zip(high, rows):
+        for n in range(h):
+            parts, size = [], 0
+            for cell in row:
+                line = cell.lines[n] if n < len(cell.lines) else ""
+                if loose:
+                    parts.append(line if not parts else "  " + line)
+                elif line:
+                    gap = offset[place[cell.at]] - size
+                    parts.append(" " * gap + line)
+                    size += gap + len(line)
+            out.append("".join(parts).rstrip(" "))
     return out
 
 
 def visible_text(page: str, drawn: bool = False) -> str:
     """The text for a screen reader or, if ``drawn``, all text that a browser draws."""
-    lines = render(build(page.replace("\0", "�")), drawn=drawn)
-    while lines and not lines[-1]:
-        lines.pop()
-    while lines and not lines[0]:
-        lines.pop(0)
-    return "\n".join(lines)
+    lines = render(build(page, drawn))
+    first, last = 0, len(lines)
+    while last and not lines[last - 1]:
+        last -= 1
+    while first < last and not lines[first]:
+        first += 1
+    return "\n".join(lines[first:last])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,9 +303,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def html_text(pages: DataFrame) -> DataFrame:
     """One row per input row: page_id, text, n_chars, n_lines.
 
-    All text that is drawn counts, hidden from screen readers or not. Null and empty html give an empty text with no line; broken markup is read as far as it goes and
-    never fails. Rows are independent, so repeated rows and null ids each give their row. Other columns
-    aren't carried. One pass, no shuffle."""
+    All text that is drawn counts, hidden from screen readers or not; scripts count as running, so noscript is
+    not drawn, and closed details count as opened. Any text is a page: null and empty html give an empty text
+    with no line, markup of any kind is read as a browser reads it (a tag that the page's end cuts off is
+    dropped), and time and memory follow a page's length. Tables are aligned down to ``DEEP`` levels in one
+    another and lines indented by at most some ``INDENT`` characters; what is deeper keeps its text.
+    Rows are independent, so repeated rows and null ids each give their row. Other columns aren't carried; an
+    empty table gives an empty one. One pass, no shuffle."""
     rows = pages.select("page_id", text_or_empty(F.col("html")).alias("text")).mapInArrow(_extract, "page_id long, text string")
     lines = F.when(F.length("text") == 0, 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
     return rows.select("page_id", "text", F.length("text").cast("long").alias("n_chars"), lines.cast("long").alias("n_lines"))

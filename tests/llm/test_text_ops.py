@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import time
 import re
 import struct
 import zipfile
@@ -312,6 +313,101 @@ def test_html_every_text_of_a_broken_table_comes_out():
         assert all(text.count(w) == 1 for w in (f"w{k}." for k in range(25))), page
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<ol start='²'><li>a</ol>", "1. a"), ("<ol start=--5><li>a</ol>", "1. a"), (f"<ol start={'9' * 5000}><li>a</ol>", "1. a"), ("<ol start=-2 reversed><li>a<li value=7>b<li>c</ol>", "-2. a\n7. b\n6. c"), (f"&#{'1' * 5000};&#x{'f' * 5000};&#0;&#00000000065;", "���A"),
+        ("<a title='don't go'>Hello there</a><p>it's fine</p>", "Hello there\n\nit's fine"), ('<p class=a"b>seen</p>', "seen"), ('a<p title="open>b<p>c', "a"), ("a<b", "a"), ("a </ b", "a"), ("a</>b", "ab"), ("<!-->a<!--->b<!--x--!>c<?php d ?>e", "abce"),
+        ("<table><td>cell</td></table>", "cell"), ("<b><div>x</b>y</div>z", "xy\nz"), ("<div/>a</div>b", "a\nb"), ("<script/>no</script>yes", "yes"), ("<script><!-- <script> </script> no --></script>yes", "yes"), ("<svg><circle/><text>a</text></svg>b", "a b"),
+        ("<svg><title>no</title><text><![CDATA[<x>]]></text></svg>", "<x>"), ("<svg><g><p>out</p>", "out"), ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b><i>c</i></div>", "b"), ("<b hidden>a<p>b</b>c", "c"), ("<p style='display:none;display:block'>a</p>", "a"),
+        ("<i style='visibility:hidden'>a<div style='visibility:visible'>b</div>c</i>d", "b\nd"), ("<table hidden><tr><td>no</table>a", "a"), ("<table><tr style='visibility:hidden'><td>no<td style='visibility:visible'>b</table>", "  b"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<table><tr><td colspan=2>wide<td>z<tr><td>a<td>b<td>c</table>", "wide  z\na  b  c"), ("<table><tr><td>a<td>b<tr><td colspan=2>much longer<tr><td>c<td>d<td>e</table>", "a  b\nmuch longer\nc  d         e"),
+        ("<head><link><p>shown</head>", "shown"), ("<noscript>no</noscript><iframe>no</iframe>a<plaintext>b</p>", "a\n\nb</p>"), ("<select><option>a<div>b</div><option>c</select>", "ab"), ("<button>a<button>b</button>c", "abc"), ("<h1>a<h2>b</h1>c", "a\n\nb\n\nc"), ("<textarea>\n a\n b</textarea>", " a\n b"),
+    ],
+)
+def test_html_is_read_as_the_standard_says(page, text):
+    assert html_text.visible_text(page, drawn=True) == text.strip("\n")
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<a "' * 25_000, '<a x="' * 15_000, "<div>" * 100_000 + "deep", "<table><tr><td>" * 10_000 + "deep", "<span><div>" * 10_000 + "</span>" * 10_000, "<ul><li>a" * 10_000, "<blockquote>a<br>" * 8_000, "<div>" * 10_000 + "</span>" * 10_000,
+        "<table>" + "x<div>" * 15_000, "<table><tr>" + "<td rowspan=60000>a" * 900 + "<tr><td>x" * 10_000, "<table>" + "<tr><td colspan=1000>a<td>x" * 4_000, "<table><tr><td>" + "y" * 100_000 + "<td>z" + "<tr><td>a<td>b" * 8_000, "<table><td>" + "<table><caption>" * 8_000,
+        "<b style=visibility:hidden>" * 5_000 + "x<div style=visibility:visible>y" * 2_000, "<script><!-- <script " * 8_000, "<svg><g>" * 10_000 + "<p>" * 10_000, "&#" + "1" * 100_000, "<form>" * 10_000 + "</form>" * 10_000, "<p>a" * 20_000, "<a>" * 20_000, "<!--" * 20_000, "<title>" + "</titl" * 20_000,
+    ],
+)
+def test_html_takes_time_and_space_in_proportion(page):
+    began = time.process_time()
+    text = html_text.visible_text(page, drawn=True)
+    assert time.process_time() - began < 5 and len(text) < 10 * len(page) + 10_000
+
+
+class Tree:
+    """A random well-formed page, its markup with end tags left out where that is allowed, and its text by plain recursion."""
+
+    def __init__(self, rng):
+        self.rng, self.n = rng, 0
+
+    def word(self):
+        self.n += 1
+        return f"w{self.n}"
+
+    def inline(self):
+        """(markup, text)"""
+        kind = self.rng.randrange(6)
+        if kind < 3:
+            return (w := self.word()), w
+        if kind == 3:
+            return f"<span hidden>{self.word()}</span>", ""
+        m, t = self.inline()
+        return (f"<b>{m}</b>", t) if kind == 4 else (f"<span title='a>b'>{m}</span>", t)
+
+    def block(self, depth):
+        """(markup, lines, whether an empty line stands before, and after)"""
+        kind = self.rng.choice(["p", "div", "ul", "ol", "table", "section", "h2"] if depth else ["p", "div"])
+        if kind in ("p", "h2") or not depth:
+            m, t = self.inline()
+            end = f"</{kind}>" if kind != "p" or self.rng.random() < 0.5 else "</p>"
+            return f"<{kind}>{m}{end}", [t] if t else [], kind != "div", kind != "div"
+        if kind in ("div", "section"):
+            m, *rest = self.flow(depth - 1)
+            return f"<{kind}>{m}</{kind}>", *rest
+        if kind == "table":
+            rows = [[self.inline() for _ in range(self.rng.randrange(1, 4))] for _ in range(self.rng.randrange(1, 4))]
+            wide = [max(len(r[k][1]) for r in rows if k < len(r)) for k in range(max(map(len, rows)))]
+            lines = ["  ".join(t.ljust(wide[k]) for k, (_, t) in enumerate(r)).rstrip() for r in rows if any(t for _, t in r)]
+            end = lambda tag: self.rng.choice(["", f"</{tag}>"])
+            body = "".join("<tr>" * (r is not rows[0] or self.rng.random() < 0.5) + "".join(f"<td>{m}{end('td')}" for m, _ in r) + end("tr") for r in rows)
+            return f"<table>{self.rng.choice(['', '<tbody>'])}{body}</table>", lines, True, True
+        markup, lines = "", []
+        for k in range(self.rng.randrange(1, 4)):
+            m, t = self.inline()
+            markup += f"<li>{m}" + self.rng.choice(["", "</li>"])
+            mark = f"{k + 1}. " if kind == "ol" else "* "
+            lines += [mark + t] if t else []
+        return f"<{kind}>{markup}</{kind}>", lines, True, True
+
+    def flow(self, depth):
+        markup, lines, gap, lead = "", [], False, False
+        for _ in range(self.rng.randrange(1, 5)):
+            m, own, before, after = self.block(depth)
+            markup, gap = markup + m, gap or before
+            if own:
+                lead = lead if lines else gap
+                lines += ([""] if gap and lines else []) + own
+                gap = after
+            gap = gap or after
+        return markup, lines, lead if lines else gap, gap
+
+
+def test_html_text_of_generated_pages():
+    rng = random.Random(11)
+    for _ in range(600):
+        markup, lines, _, _ = Tree(rng).flow(2)
+        assert html_text.visible_text(f"<!DOCTYPE html><html><head><title>no</title><body>{markup}</html>", drawn=True) == "\n".join(lines), markup
+
+
 KATEX = '<span class="katex"><span class="katex-mathml"><math><semantics><mi>E</mi><annotation>E</annotation></semantics></math></span><span class="katex-html" aria-hidden="true"><span>E</span></span></span>'
 
 
