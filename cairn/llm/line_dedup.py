@@ -7,66 +7,142 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from ._work import read_table, stored, text_or_empty
+from ._work import read_table, slices, stored, text_or_empty
 
 WILD = "<*>"
 
 
 class Leaf:
-    """Templates of one leaf, as rows of token numbers (0 is the wildcard), in the order they came."""
+    """Templates of one leaf, as rows of token numbers (0 is the wildcard), in the order they came.
 
-    def __init__(self, width: int, percent: int):
-        self.rows, self.used, self.percent = np.zeros((8, width), np.int64), 0, percent
+    A line that may join a template differs from it in few places. Of one stretch more than those, behind the
+    leading tokens, one is equal in both; so an index of stretches gives all templates that may take the line."""
+
+    def __init__(self, width: int, depth: int, percent: int):
+        self.rows, self.used, self.depth = np.zeros((8, width), np.int64), 0, depth
         self.code: dict[str, int] = {WILD: 0}
+        self.need = -(-percent * width // 100)
+        stretches = width - self.need + 1
+        self.cuts = [depth + (width - depth) * k // stretches for k in range(stretches + 1)] if width - depth >= stretches else None
+        self.index: dict[tuple[int, bytes], list[int]] = {}
+
+    def _keys(self, row: np.ndarray) -> list[tuple[int, bytes]]:
+        return [(a, row[a:b].tobytes()) for a, b in zip(self.cuts, self.cuts[1:])]
+
+    def _put(self, number: int, keys: list[tuple[int, bytes]]) -> None:
+        for key in keys:
+            self.index.setdefault(key, []).append(number)
+
+    def _best(self, row: np.ndarray, among: np.ndarray) -> tuple[int, int, int]:
+        """The template with most places that hold the line's constants, then most wildcards, then the first;
+        with the number of such places and of masked fields that meet a wildcard."""
+        rows = self.rows[among]
+        same = ((rows == row) & (rows > 0)).sum(axis=1)
+        wild = (rows == 0).sum(axis=1)
+        best = int(np.lexsort((among, -wild, -same))[0])
+        return int(among[best]), int(same[best]), int(((rows[best] == 0) & (row == 0)).sum())
 
     def add(self, tokens: list[str]) -> int:
         """Number of the template that the line joins: the most alike (first among equals) if enough
-        places hold the same constant, else a new one. Places that differ become wildcards."""
+        places agree, else a new one. Places that differ become wildcards."""
         row = np.array([self.code.setdefault(t, len(self.code)) for t in tokens], np.int64)
-        if self.used:
-            rows = self.rows[: self.used]
-            same = ((rows == row) & (rows > 0)).sum(axis=1)
-            wild = (rows == 0).sum(axis=1)
-            best = int(np.lexsort((np.arange(self.used), -wild, -same))[0])
-            # a masked field in the line counts as a place that agrees with the template's wildcard
-            both = int(((rows[best] == 0) & (row == 0)).sum())
-            if 100 * (same[best] + both) >= self.percent * len(row):
-                self.rows[best] = np.where(rows[best] == row, row, 0)
+        every = np.arange(self.used)
+        keys = self._keys(row) if self.cuts else []
+        near = every if not self.cuts else np.unique(np.array([n for k in keys for n in self.index.get(k, ())], np.int64))
+        if len(near):
+            best, same, both = self._best(row, near)
+            if len(near) < self.used and same + both >= self.need > same + int((row[: self.depth] == 0).sum()):
+                # enough only by masked fields further back: a template elsewhere may hold more constants
+                best, same, both = self._best(row, every)
+            if same + both >= self.need:
+                new = np.where(self.rows[best] == row, row, 0)
+                if self.cuts and (new != self.rows[best]).any():
+                    self._put(best, [k for k, old in zip(self._keys(new), self._keys(self.rows[best])) if k != old])
+                self.rows[best] = new
                 return best
         if self.used == len(self.rows):
             self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
         self.rows[self.used] = row
+        self._put(self.used, keys)
         self.used += 1
         return self.used - 1
 
 
-def _grow(percent: int):
+def _grow(depth: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leaf = None, None
+        at, leaves = None, {}
         for batch in batches:
             number = []
             for key, tokens in zip(batch.column("leaf").to_pylist(), batch.column("tokens").to_pylist()):
                 if key != at:
-                    at, leaf = key, Leaf(len(tokens), percent)
-                number.append(leaf.add(tokens))
-            yield pa.RecordBatch.from_arrays([batch.column("leaf"), batch.column("line"), pa.array(number, pa.int32())], ["leaf", "line", "template"])
+                    at, leaves = key, {}
+                width = len(tokens)  # leaves of other widths with one hash stay apart
+                if width not in leaves:
+                    leaves[width] = Leaf(width, depth, percent)
+                number.append((width << 32) + leaves[width].add(tokens))
+            yield pa.RecordBatch.from_arrays([batch.column("leaf"), batch.column("line"), batch.column("docs"), pa.array(number, pa.int64())], ["leaf", "line", "docs", "template"])
+
+    return run
+
+
+def masked(lines: pa.StringArray) -> pa.StringArray:
+    """The tokens of each line, one space apart; those with a digit are variable fields."""
+    digits = pc.match_substring_regex(lines, "[0-9]")
+    if pc.any(digits).as_py():
+        lines = pc.replace_with_mask(lines, digits, pc.replace_substring_regex(lines.filter(digits), r"[^ \t\r\f\v]*[0-9][^ \t\r\f\v]*", WILD))
+    loose = pc.match_substring_regex(lines, r"[\t\r\f\v]|  |^ | $")
+    if pc.any(loose).as_py():
+        lines = pc.replace_with_mask(lines, loose, pc.utf8_trim(pc.replace_substring_regex(lines.filter(loose), r"[ \t\r\f\v]+", " "), " "))
+    return lines
+
+
+def _parse(least_tokens: int, depth: int):
+    """Each line of a text with its leaf: its place, the hashes of the leaf and of the masked line, and that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            lists = pc.split_pattern(batch.column("text"), "\n")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            doc = np.repeat(np.arange(len(lists)), np.diff(offsets))
+            pos = np.arange(len(doc)) - (offsets - offsets[0])[doc]
+            shown = masked(lists.flatten())
+            leaf, line = np.zeros((2, len(doc)), np.uint64)
+            keep = np.zeros(len(doc), bool)
+            for k, text in enumerate(shown.to_pylist()):
+                size = text.count(" ") + 1 if text else 0
+                if size >= least_tokens:
+                    keep[k], line[k] = True, xxhash.xxh3_64_intdigest(text)
+                    leaf[k] = xxhash.xxh3_64_intdigest(f"{size} {' '.join(text.split(' ', depth)[:depth])}")
+            at = np.flatnonzero(keep)
+            rows = pa.array(doc[at])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(rows), batch.column("h").take(rows), pa.array(pos[at].astype(np.int32)), pa.array(leaf[at].view(np.int64)), pa.array(line[at].view(np.int64)), shown.take(pa.array(at))],
+                ["doc_id", "h", "pos", "leaf", "line", "shown"],
+            )
 
     return run
 
 
-def masked(lines: Column) -> Column:
-    """The tokens of each line, one space apart; those with a digit are variable fields. Done in steps inside
-    the array, so that no line goes through a pattern twice."""
-    hide = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[^ \t\r\f\x0B0-9]*+[0-9][^ \t\r\f\x0B]*", WILD)).otherwise(x)
-    squeeze = lambda x: F.trim(F.when(x.rlike(r"[\t\r\f\x0B]|  "), F.regexp_replace(x, r"[ \t\r\f\x0B]+", " ")).otherwise(x))
-    return F.transform(F.transform(lines, hide), squeeze)
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the lines at the places in ``gone``."""
+    for batch in slices(batches, "text"):
+        left, total, dropped = [], [], []
+        for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
+            lines = text.split("\n")
+            total.append(len(lines))
+            gone = set(gone or ())
+            dropped.append(len(gone))
+            left.append("\n".join(t for k, t in enumerate(lines) if k not in gone) if gone else text)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(left, pa.string())], ["doc_id", "n_lines", "n_dropped", "text"])
 
 
-def line_dedup(docs: DataFrame, least_docs: int = 3, least_tokens: int = 3, depth: int = 3, percent: int = 80, salts: int = 32, most_bits: int = 1 << 30) -> DataFrame:
+def line_dedup(docs: DataFrame, least_docs: int = 3, least_tokens: int = 3, depth: int = 3, percent: int = 80, most_bits: int = 1 << 30) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped, text (what is left, in order).
 
     A line of ``least_tokens`` or more tokens goes to the leaf of its token count and first ``depth``
@@ -78,44 +154,36 @@ def line_dedup(docs: DataFrame, least_docs: int = 3, least_tokens: int = 3, dept
     document and are cut alike; equal texts under other ids are other documents. Null ids are a document
     for each text. Other columns aren't carried; an empty table gives an empty one.
 
-    Only distinct masked lines of leaves that can recur reach the tree, in one pass of sorted groups
-    that holds a leaf's templates, not its lines; hot lines are counted under salts."""
+    Lines are parsed once, where their text is. A bounded Bloom filter finds leaves that may hold two lines;
+    only theirs shuffle. Only distinct masked lines of leaves that can recur reach the tree, in one pass
+    of sorted groups that holds a leaf's templates, not its lines. Counts of hot lines are summed before
+    they shuffle."""
     text = text_or_empty(F.col("text"))
     base = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
-    lines = base.select("doc_id", "h", F.posexplode(masked(F.split("text", "\n"))).alias("pos", "shown"))
-    size = F.when(F.col("shown") == "", 0).otherwise(F.length("shown") - F.length(F.translate("shown", " ", "")) + 1)
-    lines = lines.withColumn("size", size).filter(F.col("size") >= least_tokens)
-    keyed = lines.select("doc_id", "h", "pos", "shown", F.xxhash64("size", F.substring_index("shown", " ", depth)).alias("leaf"), F.xxhash64("shown").alias("line"))
-    narrow = stored(keyed.select("doc_id", "h", "pos", "leaf", "line"), "lines")
-
-    once = narrow.select("doc_id", "h", "leaf", "line").distinct()
-    salt = F.pmod(F.xxhash64("doc_id", "h"), F.lit(salts)).cast("int")
-    count = stored(once.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs")), "count")
+    lines = stored(base.mapInArrow(_parse(least_tokens, depth), "doc_id long, h long, pos int, leaf long, line long, shown string"), "lines")
+    bits = bloom.filter_bits(lines.count(), 16, most_bits)
+    twice = bloom.build(lines.select(F.col("leaf").alias("h")), bits, least=min(2, least_docs))
+    lines = stored(lines.filter(bloom.might_contain(twice, bits, F.col("leaf"))), "shared")
+
+    count = stored(lines.select("doc_id", "h", "leaf", "line").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs")), "count")
     open_ = count.groupBy("leaf").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_docs).select("leaf")
-    open_ = stored(count.join(open_, "leaf"), "open")
-    # each distinct line once, from any of its rows; a bounded Bloom filter keeps lines of other leaves out
-    bits = bloom.filter_bits(open_.count(), 16, most_bits)
-    held = bloom.build(open_.select(F.col("line").alias("h")), bits, least=1)
-    shown = keyed.filter(bloom.might_contain(held, bits, F.col("line"))).groupBy("leaf", "line").agg(F.first("shown").alias("shown"))
+    shown = lines.select("leaf", "line", "shown").dropDuplicates(["leaf", "line"])
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = shown.join(open_, ["leaf", "line"]).repartition(tasks, "leaf").sortWithinPartitions("leaf", F.desc("docs"), "shown")
-    order = order.select("leaf", "line", F.split("shown", " ").alias("tokens"))
-    tree = stored(order.mapInArrow(_grow(percent), "leaf long, line long, template int"), "tree")
-
-    salted = tree.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    placed = narrow.withColumn("salt", salt).join(salted, ["leaf", "line", "salt"]).select("doc_id", "h", "pos", "leaf", "template", "salt")
-    placed = stored(placed, "placed")
-    seen = placed.select("leaf", "template", "salt", "doc_id", "h").distinct().groupBy("leaf", "template", "salt").agg(F.count(F.lit(1)).alias("n"))
-    recurs = seen.groupBy("leaf", "template").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_docs)
-    recurs = seen.select("leaf", "template", "salt").join(recurs.select("leaf", "template"), ["leaf", "template"])
-    dropped = placed.join(recurs, ["leaf", "template", "salt"], "left_semi")
-    dropped = dropped.groupBy(F.xxhash64("doc_id", "h").alias("row")).agg(F.collect_set("pos").alias("gone"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda t, i: ~F.array_contains("gone", i)), "\n")
-    out = base.withColumn("row", F.xxhash64("doc_id", "h")).join(dropped, "row", "left")
-    return out.select(
-        "doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
-    )
+    order = shown.join(count.join(open_, "leaf", "left_semi"), ["leaf", "line"]).repartition(tasks, "leaf").sortWithinPartitions("leaf", F.desc("docs"), "shown")
+    order = order.select("leaf", "line", "docs", F.split("shown", " ").alias("tokens"))
+    tree = stored(order.mapInArrow(_grow(depth, percent), "leaf long, line long, docs long, template long"), "tree")
+
+    # a line in enough documents settles its template; so does a sum that is too low
+    sums = stored(tree.groupBy("leaf", "template").agg(F.max("docs").alias("most"), F.sum("docs").alias("all")).filter(F.col("all") >= least_docs), "sums")
+    unsure = tree.join(sums.filter(F.col("most") < least_docs), ["leaf", "template"], "left_semi")
+    seen = lines.select("doc_id", "h", "leaf", "line").join(unsure, ["leaf", "line"]).select("leaf", "template", "doc_id", "h").distinct()
+    seen = seen.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_docs)
+    recurs = sums.filter(F.col("most") >= least_docs).select("leaf", "template").unionByName(seen.select("leaf", "template"))
+    gone = stored(tree.join(recurs, ["leaf", "template"], "left_semi").select("leaf", "line"), "gone")
+    dropped = lines.select("doc_id", "h", "pos", "leaf", "line").join(gone, ["leaf", "line"], "left_semi")
+    dropped = dropped.groupBy(F.col("doc_id").alias("id_"), F.col("h").alias("h_")).agg(F.collect_set("pos").alias("gone"))
+    out = base.join(dropped, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), "left")
+    return out.select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id long, n_lines long, n_dropped long, text string")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

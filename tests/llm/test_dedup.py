@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -187,3 +188,26 @@ def test_line_dedup_query_drops_what_two_documents_share(spark, tmp_path):
     got = rows_of(line_dedup.op8_line_dedup(spark, str(tmp_path)), "doc_id", "n_lines", "n_dropped", "text")
     assert got == reference_lines(rows, 2, 1)
     assert {r[0]: r[3] for r in got} == {1: "own text of one here", 2: "own text of two there\nonce", 3: "Read more\n\ntwice\ntwice", 4: "\nnothing to see", None: "", 5: ""}
+
+
+def test_leaf_index_gives_the_template_of_a_whole_search():
+    rng = random.Random(4)
+    for width in (4, 5, 6, 10, 17):
+        for words in (3, 12):
+            leaf, plain = line_dedup.Leaf(width, 3, 80), line_dedup.Leaf(width, 3, 80)
+            plain.cuts = None
+            for _ in range(400):
+                tokens = ["a", "<*>", "b"] + [rng.choice(["<*>", *(f"w{k}" for k in range(words))]) for _ in range(width - 3)]
+                assert leaf.add(tokens) == plain.add(tokens)
+            assert (leaf.rows == plain.rows).all()
+
+
+def test_line_dedup_of_many_lines_in_a_text_and_a_leaf(spark):
+    same = [f"{k} same line of all" for k in range(80_000)]
+    other = [f"user logged in from place{k} with name{k} at gate{k % 7}" for k in range(20_000)]
+    letters = str.maketrans("0123456789", "abcdefghij")
+    text = "\n".join(same + [o.translate(letters) for o in other])
+    docs = spark.createDataFrame([(1, text), (2, "0 same line of all\nown")], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.doc_id: r for r in line_dedup.line_dedup(docs, 2, 1).collect()}
+    assert got[1].n_dropped == 80_000 and got[1].n_lines == 100_000 and got[2].text == "own" and time.monotonic() - began < 60
