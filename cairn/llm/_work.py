@@ -3,6 +3,7 @@ lineage, and Arrow text splitting."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,9 +20,11 @@ _OWN: dict[str, str] = {}
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is unset (tests, local runs) a temporary folder stands in."""
+    Only where that setting is unset and everything runs on one machine (tests) a temporary folder stands in."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="cairn-"))
     return f"{base.rstrip('/')}/cairn-{name}-{uuid.uuid4().hex}"
@@ -34,6 +37,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def from_files(df: DataFrame) -> bool:
+    """Whether each row is one row of a file: nothing but choices of rows and columns stands above the scan."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    return bool(df.inputFiles()) and node.children().isEmpty()
+
+
+def with_rows(df: DataFrame) -> DataFrame:
+    """The frame's columns and ``row_``, which tells each row from every other, equal ones included: its file
+    and its place in there. Rows that don't come straight from files are written first."""
+    df = df if from_files(df) else stored(df, "rows")
+    place = df.metadataColumn("_metadata")
+    return df.select("*", F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias("row_"))
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Rows are whole texts here, so the session's Arrow batches become shorter than the default 10,000 rows:
     a batch is held on both sides of each Python worker."""

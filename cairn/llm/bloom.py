@@ -11,10 +11,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._work import stored
+
 SEGMENT = 1 << 16
 PROBES = 4
 #: Hashes that a task holds before it emits their slots.
 FLUSH = 1 << 18
+#: Segments that a task merges, one after another: so the driver takes a megabyte at a time.
+TOGETHER = 128
 
 
 def filter_bits(rows: int, bits_per_row: int, most_bits: int) -> int:
@@ -69,15 +73,14 @@ def build(hashes: DataFrame, bits: int, least: int) -> Broadcast:
         if at is not None:
             yield pack()
 
-    segments = bits // SEGMENT
     parts = (
         hashes.mapInArrow(scatter, "segment long, seen binary, again binary")
-        .repartition(max(1, min(segments, 512)), "segment")
+        .repartition(-(-bits // SEGMENT // TOGETHER), "segment")
         .sortWithinPartitions("segment")
         .mapInArrow(merge, "segment long, packed binary")
     )
     packed = bytearray(bits // 8)
-    for row in parts.toLocalIterator():
+    for row in parts.toLocalIterator(prefetchPartitions=True):
         packed[row.segment * (SEGMENT // 8) : (row.segment + 1) * (SEGMENT // 8)] = row.packed
     return hashes.sparkSession.sparkContext.broadcast(bytes(packed))
 
@@ -91,3 +94,15 @@ def might_contain(packed: Broadcast, bits: int, h: Column) -> Column:
         return pd.Series(hit.all(axis=0))
 
     return test(h)
+
+
+def without_rows(rows: DataFrame, gone: DataFrame, most_bits: int = 1 << 30) -> DataFrame:
+    """The rows whose ``row_`` isn't in ``gone``. A bounded filter of what goes lets all others pass straight
+    through; only rows it may hold shuffle."""
+    gone = stored(gone.select("row_"), "gone")
+    key = F.xxhash64("row_")
+    bits = filter_bits(gone.count(), 16, most_bits)
+    marked = rows.withColumn("maybe_", might_contain(build(gone.select(key.alias("h")), bits, least=1), bits, key))
+    names = [f"`{c}`" for c in rows.columns if c != "row_"]
+    near = marked.filter("maybe_").join(gone, "row_", "left_anti")
+    return marked.filter("NOT maybe_").select(*names).unionByName(near.select(*names))

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from ._work import read_table, slices, stored, text_or_empty, work_dir
+from ._work import from_files, read_table, slices, stored, text_or_empty, work_dir
 
 #: White space of Unicode as the tokenizer's word pattern knows it, and that pattern.
 SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -132,12 +131,6 @@ def _apply(uri: str, pieces: Broadcast):
     return run
 
 
-def is_scan(df: DataFrame) -> bool:
-    """Whether the rows come straight from files, so that each knows its file and split."""
-    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    return bool(df.inputFiles()) and all(re.match(r"[\s:|+-]*(Project|Filter|Relation)\b", line) for line in lines)
-
-
 def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
@@ -151,7 +144,7 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     once a block, texts never, and nothing that grows is broadcast. Rows that do not come straight from
     files are first written to the shared folder."""
     spark = docs.sparkSession
-    if not is_scan(docs):
+    if not from_files(docs):
         docs = stored(docs.select("doc_id", "text"), "texts")
     place = F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("block")
     split = docs.select("doc_id", split_words(text_or_empty(F.col("text")), added_tokens(tokenizer)).alias("words"), place)

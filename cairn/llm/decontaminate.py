@@ -18,53 +18,70 @@ from .fm_index import FMIndex
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: A-Z to lower case, then every ASCII byte but digits and letters to a space.
 WORD_BYTES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in _LOWER)
-SPANS = "doc_id long, n_words long, n_hit long, spans array<struct<first:int,last:int>>, items array<string>, row string"
-
-
-def benchmark_windows(items: list[tuple[str | None, str]], window: int) -> tuple[pa.Array, np.ndarray, np.ndarray, list[list[str]]]:
-    """Vocabulary, distinct windows as rows of symbols from 1, their lengths, and each one's item ids."""
-    flat, offsets = words_of(mapped_bytes(pa.array([t for _, t in items], pa.string()), WORD_BYTES))
-    coded = flat.dictionary_encode()
-    symbol = coded.indices.to_numpy() + 1
-    owners: dict[tuple, set[str]] = {}
-    for (item, _), a, b in zip(items, offsets, offsets[1:]):
-        size = min(window, b - a)
-        for i in range(a, b - size + 1 if size else a):
-            owners.setdefault(tuple(symbol[i : i + size]), set()).update([item] if item is not None else [])
-    rows = np.zeros((len(owners), window), np.int64)
-    for k, w in enumerate(owners):
-        rows[k, : len(w)] = w
-    return coded.dictionary, rows, np.array([len(w) for w in owners], np.int64), [sorted(o) for o in owners.values()]
+SPANS = "doc_id long, n_words long, n_hit long, spans array<struct<first:int,last:int>>, items array<string>, row "
+#: Windows that are searched at a time.
+TOGETHER = 1 << 18
+
+
+class Windows:
+    """Distinct windows of a block of benchmark items: where each begins in the items' symbols (from 1), its
+    length, and the items it stands in. Takes some 30 bytes a word, and makes a row a window only to tell
+    equal ones apart."""
+
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
+        flat, offsets = words_of(mapped_bytes(pa.array([t for _, t in items], pa.string()), WORD_BYTES))
+        coded = flat.dictionary_encode()
+        self.vocabulary, self.symbol = coded.dictionary, (coded.indices.to_numpy() + 1).astype(np.int32)
+        size = np.diff(offsets)
+        wide = np.minimum(size, window)
+        count = np.where(size > 0, size - wide + 1, 0)
+        item = np.repeat(np.arange(len(items)), count)
+        start = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + offsets[:-1][item]
+        length = wide[item]
+        padded = np.append(self.symbol, np.zeros(window, np.int32))
+        rows = np.where(np.arange(window) < length[:, None], padded[start[:, None] + np.arange(window)], 0).astype(np.int32)
+        _, first, which = np.unique(rows.view(f"V{4 * window}").ravel(), return_index=True, return_inverse=True) if len(rows) else (None, start, start)
+        self.start, self.length = start[first].astype(np.int64), length[first].astype(np.int64)
+        names = sorted({i for i, _ in items if i is not None})
+        number = {i: k for k, i in enumerate(names)}
+        code = np.array([number.get(i, -1) for i, _ in items], np.int64)[item]
+        pair = np.unique(np.ravel(which)[code >= 0] * np.int64(max(1, len(names))) + code[code >= 0])
+        self.names, self.owner = names, (pair % max(1, len(names))).astype(np.int64)
+        self.owner_at = np.searchsorted(pair // max(1, len(names)), np.arange(len(self.start) + 1))
 
 
 def _spans(phrases: Broadcast, shard_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, rows, lengths, owners = phrases.value
-        names = sorted({i for o in owners for i in o})
-        code = {i: k for k, i in enumerate(names)}
-        flat_owner = np.array([code[i] for o in owners for i in o], np.int64)
-        owner_at = np.concatenate(([0], np.cumsum([len(o) for o in owners]))).astype(np.int64)
+        block: Windows = phrases.value
+        vocabulary, names = block.vocabulary, block.names
 
         def shard(ids: list[pa.Array], keys: list[pa.Array], texts: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
             size = np.concatenate(sizes)
             text = np.concatenate(texts)
             begins = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
             index = FMIndex(text, len(vocabulary))
-            low, high = index.search(rows, lengths)
-            n = high - low
-            pattern = np.repeat(np.arange(len(rows)), n)
-            at = index.locate(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n))
-            edge = np.bincount(at, minlength=len(text) + 1) - np.bincount(at + lengths[pattern], minlength=len(text) + 1)
+            doc_of = np.repeat(np.arange(len(begins)), size + 1)
+            edge, pairs = np.zeros(len(text) + 1, np.int64), [np.zeros(0, np.int64)]
+            for w in range(0, len(block.start), TOGETHER):
+                start, length = block.start[w : w + TOGETHER], block.length[w : w + TOGETHER]
+                low, high = index.search(block.symbol, start, length)
+                n = high - low
+                pattern = np.repeat(np.arange(len(start)), n)
+                at = index.locate(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n))
+                edge += np.bincount(at, minlength=len(text) + 1) - np.bincount(at + length[pattern], minlength=len(text) + 1)
+                # each window once a document, then the items it stands in
+                met = np.unique(doc_of[at] * np.int64(len(start)) + pattern)
+                doc, pattern = met // len(start), met % len(start) + w
+                k = block.owner_at[pattern + 1] - block.owner_at[pattern]
+                item = block.owner[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(block.owner_at[pattern], k)]
+                pairs.append(np.unique(np.repeat(doc, k) * np.int64(max(1, len(names))) + item))
             hit = np.cumsum(edge)[:-1] > 0
             n_hit = np.add.reduceat(hit, begins, dtype=np.int64)
             turn = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
             first, last = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
             of = np.searchsorted(begins, first, "right") - 1
             span_at = np.searchsorted(of, np.arange(len(begins) + 1)).astype(np.int32)
-            doc = np.searchsorted(begins, at, "right") - 1
-            k = owner_at[pattern + 1] - owner_at[pattern]
-            item = flat_owner[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(owner_at[pattern], k)]
-            pair = np.unique(np.repeat(doc, k) * np.int64(max(1, len(names))) + item)
+            pair = np.unique(np.concatenate(pairs))
             item_at = np.searchsorted(pair // max(1, len(names)), np.arange(len(begins) + 1)).astype(np.int32)
             spans = pa.StructArray.from_arrays([pa.array((x - begins[of]).astype(np.int32)) for x in (first, last)], ["first", "last"])
             found = pa.array(names, pa.string()).take(pa.array(pair % max(1, len(names))))
@@ -92,7 +109,7 @@ def _spans(phrases: Broadcast, shard_words: int):
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, shard_words: int = 1 << 21, block_bytes: int = 16 << 20
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, shard_words: int = 1 << 21, block_bytes: int = 4 << 20
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the merged
     removal spans (word positions, end excluded) and item ids behind them.
@@ -103,27 +120,35 @@ def contamination(
     documents are each judged by themselves. Other columns aren't carried.
 
     Each task indexes shards of about ``shard_words`` words (one document at least). The benchmark is
-    broadcast in blocks of about ``block_bytes`` of text, as many as it needs; more than one are merged
-    by (doc_id, text hash), and rows equal in both come out as often as they went in."""
+    broadcast in blocks of about ``block_bytes`` of text, as many as it needs: a block of two-letter words and
+    spaces takes some 40 MB in a task. More than one are merged by (doc_id, text hash), and rows equal in
+    both come out as often as they went in."""
+    found = _judged(docs, benchmark, [], window, share, shard_words, block_bytes)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "spans", "items")
+
+
+def contaminated_rows(rows: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, shard_words: int = 1 << 21, block_bytes: int = 4 << 20) -> DataFrame:
+    """``row_`` of the rows (see ``with_rows``) that are contaminated."""
+    return _judged(rows, benchmark, ["row_"], window, share, shard_words, block_bytes).filter("contaminated").select(F.col("row").alias("row_"))
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, row: list[str], window: int, share: int, shard_words: int, block_bytes: int) -> DataFrame:
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_or_empty(F.col("text")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    text = docs.select("doc_id", text_or_empty(F.col("text")).alias("text"))
-    # one block needs no merging
-    text = text.withColumn("row", F.sha2("text", 256) if blocks > 1 else F.lit(""))
+    text = docs.select("doc_id", text_or_empty(F.col("text")).alias("text"), *(F.col(r).alias("row") for r in row))
+    if not row:  # one block needs no merging
+        text = text.withColumn("row", F.sha2("text", 256) if blocks > 1 else F.lit(""))
     found = None
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        phrases = spark.sparkContext.broadcast(benchmark_windows([tuple(r) for r in part.toLocalIterator()], window))
-        rows = text.mapInArrow(_spans(phrases, shard_words), SPANS)
+        phrases = spark.sparkContext.broadcast(Windows([tuple(r) for r in part.toLocalIterator()], window))
+        rows = text.mapInArrow(_spans(phrases, shard_words), SPANS + ("struct<file:long,at:long>" if row else "string"))
         found = rows if found is None else found.unionByName(rows)
     if blocks > 1:
         found = _merged(found, blocks)
-    return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"), "spans", "items",
-    )
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
 def _merged(found: DataFrame, blocks: int) -> DataFrame:
@@ -135,7 +160,7 @@ def _merged(found: DataFrame, blocks: int) -> DataFrame:
     grow = lambda out, x: F.when((F.size(out) > 0) & (F.element_at(out, -1)["last"] >= x["first"]), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(F.element_at(out, -1)["first"].alias("first"), F.greatest(F.element_at(out, -1)["last"], x["last"]).alias("last"))))).otherwise(F.concat(out, F.array(x)))
     merged = both.withColumn("spans", F.when(F.size("s") == 0, empty).otherwise(F.aggregate("s", empty, grow)))
     merged = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return merged.select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"]).alias("n_hit"), "spans", "items")
+    return merged.select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"]).alias("n_hit"), "spans", "items", "row")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

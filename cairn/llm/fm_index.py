@@ -92,15 +92,15 @@ class FMIndex:
         marked = (bwt == 0) | (order % every == 0)
         self.marked, self.sampled = Bits(marked), order[marked].astype(np.int32)
 
-    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row ranges of the patterns (rows of symbols, padded at the right) by backward search."""
-        last = patterns[np.arange(len(patterns)), lengths - 1]
+    def search(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row ranges of the patterns (stretches of ``symbols``) by backward search."""
+        last = symbols[starts + lengths - 1]
         low, high = self.first[last], self.first[last + 1]
-        for back in range(2, patterns.shape[1] + 1):
+        for back in range(2, int(lengths.max(initial=0)) + 1):
             live = np.flatnonzero((lengths >= back) & (low < high))
             if not len(live):
                 break
-            symbol = patterns[live, lengths[live] - back]
+            symbol = symbols[starts[live] + lengths[live] - back]
             low[live] = self.first[symbol] + self.wavelet.rank(symbol, low[live])
             high[live] = self.first[symbol] + self.wavelet.rank(symbol, high[live])
         return low, np.maximum(low, high)

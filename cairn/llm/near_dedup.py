@@ -23,6 +23,8 @@ ROWS, BANDS = 4, 32
 #: falls below with probability 3e-6; one that shares no band is missed with probability 5e-8.
 LEAST_AGREEING = 82
 PIVOTS, BLOCK, PER_TASK = 16, 4096, 500
+#: Members of a bucket that meet the pivots in one task.
+DEALT = 50_000
 #: Coordinates of the signatures that settle what is left, and how many of them must agree for a pair to be in
 #: doubt or surely alike: 4.5 standard deviations below and above a pair at similarity 0.8.
 FINE, IN_DOUBT, SURE = 1024, 762, 877
@@ -89,7 +91,7 @@ def signatures(value: np.ndarray, at: np.ndarray, size: int, chunk: int = 1 << 1
     return out
 
 
-def _describe(width: int):
+def _describe(width: int, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             value, at = shingle_sets(batch.column("text"), width)
@@ -99,10 +101,10 @@ def _describe(width: int):
             digest = [xxhash.xxh3_128_digest(value[a:b]) for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(np.diff(at)), pa.array(digest, pa.binary()),
+                    *(batch.column(c) for c in keys), pa.array(np.diff(at)), pa.array(digest, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(band) + 1, dtype=np.int32) * BANDS), pa.array(band.view(np.int64).ravel())),
                     pa.array([r.tobytes() for r in sign.astype(np.uint8)], pa.binary()),
-                ], ["doc_id", "n", "digest", "bands", "sig"],
+                ], [*keys, "n", "digest", "bands", "sig"],
             )
 
     return run
@@ -197,30 +199,29 @@ class _Union:
 
 
 def _across(percent: int):
-    """Pairs of a bucket's block in different components that fine signatures leave open: of those surely
-    alike as many as join the components, and all in doubt between components that stay apart. A pair
-    is judged in the first bucket it shares alone, so it comes once."""
+    """Pairs between a block of a bucket's outsiders (rows outside its largest component) and a block of all its
+    rows that fine signatures leave open: of those surely alike as many as join the components, and all in
+    doubt between components that stay apart. A pair is judged in the first bucket it shares alone, so it
+    comes once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, ["key", "i", "j"]):
-            rep, n, comp, block = (rows.column(c).to_numpy() for c in ("rep", "n", "comp", "block"))
+            rep, n, comp = (rows.column(c).to_numpy() for c in ("rep", "n", "comp"))
+            asks, out = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "outside"))
             fine = _sig(rows.column("fine"))
             bands = rows.column("bands").flatten().to_numpy().reshape(len(rep), -1)
             key = rows.column("key")[0].as_py()
             names, code = np.unique(comp, return_inverse=True)
-            largest = np.bincount(code).argmax()
-            outside = np.flatnonzero(code != largest)
-            other = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+            asking, asked = np.flatnonzero(asks), np.flatnonzero(~asks)
             found: list[tuple] = [(np.zeros(0, np.int64),) * 3]
-            for a in range(0, len(outside), 64):
-                part = outside[a : a + 64]
-                ok = (code[part, None] != code[None]) & _fits(n[part, None], n[None], percent)
-                ok &= (code[None] == largest) | (part[:, None] < np.arange(len(rep))[None])
-                if other:
-                    ok &= block[part, None] != block[None]
+            for a in range(0, len(asking), 64):
+                part = asking[a : a + 64]
+                ok = (code[part, None] != code[None, asked]) & _fits(n[part, None], n[None, asked], percent)
+                # two outsiders meet twice
+                ok &= ~out[None, asked] | (rep[part, None] < rep[None, asked])
                 x, y = np.nonzero(ok)
                 for c in range(0, len(x), 1 << 14):
-                    u, v = part[x[c : c + (1 << 14)]], y[c : c + (1 << 14)]
+                    u, v = part[x[c : c + (1 << 14)]], asked[y[c : c + (1 << 14)]]
                     agree = (fine[u] == fine[v]).sum(axis=1, dtype=np.int64)
                     hit = agree >= IN_DOUBT
                     found.append((u[hit], v[hit], agree[hit]))
@@ -277,22 +278,24 @@ def _confirm(percent: int):
 
 
 def texts_of(ids: DataFrame, docs: DataFrame, most_bits: int) -> DataFrame:
-    """(rep, text) of the ids. A bounded Bloom filter keeps all other texts out of the shuffle."""
-    need = stored(ids.distinct(), "need")
+    """(rep, text) of the classes (rep, doc_id, xh). A bounded Bloom filter keeps all other texts out of the shuffle."""
+    need = stored(ids.dropDuplicates(["rep"]), "need")
     bits = bloom.filter_bits(need.count(), 16, most_bits)
-    held = bloom.build(need.select(F.xxhash64("rep").alias("h")), bits, least=1)
-    near = docs.filter("rep is not null").filter(bloom.might_contain(held, bits, F.xxhash64("rep")))
-    return near.join(need, "rep").dropDuplicates(["rep"])
+    key = F.xxhash64("doc_id", "xh")
+    held = bloom.build(need.select(key.alias("h")), bits, least=1)
+    near = docs.filter("doc_id is not null").filter(bloom.might_contain(held, bits, key))
+    return near.join(need, ["doc_id", "xh"]).dropDuplicates(["rep"]).select("rep", "text")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, most_bits: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, most_bits: int) -> DataFrame:
     """(a, b, linked) of candidate pairs by exact Jaccard similarity of full shingle sets.
 
     Only texts of candidates move. Partners of one document are dealt under salts of ``PER_TASK`` each,
     with the document's set first in each."""
     n = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_TASK).cast("int").alias("salts"))
     dealt = pairs.join(n, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
-    texts = texts_of(pairs.select("a").distinct().unionByName(pairs.select(F.col("b").alias("a")).distinct()).select(F.col("a").alias("rep")), docs, most_bits)
+    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    texts = texts_of(classes.join(ids, "rep", "left_semi"), docs, most_bits)
     sets = stored(texts.mapInArrow(_sets(width), "rep long, shingles binary"), "sets")
     left = n.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.withColumnRenamed("rep", "a"), "a").select("a", "salt", F.lit(0).alias("turn"), F.col("a").alias("b"), "shingles")
     right = dealt.join(sets.withColumnRenamed("rep", "b"), "b").select("a", "salt", F.lit(1).alias("turn"), "b", "shingles")
@@ -305,21 +308,42 @@ def near_dedup(docs: DataFrame, width: int = 4, percent: int = 80, salts: int =
     """One row per input row: doc_id, n_shingles, component_id (least id reachable by links), kept.
 
     Null and empty texts and texts without words have no shingles and link with nothing, each its own
-    component. Texts with equal shingle sets are one class, whatever its size; only its least id goes
-    on. Rows with a null id can be in a class but link no further. Repeated rows are in one class.
-    Other columns aren't carried. An empty table gives an empty one.
+    component. Texts with equal shingle sets are one class, whatever its size; only one of its rows with the
+    least id goes on. Rows with a null id can be in a class but link no further. Repeated rows are in one
+    class; rows of one id with other texts are judged by their texts. Other columns aren't carried. An empty
+    table gives an empty one.
 
     Buckets are never expanded into pairs: each member meets at most ``PIVOTS`` members of its bucket
-    first. What these links leave in different components is then compared in blocks of ``BLOCK``
-    rows by signatures of ``FINE`` coordinates, and only pairs that can still matter leave the task; so
-    no link between sharers of a band is given up. Hot buckets, classes and hubs are salted."""
-    text = docs.select("doc_id", text_or_empty(F.col("text")).alias("text"))
-    rows = stored(text.mapInArrow(_describe(width), "doc_id long, n long, digest binary, bands array<long>, sig binary"), "sketch")
-    full = rows.filter("n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    part = stored(full.groupBy("digest", "salt").agg(F.min("doc_id").alias("rep")), "class")
-    rep = stored(part.groupBy("digest").agg(F.min("rep").alias("rep")), "rep")
-    sketch = rows.join(rep.filter("rep is not null").select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest"])
-    sketch = stored(sketch.select(F.col("doc_id").alias("rep"), "n", "bands", "sig"), "reps")
+    first. What these links leave outside a bucket's largest component is then compared with its rows in
+    blocks of ``BLOCK`` rows by signatures of ``FINE`` coordinates, and only pairs that can still matter leave
+    the task; so no link between sharers of a band is given up. Hot buckets, classes and hubs are salted."""
+    return _linked(docs, [], width, percent, salts, most_bits).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def near_copies(rows: DataFrame, width: int = 4, percent: int = 80, salts: int = 64, most_bits: int = 1 << 30) -> DataFrame:
+    """``row_`` of the rows (see ``with_rows``) that are near copies: of each component, all but one row with the
+    least doc_id. Rows without shingles stay, and so do null ids without a link."""
+    found = stored(_linked(rows, ["row_"], width, percent, salts, most_bits).filter("component is not null").select("row_", "doc_id", "component"), "linked")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_")
+    top = found.groupBy("component").agg(F.min(order).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return found.join(top, "component").filter(F.col("row_") != F.col("top.row_")).select("row_")
+
+
+def _linked(docs: DataFrame, row: list[str], width: int, percent: int, salts: int, most_bits: int) -> DataFrame:
+    text = docs.select("doc_id", *row, text_or_empty(F.col("text")).alias("text")).withColumn("xh", F.xxhash64("text"))
+    keys = ["doc_id", "xh", *row]
+    kinds = "doc_id long, xh long, " + "".join(f"{r} struct<file:long,at:long>, " for r in row)
+    rows = stored(text.select(*keys, "text").mapInArrow(_describe(width, keys), kinds + "n long, digest binary, bands array<long>, sig binary"), "sketch")
+    full = rows.filter("n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id", *row), F.lit(salts)).cast("int"))
+    part = stored(full.groupBy("digest", "salt").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "xh"))).alias("least")), "class")
+    rep = part.groupBy("digest").agg(F.min("least").alias("least"))
+    # a class is known by its least id; where one id leads several classes, the others get a number from their digest
+    first = rep.filter("least is not null").groupBy(F.col("least.doc_id").alias("doc_id")).agg(F.min("digest").alias("owner"))
+    rep = rep.join(first, F.col("least.doc_id") == F.col("doc_id"), "left")
+    rep = stored(rep.select("digest", "doc_id", F.col("least.xh").alias("xh"), F.when(F.col("digest") == F.col("owner"), F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.xxhash64("digest"))).alias("rep")), "rep")
+    classes = rep.filter("rep is not null").select("rep", "doc_id", "xh")
+    sketch = rows.select("doc_id", "xh", "n", "digest", "bands", "sig").join(rep.filter("rep is not null").select("digest", "doc_id", "xh", "rep"), ["digest", "doc_id", "xh"]).dropDuplicates(["digest"])
+    sketch = stored(sketch.select("rep", "n", "bands", "sig"), "reps")
 
     keys = sketch.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("members")).filter("hub < top")
@@ -327,7 +351,7 @@ def near_dedup(docs: DataFrame, width: int = 4, percent: int = 80, salts: int =
     bucket = stored(bucket, "bucket")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    split = F.ceil(F.col("members") / 50_000).cast("int")
+    split = F.ceil(F.col("members") / DEALT).cast("int")
     salt = F.when(F.col("rep") == F.col("hub"), F.sequence(F.lit(0), split - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), split).cast("int")))
     met = bucket.select("key", F.explode(salt).alias("salt"), "rep", "n", "sig", (F.col("rep") != F.col("hub")).alias("later"), F.xxhash64("rep", "key").alias("turn"))
     first = met.repartition(tasks, "key", "salt").sortWithinPartitions("key", "salt", "later", "turn").mapInArrow(_with_pivots(percent), PAIR)
@@ -335,28 +359,36 @@ def near_dedup(docs: DataFrame, width: int = 4, percent: int = 80, salts: int =
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a"))
     once = stored(once.withColumn("k", best).filter("k <= 2").select("a", "b"), "first")
 
-    texts = text.withColumnRenamed("doc_id", "rep")
-    known = verified(once, texts, width, percent, most_bits)
+    texts = text.select("doc_id", "xh", "text")
+    known = verified(once, classes, texts, width, percent, most_bits)
     label = components(known.filter("linked"))
 
-    part_of = bucket.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    open_ = part_of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    live = stored(part_of.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).drop("sig"), "open")
-    fine = stored(texts_of(live.select("rep"), texts, most_bits).mapInArrow(_fine(width), "rep long, fine binary"), "fine")
-    cells = live.join(fine.join(sketch.select("rep", "bands"), "rep"), "rep")
-    cells = cells.select("key", "rep", "n", "bands", "fine", "comp", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o")).select("*", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    part_of = bucket.drop("sig").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    sizes = part_of.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("of"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("of", "comp")).alias("top"), F.sum("of").alias("all")).filter("top.of < all")
+    live = part_of.join(largest, "key").withColumn("outside", F.col("comp") != F.col("top.comp"))
+    live = stored(live.select("key", "rep", "n", "comp", "outside", F.ceil((F.col("all") - F.col("top.of")) / BLOCK).cast("int").alias("of_outside"), F.ceil(F.col("all") / BLOCK).cast("int").alias("of_all")), "open")
+    ids = live.select("rep").distinct()
+    fine = stored(texts_of(classes.join(ids, "rep", "left_semi"), texts, most_bits).mapInArrow(_fine(width), "rep long, fine binary"), "fine")
+    # an outsider asks in its block of outsiders; every row is asked in its block of all rows
+    here = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
+    upto = lambda blocks: F.sequence(F.lit(0), F.col(blocks) - 1)
+    asks = live.filter("outside").select("*", F.lit(True).alias("asks"), here("of_outside").alias("i"), F.explode(upto("of_all")).alias("j"))
+    asked = live.select("*", F.lit(False).alias("asks"), F.explode(upto("of_outside")).alias("i"), here("of_all").alias("j"))
+    cells = asks.unionByName(asked).join(fine.join(sketch.select("rep", "bands"), "rep"), "rep").select("key", "i", "j", "rep", "n", "bands", "fine", "comp", "outside", "asks")
     rest = cells.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(percent), PAIR)
     tested = known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = stored(rest.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "rest")
-    more = verified(rest, texts, width, percent, most_bits).filter("linked").select("a", "b")
+    more = verified(rest, classes, texts, width, percent, most_bits).filter("linked").select("a", "b")
     label = components(known.filter("linked").select("a", "b").unionByName(more))
 
-    whole = rep.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    # components are known by a node; their id is the least doc_id of their classes
+    node = rep.select("digest", "doc_id", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = node.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    whole = node.join(least, "component", "left").select("digest", "component", "component_id")
     salted = part.select("digest", "salt").join(whole, "digest")
-    linked = full.join(salted, ["digest", "salt"]).select("doc_id", "n", "component_id")
-    out = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")).unionByName(linked)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    linked = full.join(salted, ["digest", "salt"]).select("doc_id", "n", "component", "component_id", *row)
+    return rows.filter("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"), *row).unionByName(linked)
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

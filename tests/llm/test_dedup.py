@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.llm._work import with_rows
 from cairn.llm import bloom, components, exact_dedup, line_dedup, near_dedup
 
 
@@ -34,8 +35,16 @@ def test_exact_dedup_is_exact_with_a_full_filter(spark):
     want = sorted(((i, best[t], size[t], best[t] == i, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows), key=repr)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     # a filter far too small only lets more rows through
-    for bits in (1 << 16, 1 << 30):
-        assert rows_of(exact_dedup.exact_dedup(docs, most_bits=bits, salts=3), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
+    for bits, each in ((1 << 16, 16), (1 << 30, 16), (1 << 16, 200)):  # the last makes five filters by ranges of hashes
+        assert rows_of(exact_dedup.exact_dedup(docs, bits_per_row=each, most_bits=bits, salts=3), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
+
+
+def test_copies_and_rows_that_go(spark):
+    rows = [(1, "a"), (1, "a"), (2, "a"), (2, "a"), (3, "b"), (3, "c"), (None, "d"), (None, "d"), (None, None), (4, "")]
+    docs = with_rows(spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("x")).withColumn("h", F.lit("x")))
+    left = bloom.without_rows(docs, exact_dedup.exact_copies(docs))
+    assert left.columns == ["doc_id", "text", "id", "h"]
+    assert rows_of(left, "doc_id", "text") == sorted([(2, "a"), (3, "b"), (3, "c"), (None, "d"), (4, "")], key=repr)
 
 
 def test_bloom_filter_counts_twice(spark):
@@ -104,6 +113,32 @@ def test_near_dedup_matches_brute_force_on_a_large_family(spark, seed):
     assert rows_of(near_dedup.near_dedup(docs), "doc_id", "n_shingles", "component_id", "kept") == brute(rows)
 
 
+def test_near_dedup_with_many_blocks_and_salts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "PER_TASK", 5)
+    monkeypatch.setattr(near_dedup, "DEALT", 20)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 2)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(400)}" for _ in range(60)]
+    rows = []
+    for k in range(70):  # a chain of copies that drift apart, so pivots leave many of them
+        base[rng.randrange(60)] = f"w{rng.randrange(400)}"
+        rows.append((k, " ".join(base)))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(near_dedup.near_dedup(docs), "doc_id", "n_shingles", "component_id", "kept") == brute(rows)
+
+
+def test_near_copies_are_judged_row_by_row(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(5, a), (5, b), (3, b + " end"), (7, a + " end"), (7, a + " end"), (None, a), (9, ""), (9, None), (None, "c d e f g")]
+    docs = with_rows(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("x")).withColumn("rep", F.lit("x")))
+    left = bloom.without_rows(docs, near_dedup.near_copies(docs))
+    assert rows_of(left, "doc_id", "text") == sorted([(5, a), (3, b + " end"), (9, ""), (9, None), (None, "c d e f g")], key=repr)
+    got = rows_of(near_dedup.near_dedup(docs.drop("row_")), "doc_id", "component_id")
+    assert got == sorted([(5, 5), (5, 3), (3, 3), (7, 5), (7, 5), (None, 5), (9, 9), (9, 9), (None, None)], key=repr)
+
+
 def test_near_dedup_odd_rows(odd, none):
     got = rows_of(near_dedup.near_dedup(odd), "doc_id", "n_shingles", "component_id", "kept")
     assert [r for r in got if r[1] == 3] == sorted([(5, 3, -3, False)] * 2 + [(7, 3, -3, False), (None, 3, -3, False), (-3, 3, -3, True)], key=repr)

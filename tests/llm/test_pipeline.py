@@ -8,6 +8,9 @@ import sys
 from pathlib import Path
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
+from cairn.llm._work import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -57,6 +60,25 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     assert got == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in last.items()}
 
 
+def test_stages_judge_each_row_by_itself(spark, tmp_path):
+    rng = random.Random(1)
+    item, base, near = sentence(rng, 30), sentence(rng, 60), sentence(rng, 60)
+    rows = [(1, item), (1, sentence(rng, 40)), (2, base), (2, base), (3, base), (None, near), (4, near + " tail"), (4, near + " tail"), (None, item), (5, None), (5, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("id", "score", "h", "row", "n", "rep", "maybe", "sha", "key", "`a.b`"):
+        docs = docs.withColumn(c.strip("`"), F.lit(c))
+    spark.createDataFrame([(k, int(k < 3)) for k in range(9)], "doc_id long, toxic int").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names, empty = docs.columns, docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, str(tmp_path)), "stage")
+        empty = stage(spark, empty, str(tmp_path))
+        assert docs.columns == names == empty.columns and empty.isEmpty()
+    got = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+    assert got in [sorted([rows[1], (3, base), (None, near), (4, near + " tail"), (5, left)], key=repr) for left in ("", None)]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 5
+
+
 def test_run_is_the_stages_in_order(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "MinHash near-dedup", "benchmark decontamination", "BPE encoding and decoding"]
     out = corpus_pipeline.run(spark, sf_dir)

@@ -15,7 +15,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import bpe_table, crc, decontaminate, fm_index, html_text, license_scan, token_records, toxicity, web_archive
-from cairn.llm._work import work_dir
+from cairn.llm._work import with_rows, work_dir
+from cairn.llm.bloom import without_rows
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -95,10 +96,8 @@ def test_fm_index_finds_every_occurrence():
     text[500:600] = text[100:200]
     index = fm_index.FMIndex(text, 5)
     patterns = [rng.integers(1, 6, n) for n in (1, 2, 3, 4, 5, 5, 5)] + [text[i : i + 5] for i in range(0, 3000, 97) if (text[i : i + 5] > 0).all()]
-    rows, sizes = np.zeros((len(patterns), 5), np.int64), np.array([len(p) for p in patterns])
-    for row, p in zip(rows, patterns):
-        row[: len(p)] = p
-    low, high = index.search(rows, sizes)
+    sizes = np.array([len(p) for p in patterns])
+    low, high = index.search(np.concatenate(patterns), np.cumsum(sizes) - sizes, sizes)
     for p, a, b in zip(patterns, low, high):
         want = [i for i in range(len(text) - len(p)) if (text[i : i + len(p)] == p).all()]
         assert sorted(index.locate(np.arange(a, b)).tolist()) == want
@@ -460,3 +459,6 @@ def test_decontamination_judges_each_row_for_any_number_of_blocks(spark, block):
     got = decontaminate.contamination(d, b, block_bytes=block)
     rows = sorted((tuple(r[c] for c in "doc_id n_words n_hit n_items items_sha256 contaminated".split()) for r in got.collect()), key=repr)
     assert rows == contaminated(docs, items)
+    keyed = with_rows(d)
+    left = without_rows(keyed, decontaminate.contaminated_rows(keyed, b, block_bytes=block))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([(None, None), (None, None), (None, "x y z w"), (1, "")], key=repr)
