@@ -1,39 +1,45 @@
 """Corpus pipeline: toxic documents go, exact and near copies leave one document each, contaminated
-documents go, and what is left is encoded and decoded. Each stage takes and returns whole tables."""
+documents go, and what is left is encoded and decoded. Each stage takes and returns whole tables.
+
+Every row is judged by itself, whatever its doc_id and its other columns are called: a stage finds the rows
+that go by their place in its input's files, and all others pass without a shuffle of their texts. Null texts
+count as empty, empty tables give empty ones, and columns stay as they are."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cairn.llm import bpe_table, decontaminate, exact_dedup, near_dedup, toxicity
-from cairn.llm._work import read_table, stored
-
-
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept``; a null id is kept if a null is in it."""
-    ids = kept.select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+from cairn.llm._work import read_table, stored, with_rows
+from cairn.llm.bloom import without_rows
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows scored under 0.3 stay; labels teach through their doc_id."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, model)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, exact_dedup.exact_dedup(docs).filter("kept"))
+    """Of equal texts one row with the largest doc_id stays; a null id stays if all are null."""
+    rows = with_rows(docs)
+    return without_rows(rows, exact_dedup.exact_copies(rows))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, near_dedup.near_dedup(docs).filter("kept"))
+    """Of near copies that are linked one row with the least doc_id stays. Texts without words stay."""
+    rows = with_rows(docs)
+    return without_rows(rows, near_dedup.near_copies(rows))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark")).filter("NOT contaminated"))
+    """Rows stay unless benchmark windows cover at least a twentieth of their words."""
+    rows = with_rows(docs)
+    return without_rows(rows, decontaminate.contaminated_rows(rows, read_table(spark, sf_dir, "benchmark")))
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     import public_tokenizers
 
     return bpe_table.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
