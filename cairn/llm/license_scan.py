@@ -5,13 +5,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._work import read_table, text_or_empty
+from ._work import read_table, stored, text_or_empty, with_rows
 
 WIDTH = 5
-#: Words of a window (two shingles) and between the starts of two windows.
-WINDOW, STRIDE = 6, 2
-#: Notices and first paragraphs of well-known licences.
+#: Shingles of a window and between the starts of two windows of a text. A template is cut to windows of the
+#: largest size that it holds one and a half times, at every place.
+SCALES = ((32, 16), (8, 4), (2, 1))
+#: Permutations; the least and the largest shingle under each are two bands of one row. Windows of two
+#: shingles show both with the first.
+PERMUTATIONS = 4
+# Notices and paragraphs of well-known licences.
+_CC = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -22,12 +28,28 @@ TEMPLATES = {
     "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "mit-conditions": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "bsl-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "lgpl-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    **{f"cc-{k}-4.0-notice": f"Licensed under CC {k.upper()} 4.0." for k in _CC},
+    **{f"cc-{k}-4.0": f"This work is licensed under a Creative Commons {name} 4.0 International License." for k, name in {**_CC, "by-nc": "Attribution-NonCommercial"}.items()},
 }
 
 
-def collision_probability(similarity: float, rows: int, bands: int) -> float:
-    """Chance that independent MinHash bands of so many rows agree at least once. The two bands below are
-    not independent: a permutation and its reverse, which together show both shingles of a window."""
+def collision_probability(similarity: float, rows: int = 1, bands: int = 2 * PERMUTATIONS) -> float:
+    """Chance that two windows of such a Jaccard similarity share a band. Four fifths of a window's shingles
+    in place make a similarity of 2/3, found with 0.99985 by each of a template's windows; a stretch equal to
+    one and a half windows of a template holds an equal window, which is found for certain."""
     return 1 - (1 - similarity**rows) ** bands
 
 
@@ -41,67 +63,79 @@ def shingles(h: Column) -> Column:
     return F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WIDTH)]))
 
 
-def bands(s: Column, step: int) -> Column:
-    """Band values of all windows: the least shingle under a permutation and under its reverse (the least
-    and the largest hash). The last window may be shorter."""
-    last = WINDOW - WIDTH
-    at = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    low = F.transform(at, lambda i: F.least(*[F.get(s, i + k) for k in range(last + 1)]))
-    high = F.transform(at, lambda i: F.greatest(*[F.get(s, i + k) for k in range(last + 1)]))
-    return F.concat(low, high)
+def _ends(p: Column, size: int, step: int) -> Column:
+    """The least and the largest number of each window of so many, a step apart; the last may be shorter."""
+    at = F.when(F.size(p) > 0, F.sequence(F.lit(1), F.size(p), F.lit(step))).otherwise(F.array().cast("array<int>"))
+    if size == 2:
+        return F.flatten(F.transform(at, lambda i: F.array(F.least(F.get(p, i - 1), F.coalesce(F.get(p, i), F.get(p, i - 1))), F.greatest(F.get(p, i - 1), F.coalesce(F.get(p, i), F.get(p, i - 1))))))
+    return F.concat(F.transform(at, lambda i: F.array_min(F.slice(p, i, size))), F.transform(at, lambda i: F.array_max(F.slice(p, i, size))))
 
 
-def index_templates(spark: SparkSession, templates: dict[str, str], most_shingles: int) -> list[tuple[str, list[int], list[int]]]:
-    """(id, distinct shingles, band values) of each template. Windows of one and two shingles at every
-    place are indexed, so a text window that shares any shingle with a template collides for certain."""
-    if not templates:
-        return []
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("id"), F.lit(t).alias("text")) for k, t in templates.items()]))
-    table = spark.range(1).select(rows.alias("t")).select("t.id", word_hashes(F.col("t.text")).alias("h"))
-    table = table.withColumn("s", shingles(F.col("h")))
-    got = table.select("id", F.array_distinct("s").alias("own"), F.array_distinct(F.concat("s", bands(F.col("s"), 1))).alias("bands")).collect()
-    if sum(len(r.own) for r in got) > most_shingles:
-        raise ValueError(f"templates have more than {most_shingles} shingles, the bound of what goes into the plan")
-    return [(r.id, r.own, r.bands) for r in got if r.own]
+def _bands(grams: DataFrame, scales: tuple[tuple[int, int], ...], *keys: str) -> DataFrame:
+    """(keys, band) of all windows of the shingles ``s``."""
+    moved = grams.select(*keys, "s", *[F.transform("s", lambda x, k=k: F.xxhash64(x, F.lit(k))).alias(f"p{k}") for k in range(1, PERMUTATIONS)])
+    parts = [_ends(F.col(p), size, step) for size, step in scales for p in ("s", *(f"p{k}" for k in range(1, PERMUTATIONS)))[: 1 if size == 2 else None]]
+    return moved.select(*keys, F.explode(F.concat(*parts)).alias("band"))
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int = 80, most_shingles: int = 20_000) -> DataFrame:
+def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+    """(id, text) of a dict of templates."""
+    rows = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(t).alias("text")) for k, t in templates.items()]) if templates else F.array().cast("array<struct<id:string,text:string>>")
+    return spark.range(1).select(F.explode(rows).alias("t")).select("t.id", "t.text")
+
+
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """Broadcast if a count says that it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def license_scan(docs: DataFrame, templates: DataFrame | dict[str, str] = TEMPLATES, percent: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
     """One row per input row: doc_id, n_words, n_licenses, licenses (matched template ids, sorted and
     comma-joined), best_percent (whole percent of the best match's containment, 0 without one).
 
     A template matches where a stretch of a text, 1.25 times its shingles long and starting at one of
     them, holds at least ``percent`` of its distinct five-word shingles. Null, empty and wordless texts
-    match nothing; templates of fewer than five words can't match. Repeated rows and null ids are
-    judged row by row; other columns aren't carried. The whole scan is one pass without a shuffle;
-    templates go into the plan, at most ``most_shingles`` of them."""
-    known = index_templates(docs.sparkSession, templates, most_shingles)
-    hashed = docs.select("doc_id", word_hashes(text_or_empty(F.col("text"))).alias("h"))
-    grams = hashed.select("doc_id", F.size("h").cast("long").alias("n_words"), shingles(F.col("h")).alias("s"))
-    if not known:
-        return grams.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_licenses"), F.lit("").alias("licenses"), F.lit(0).cast("long").alias("best_percent"))
-    all_bands = sorted({b for _, _, bs in known for b in bs})
-    all_own = sorted({s for _, own, _ in known for s in own})
-    found = grams.withColumn("near", F.filter(bands(F.col("s"), STRIDE), lambda b: b.isin(all_bands)))
-    # only texts with a colliding window are looked at closely
-    hit = F.when(F.size("near") > 0, F.filter(F.transform("s", lambda s, i: F.struct(i.alias("pos"), s.alias("s"))), lambda x: x["s"].isin(all_own)))
-    found = found.select("doc_id", "n_words", "near", hit.alias("hits"))
-
-    def best(own: list[int], band: list[int]) -> Column:
-        span = (5 * len(own) + 3) // 4
-        mine = F.filter("hits", lambda x: x["s"].isin(own))
-        near = F.exists("near", lambda b: b.isin(band))
-        stretch = lambda all_, x, i: F.size(F.array_distinct(F.transform(F.filter(F.slice(all_, i + 1, span), lambda y: y["pos"] < x["pos"] + span), lambda y: y["s"])))
-        # the outer transform binds the hits once, so the inner stretches are slices of a value, not of its formula
-        scores = F.transform(F.array(mine), lambda all_: F.array_max(F.transform(all_, lambda x, i: stretch(all_, x, i))))
-        return F.when(near, F.coalesce(F.get(scores, F.lit(0)), F.lit(0))).otherwise(0)
-
-    # the names in order, so that the list of matches is sorted
-    known = sorted(known)
-    scored = found.select("doc_id", "n_words", *[F.when(F.col("hits").isNull(), 0).otherwise(best(own, band)).alias(f"m{k}") for k, (_, own, band) in enumerate(known)])
-    match = [F.when(F.col(f"m{k}") * 100 >= percent * len(own), F.lit(i)) for k, (i, own, _) in enumerate(known)]
-    share = [F.when(F.col(f"m{k}") * 100 >= percent * len(own), F.floor(F.col(f"m{k}") * 100 / len(own))).otherwise(0).cast("long") for k, (_, own, _) in enumerate(known)]
-    names = F.array_compact(F.array(*match))
-    return scored.select("doc_id", "n_words", F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.array_max(F.array(*share)).alias("best_percent"))
+    match nothing; templates of fewer than five words or without an id can't match, and texts of one id are
+    one template. Repeated rows and null ids are judged row by row; other columns aren't carried.
+
+    Templates are a table (id, text) of any size. Their bands are joined to those of the texts by equality; a
+    band that both have names a candidate. Only candidates' texts are read again, and the shingles they share
+    with a template are counted over stretches. A table is broadcast if it has at most ``most_broadcast``
+    rows of two numbers or an id and a number, else both sides shuffle."""
+    spark = docs.sparkSession
+    table = template_table(spark, templates) if isinstance(templates, dict) else templates.select(F.col("id").cast("string").alias("id"), text_or_empty(F.col("text")).alias("text"))
+    known = table.filter("id is not null").select("id", word_hashes(F.col("text")).alias("h")).select("id", shingles(F.col("h")).alias("s")).filter(F.size("s") > 0)
+    known = stored(known, "templates")
+    own = stored(known.select("id", F.explode("s").alias("s")).distinct(), "template-shingles")
+    size = stored(own.groupBy("id").agg(F.count(F.lit(1)).alias("n")).withColumn("span", F.expr("(5 * n + 3) div 4")), "template-sizes")
+    n, found = F.size("s"), []
+    for k, (wide, _) in enumerate(SCALES):
+        fit = (n * 2 >= wide * 3 if wide > 2 else F.lit(True)) & (n * 2 < SCALES[k - 1][0] * 3 if k else F.lit(True))
+        found.append(_bands(known.filter(fit), ((wide, 1),), "id"))
+    index = stored(found[0].unionByName(found[1]).unionByName(found[2]).distinct(), "template-bands")
+
+    rows = with_rows(docs).select("row_", "doc_id", text_or_empty(F.col("text")).alias("text"))
+    grams = lambda df, *keys: df.select(*keys, word_hashes(F.col("text")).alias("h")).select(*keys, shingles(F.col("h")).alias("s"))
+    met = _bands(grams(rows, "row_"), SCALES, "row_").join(_small(index, most_broadcast), "band").select("row_", "id").distinct()
+    near = stored(met.groupBy("row_").agg(F.collect_set("id").alias("ids")), "candidates")
+
+    shared = grams(rows.join(_small(near, most_broadcast // 10), "row_"), "row_", "ids").select("row_", "ids", F.posexplode("s").alias("pos", "s"))
+    hits = shared.select("row_", "pos", "s", F.explode("ids").alias("id")).join(_small(own, most_broadcast), ["id", "s"])
+    # a shingle counts in the stretches that begin behind its last occurrence, and that reach it
+    before = F.lag("pos").over(Window.partitionBy("row_", "id", "s").orderBy("pos"))
+    begin = F.greatest(F.coalesce(before, F.lit(-1)), F.col("pos") - F.col("span")) + 1
+    hits = hits.join(_small(size, most_broadcast), "id").select("row_", "id", "n", begin.alias("begin"), "pos")
+    steps = hits.select("row_", "id", "n", F.explode(F.array(F.struct(F.col("begin").alias("at"), F.lit(1).alias("d")), F.struct((F.col("pos") + 1).alias("at"), F.lit(-1).alias("d")))).alias("e"))
+    steps = steps.groupBy("row_", "id", "n", F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
+    held = F.sum("d").over(Window.partitionBy("row_", "id").orderBy("at"))
+    best = steps.withColumn("held", held).groupBy("row_", "id", "n").agg(F.max("held").alias("held")).filter(F.col("held") * 100 >= percent * F.col("n"))
+    best = best.groupBy("row_").agg(F.count(F.lit(1)).alias("n_licenses"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("licenses"), F.max(F.expr("100 * held div n")).alias("best_percent"))
+    best = stored(best, "matches")
+
+    words = rows.select("row_", "doc_id", F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0)).cast("long").alias("n_words"))
+    out = words.join(_small(best, most_broadcast // 10), "row_", "left")
+    none = lambda c, value: F.coalesce(F.col(c), F.lit(value)).alias(c)
+    return out.select("doc_id", "n_words", none("n_licenses", 0).cast("long"), none("licenses", ""), none("best_percent", 0).cast("long"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

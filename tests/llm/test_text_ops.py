@@ -218,14 +218,52 @@ def test_license_scan(spark, odd, none):
     assert got == {1: "mit-notice", 2: "apache-2.0,apache-2.0-notice", 3: "", 4: "mit", 5: "", 6: "mit", 7: "", 8: "cc-by-nc-4.0-notice"}
     assert license_scan.license_scan(odd).count() == 14 and license_scan.license_scan(none).isEmpty()
     assert license_scan.license_scan(odd, {}).filter("n_licenses > 0").isEmpty()
-    with pytest.raises(ValueError):
-        license_scan.license_scan(odd, most_shingles=3)
-    assert license_scan.collision_probability(0.8, 1, 2) == pytest.approx(0.96)
+    assert license_scan.collision_probability(0.8, 1, 2) == pytest.approx(0.96) and license_scan.collision_probability(2 / 3) > 0.9998
+
+
+def contained(docs, templates, percent=80):
+    """Matches by looking at every stretch."""
+    grams = lambda t: [tuple(w[i : i + 5]) for w in [re.findall(r"\w+", (t or "").lower())] for i in range(len(w) - 4)]
+    known = {}
+    for i, t in templates:
+        known[i] = known.get(i, set()) | set(grams(t))
+    out = []
+    for i, t in docs:
+        g, found = grams(t), []
+        for k in sorted(x for x in known if known[x]):
+            span = (5 * len(known[k]) + 3) // 4
+            most = max((len(set(g[a : a + span]) & known[k]) for a in range(len(g)) if g[a] in known[k]), default=0)
+            if 100 * most >= percent * len(known[k]):
+                found.append((k, 100 * most // len(known[k])))
+        out.append((i, len(re.findall(r"\w+", (t or "").lower())), len(found), ",".join(k for k, _ in found), max((p for _, p in found), default=0)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_license_scan_of_a_large_table_matches_brute_force(spark, most):
+    rng = random.Random(3)
+    vocabulary = [f"v{k}" for k in range(300)]
+    templates = [(f"t{k:03}", " ".join(rng.choices(vocabulary, k=rng.choice([4, 5, 6, 9, 14, 30, 60, 150])))) for k in range(600)] + [(None, "v1 v2 v3 v4 v5 v6"), ("twice", "v1 v2 v3 v4 v5 v6"), ("twice", "v6 v5 v4 v3 v2 v1"), ("none", None)]
+    docs = []
+    for i in range(120):
+        words = rng.choices(vocabulary, k=rng.randrange(40))
+        for _ in range(rng.randrange(3)):
+            own = (rng.choice(templates)[1] or "").split()
+            for _ in range(rng.choice([0, 0, len(own) // 30, len(own) // 20])):
+                own[rng.randrange(len(own))] = "changed"
+            words += own + rng.choices(vocabulary, k=rng.randrange(10))
+        docs.append((i % 100, " ".join(words)))
+    docs += [(None, templates[7][1]), (None, templates[7][1]), (500, None), (501, ""), (502, (templates[9][1] + " ") * 200)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("s", F.lit("x")).withColumn("id", F.lit("x"))
+    t = spark.createDataFrame(templates, "id string, text string").withColumn("s", F.lit("x"))
+    got = sorted((tuple(r) for r in license_scan.license_scan(d, t, most_broadcast=most).collect()), key=repr)
+    want = contained(docs, [x for x in templates if x[0]])
+    assert got == want and sum(r[2] for r in want) > 60
 
 
 def test_license_scan_stays_native(spark, odd):
     plan = license_scan.license_scan(odd)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
 def test_web_archive_round_trip(spark):
