@@ -12,10 +12,10 @@ from ._work import read_table, stored, text_or_empty, with_rows
 WIDTH = 5
 #: Shingles of a window and between the starts of two windows of a text. A template is cut to windows of the
 #: largest size that it holds one and a half times, at every place.
-SCALES = ((32, 16), (8, 4), (2, 1))
+SCALES = ((16, 8), (2, 2))
 #: Permutations; the least and the largest shingle under each are two bands of one row. Windows of two
 #: shingles show both with the first.
-PERMUTATIONS = 4
+PERMUTATIONS = 2
 # Notices and paragraphs of well-known licences.
 _CC = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
 TEMPLATES = {
@@ -48,8 +48,10 @@ TEMPLATES = {
 
 def collision_probability(similarity: float, rows: int = 1, bands: int = 2 * PERMUTATIONS) -> float:
     """Chance that two windows of such a Jaccard similarity share a band. Four fifths of a window's shingles
-    in place make a similarity of 2/3, found with 0.99985 by each of a template's windows; a stretch equal to
-    one and a half windows of a template holds an equal window, which is found for certain."""
+    in place make a similarity of 2/3, found with 0.988 by each of the text's windows, of which a template of 24
+    shingles or more meets two at least; a stretch equal to one and a half windows of a template holds an
+    equal window, which is found for certain. Any shingle that a shorter template shares with a text is the
+    least or the largest of some window of two, so those are found for certain too."""
     return 1 - (1 - similarity**rows) ** bands
 
 
@@ -63,19 +65,36 @@ def shingles(h: Column) -> Column:
     return F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WIDTH)]))
 
 
-def _ends(p: Column, size: int, step: int) -> Column:
-    """The least and the largest number of each window of so many, a step apart; the last may be shorter."""
-    at = F.when(F.size(p) > 0, F.sequence(F.lit(1), F.size(p), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    if size == 2:
-        return F.flatten(F.transform(at, lambda i: F.array(F.least(F.get(p, i - 1), F.coalesce(F.get(p, i), F.get(p, i - 1))), F.greatest(F.get(p, i - 1), F.coalesce(F.get(p, i), F.get(p, i - 1))))))
-    return F.concat(F.transform(at, lambda i: F.array_min(F.slice(p, i, size))), F.transform(at, lambda i: F.array_max(F.slice(p, i, size))))
+def _over(a: str, offsets: list[int] | range, step: int = 1) -> Column:
+    """[least and largest of a[i + each offset]] for every i that is a step apart; arrays are read by place, and
+    places beyond the end count for nothing."""
+    at = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    pick = F.greatest if a.startswith("high") else F.least
+    return F.transform(at, lambda i: pick(*[F.get(a, i + k) for k in offsets]))
 
 
-def _bands(grams: DataFrame, scales: tuple[tuple[int, int], ...], *keys: str) -> DataFrame:
-    """(keys, band) of all windows of the shingles ``s``."""
-    moved = grams.select(*keys, "s", *[F.transform("s", lambda x, k=k: F.xxhash64(x, F.lit(k))).alias(f"p{k}") for k in range(1, PERMUTATIONS)])
-    parts = [_ends(F.col(p), size, step) for size, step in scales for p in ("s", *(f"p{k}" for k in range(1, PERMUTATIONS)))[: 1 if size == 2 else None]]
-    return moved.select(*keys, F.explode(F.concat(*parts)).alias("band"))
+def _permuted(grams: DataFrame, *keys: str) -> DataFrame:
+    """Columns low0 and high0 (the shingles), low1 and high1 (under the first permutation) and so on."""
+    hashed = lambda k: F.transform("s", lambda x: F.xxhash64(x, F.lit(k))) if k else F.col("s")
+    moved = grams.select(*keys, "s", *[hashed(k).alias(f"p{k}") for k in range(PERMUTATIONS)])
+    return moved.select(*keys, *[F.col(f"p{k}").alias(f"{end}{k}") for k in range(PERMUTATIONS) for end in ("low", "high")])
+
+
+def text_bands(grams: DataFrame, *keys: str) -> DataFrame:
+    """(keys, band) of the windows of texts. Windows of 16 are put together from blocks of 8, so a shingle is
+    looked at once a permutation."""
+    ends = [f"{end}{k}" for k in range(PERMUTATIONS) for end in ("low", "high")]
+    df = _permuted(grams, *keys)
+    df = df.select(*keys, *[_over(e, range(2), 2).alias(f"{e}_2") for e in ends[:2]], *[_over(e, range(8), 8).alias(f"{e}_8") for e in ends])
+    df = df.select(*keys, "low0_2", "high0_2", *[_over(f"{e}_8", range(2)).alias(f"{e}_16") for e in ends])
+    return df.select(*keys, F.explode(F.concat("low0_2", "high0_2", *[f"{e}_16" for e in ends])).alias("band"))
+
+
+def template_bands(grams: DataFrame, wide: int, *keys: str) -> DataFrame:
+    """(keys, band) of the windows of so many shingles at every place of a template."""
+    ends = [f"{end}{k}" for k in range(PERMUTATIONS if wide > 2 else 1) for end in ("low", "high")]
+    found = _permuted(grams, *keys).select(*keys, *[_over(e, range(wide)).alias(e) for e in ends])
+    return found.select(*keys, F.explode(F.concat(*ends)).alias("band"))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -111,15 +130,16 @@ def license_scan(docs: DataFrame, templates: DataFrame | dict[str, str] = TEMPLA
     n, found = F.size("s"), []
     for k, (wide, _) in enumerate(SCALES):
         fit = (n * 2 >= wide * 3 if wide > 2 else F.lit(True)) & (n * 2 < SCALES[k - 1][0] * 3 if k else F.lit(True))
-        found.append(_bands(known.filter(fit), ((wide, 1),), "id"))
-    index = stored(found[0].unionByName(found[1]).unionByName(found[2]).distinct(), "template-bands")
+        found.append(template_bands(known.filter(fit), wide, "id"))
+    index = stored(found[0].unionByName(found[1]).distinct(), "template-bands")
 
     rows = with_rows(docs).select("row_", "doc_id", text_or_empty(F.col("text")).alias("text"))
     grams = lambda df, *keys: df.select(*keys, word_hashes(F.col("text")).alias("h")).select(*keys, shingles(F.col("h")).alias("s"))
-    met = _bands(grams(rows, "row_"), SCALES, "row_").join(_small(index, most_broadcast), "band").select("row_", "id").distinct()
+    met = text_bands(grams(rows, "row_"), "row_").join(_small(index, most_broadcast), "band").select("row_", "id").distinct()
     near = stored(met.groupBy("row_").agg(F.collect_set("id").alias("ids")), "candidates")
 
-    shared = grams(rows.join(_small(near, most_broadcast // 10), "row_"), "row_", "ids").select("row_", "ids", F.posexplode("s").alias("pos", "s"))
+    shared = grams(rows.join(_small(near, most_broadcast // 10), "row_"), "row_", "ids").select("row_", "ids", F.posexplode_outer("s").alias("pos", "s"))
+    # (the outer kind keeps the optimizer from a filter below that would make the shingles anew for each place)
     hits = shared.select("row_", "pos", "s", F.explode("ids").alias("id")).join(_small(own, most_broadcast), ["id", "s"])
     # a shingle counts in the stretches that begin behind its last occurrence, and that reach it
     before = F.lag("pos").over(Window.partitionBy("row_", "id", "s").orderBy("pos"))
