@@ -6,11 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import document, tokenize
+from ..sources.shared import stored
 
 #: BM25's saturation, length weight and floor share, and the constant of rank fusion.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -19,6 +23,8 @@ RRF = 60
 PLACES = 6
 #: Name of the one scope of a search over everything.
 WHOLE = "_whole"
+#: Terms of queries that are broadcast at a time, and scores (queries x documents) that a task holds at a time.
+ASKED, CELLS = 200_000, 1 << 21
 #: Query vectors a task multiplies at a time, and floats of query vectors that are broadcast at a time.
 QUERY_BLOCK, BROADCAST_FLOATS = 256, 4_000_000
 
@@ -29,61 +35,154 @@ def search_documents(nodes: DataFrame) -> DataFrame:
     return rows.select("repo_id", F.col("id").alias("node_id"), "path", "start_line", document(F.col("qualified_name"), F.col("summary"), F.col("raw_source")).alias("text"))
 
 
-def term_counts(documents: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, node_id, term, f, dl): counted within each document before anything is shuffled."""
-    tokens = documents.select(*scope, "node_id", tokenize(F.col("text")).alias("tokens"))
-    return tokens.select(*scope, "node_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy(*scope, "node_id", "dl", "term").agg(F.count(F.lit(1)).alias("f"))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's tokens as its distinct terms and how often each occurs."""
+    for batch in batches:
+        tokens = batch.column("tokens")
+        coded = tokens.flatten().dictionary_encode()
+        offsets = tokens.offsets.to_numpy().astype(np.int64)
+        size, words = np.diff(offsets), max(1, len(coded.dictionary))
+        pair, count = np.unique(np.repeat(np.arange(len(size)), size) * words + coded.indices.to_numpy(), return_counts=True)
+        at = pa.array(np.searchsorted(pair, np.arange(len(size) + 1) * words).astype(np.int32))
+        terms = pa.ListArray.from_arrays(at, coded.dictionary.take(pa.array(pair % words)))
+        keep = [n for n in batch.schema.names if n != "tokens"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(size.astype(np.int32)), terms, pa.ListArray.from_arrays(at, pa.array(count.astype(np.int32)))], [*keep, "dl", "terms", "counts"])
+
+
+def token_index(documents: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, node_id, path, start_line, dl, terms, counts): one written row a document, tokenised once."""
+    rows = documents.select(*scope, "node_id", "path", "start_line", tokenize(F.coalesce(F.col("text"), F.lit(""))).alias("tokens"))
+    kinds = [f for f in rows.schema.fields if f.name != "tokens"]
+    kinds += [T.StructField("dl", T.IntegerType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
+    return stored(rows.mapInArrow(_counted, T.StructType(kinds)), "tokens")
+
+
+def _stats(index: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:
+    one_row = F.broadcast if scope == [WHOLE] else lambda df: df
+    corpus = stored(index.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "corpus")
+    df = index.select(*scope, F.explode("terms").alias("term")).groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
+    raw = stored(df.join(one_row(corpus), scope).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "idf")
+    mean = raw.groupBy(*scope).agg(F.avg("raw").alias("mean"))
+    idf = F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw"))
+    return corpus, raw.join(one_row(mean), scope).select(*scope, "term", "df", idf.alias("idf"), "n", "avgdl")
 
 
 def bm25_stats(documents: DataFrame, scope: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(corpus, terms): documents, mean length and floor of each scope; df and idf of each term. A negative
-    idf becomes EPSILON times the mean idf of the vocabulary."""
+    idf becomes EPSILON times the mean idf of the vocabulary. Terms are counted in each document where it lies;
+    only sums by term shuffle."""
     if not scope:
         corpus, terms = bm25_stats(documents.withColumn(WHOLE, F.lit(0)), [WHOLE])
         return corpus.drop(WHOLE), terms.drop(WHOLE)
-    one_row = F.broadcast if scope == [WHOLE] else lambda df: df
-    tokens = documents.select(*scope, tokenize(F.col("text")).alias("t"))
-    corpus = tokens.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    df = tokens.select(*scope, F.explode(F.array_distinct("t")).alias("term")).groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(one_row(corpus), scope).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.groupBy(*scope).agg(F.avg("raw").alias("mean"))
-    idf = F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw"))
-    return corpus, raw.join(one_row(mean), scope).select(*scope, "term", "df", idf.alias("idf"), "n", "avgdl")
+    return _stats(token_index(documents, scope), scope)
+
+
+class _Asked:
+    """A block of queries of one scope: its terms, and by term the queries that ask for it and their weights."""
+
+    def __init__(self, rows: list):
+        self.ids = sorted({r.query_id for r in rows})
+        number = {q: k for k, q in enumerate(self.ids)}
+        rows = sorted((r for r in rows if r.weight is not None), key=lambda r: r.term)
+        self.avgdl = rows[0].avgdl if rows else 1.0
+        terms, self.at = np.unique(np.array([r.term for r in rows], object), return_index=True) if rows else (np.array([], object), np.array([], np.int64))
+        self.terms = pa.array(list(terms), pa.string())
+        self.at = np.append(self.at, len(rows)).astype(np.int64)
+        self.query = np.array([number[r.query_id] for r in rows], np.int64)
+        self.weight = np.array([r.weight for r in rows], np.float64)
+
+    def scores(self, dl: np.ndarray, terms: pa.ListArray, counts: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """(queries x documents) scores and whether a term of the query is in the document."""
+        docs = len(dl)
+        code = pc.index_in(terms.flatten(), self.terms).fill_null(-1).to_numpy()
+        doc = np.repeat(np.arange(docs), np.diff(terms.offsets.to_numpy()))
+        hit = np.flatnonzero(code >= 0)
+        f, doc, code = counts.flatten().to_numpy()[hit].astype(np.float64), doc[hit], code[hit]
+        part = f * (K1 + 1) / (f + K1 * (1 - B + B * dl[doc] / self.avgdl))
+        n = self.at[code + 1] - self.at[code]
+        each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.at[code], n)
+        cell = self.query[each] * docs + np.repeat(doc, n)
+        score = np.bincount(cell, weights=self.weight[each] * np.repeat(part, n), minlength=len(self.ids) * docs)
+        found = np.bincount(cell, minlength=len(self.ids) * docs) > 0
+        return np.round(score, PLACES).reshape(-1, docs) + 0.0, found.reshape(-1, docs)
+
+
+def _best(asked: Broadcast, scope: str, k: int):
+    """Of each query the k best documents that a task holds, with their places in the order of ties. Documents
+    without a match score 0; they can't be among the best once k documents score more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple, list[tuple]] = {}
+        for batch in batches:
+            scopes = np.array(batch.column(scope).to_pylist(), object)
+            names = {s for s in scopes.tolist() if s in asked.value}
+            for name in names:
+                block: _Asked = asked.value[name]
+                mine = batch.take(pa.array(np.flatnonzero(scopes == name)))
+                step = max(1, CELLS // max(1, len(block.ids)))
+                for a in range(0, mine.num_rows, step):
+                    part = mine.slice(a, step)
+                    rows = list(zip(part.column("path").to_pylist(), part.column("start_line").to_pylist(), part.column("node_id").to_pylist()))
+                    keys = [tuple((x is not None, x) if x is not None else (False,) for x in r) for r in rows]
+                    order = np.array(sorted(range(len(rows)), key=keys.__getitem__), np.int64)
+                    place = np.empty(len(rows), np.int64)
+                    place[order] = np.arange(len(rows))
+                    score, found = block.scores(part.column("dl").to_numpy(), part.column("terms"), part.column("counts"))
+                    for q, query in enumerate(block.ids):
+                        held = kept.setdefault((name, query), [])
+                        at = np.flatnonzero(found[q])
+                        if len(at) > k:
+                            edge = np.partition(-score[q, at], k - 1)[k - 1]
+                            at = at[-score[q, at] <= edge]
+                        at = at[np.lexsort((place[at], -score[q, at]))][:k]
+                        new = [(-float(score[q, d]), keys[d], rows[d]) for d in at]
+                        if sum(x[0] < 0 for x in held) + sum(x[0] < 0 for x in new) < k:
+                            new += [(0.0, keys[d], rows[d]) for d in order[~found[q, order]][:k]]
+                        kept[name, query] = sorted(held + new)[:k]
+        out = [(query, r[2], r[0], r[1], -s) for (_, query), held in kept.items() for s, _, r in held]
+        columns = list(zip(*out)) if out else [()] * 5
+        types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["query_id", "node_id", "path", "start_line", "score"])
+
+    return run
 
 
 def bm25_search(documents: DataFrame, queries: DataFrame, k: int = 10, scope: list[str] | None = None) -> DataFrame:
     """(query_id, node_id, score, rank from 1) of the k best documents of each query (query_id, text, and the
-    scope's columns). Documents without a match score 0 and fill up to k in corpus order (path, start line,
+    scope's column). Documents without a match score 0 and fill up to k in corpus order (path, start line,
     id); floored terms can bring matches below them. Empty queries and k < 1 give nothing.
 
-    Query terms meet the token table by an equi-join on the term; only matched tokens move, and sums of a
-    (query, document) are partial before the shuffle."""
-    if k < 1:
-        return documents.sparkSession.createDataFrame([], "query_id long, node_id string, score double, rank int")
+    Documents are tokenised once and scored where they lie. Queries and the weights of their terms are
+    broadcast in blocks of about ``ASKED`` terms; each task sends the k best of a query, and nothing else
+    of a document moves."""
+    spark = documents.sparkSession
+    out = spark.createDataFrame([], "query_id long, node_id string, path string, start_line int, score double")
     if not scope:
         return bm25_search(documents.withColumn(WHOLE, F.lit(0)), queries.withColumn(WHOLE, F.lit(0)), k, [WHOLE])
-    asked = queries.select(*scope, "query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy(*scope, "query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    _, terms = bm25_stats(documents, scope)
-    weighed = asked.join(terms, [*scope, "term"])
-    counted = term_counts(documents, scope).join(weighed, [*scope, "term"])
-    part = F.col("qf") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = counted.groupBy("query_id", "node_id").agg(F.round(F.sum(part), PLACES).alias("score"))
-
-    order = documents.select(*scope, "node_id", "path", "start_line")
-    matched = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("matched"))
-    live = asked.select(*scope, "query_id").distinct().join(matched, "query_id", "left").withColumn("want", F.coalesce("matched", F.lit(0)) + k)
-    # zero rows are needed only by queries with fewer than k positive scores
-    short = scored.filter("score > 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("good"))
-    need = live.join(short, "query_id", "left").filter(F.coalesce("good", F.lit(0)) < k)
-    most = need.agg(F.max("want")).first()[0] or 0
-    if scope == [WHOLE]:
-        order = order.orderBy("path", "start_line", "node_id").limit(int(most)) if most else order.limit(0)
-    w = Window.partitionBy(*scope).orderBy("path", "start_line", "node_id")
-    zero = need.join(order.withColumn("c", F.row_number().over(w)), scope)
-    zero = zero.filter("c <= want").select("query_id", "node_id", F.lit(0.0).alias("score")).join(scored, ["query_id", "node_id"], "left_anti")
-    both = scored.unionByName(zero).join(documents.select("node_id", "path", "start_line"), "node_id")
+    (name,) = scope
+    if k >= 1:
+        asked = queries.select(name, "query_id", F.explode(tokenize(F.col("text"))).alias("term")).filter(F.col(name).isNotNull()).groupBy(name, "query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
+        index = token_index(documents, scope)
+        _, terms = _stats(index, scope)
+        weighed = asked.join(terms, [name, "term"], "left").select(F.col(name).alias("scope"), "query_id", "term", (F.col("qf") * F.col("idf")).alias("weight"), "avgdl")
+        weighed = stored(weighed.orderBy("scope", "query_id"), "asked")
+
+        def search(block: list) -> DataFrame:
+            groups: dict = {}
+            for r in block:
+                groups.setdefault(r.scope, []).append(r)
+            held = spark.sparkContext.broadcast({s: _Asked(rows) for s, rows in groups.items()})
+            return index.mapInArrow(_best(held, name, k), out.schema)
+
+        block: list = []
+        for r in weighed.orderBy("scope", "query_id").toLocalIterator():
+            if len(block) >= ASKED and r.query_id != block[-1].query_id:
+                out, block = out.unionByName(search(block)), []
+            block.append(r)
+        if block:
+            out = out.unionByName(search(block))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "start_line", "node_id"))
-    return both.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "node_id", "score", "rank")
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "node_id", "score", "rank")
 
 
 def _top_k(ids: list, block: np.ndarray, k: int):
@@ -161,6 +260,8 @@ def hybrid_search(documents: DataFrame, embeddings: DataFrame, queries: DataFram
 
 
 def label_results(results: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Adds qualified_name and type; unknown ids keep nulls."""
-    names = nodes.groupBy(F.col("id").alias("node_id")).agg(F.min_by("qualified_name", "repo_id").alias("qualified_name"), F.min_by("type", "repo_id").alias("type"))
+    """Adds qualified_name and type; unknown ids keep nulls. Only nodes that were found are grouped."""
+    results = stored(results, "results")
+    near = nodes.select(F.col("id").alias("node_id"), "repo_id", "qualified_name", "type").join(results.select("node_id").distinct(), "node_id", "left_semi")
+    names = near.groupBy("node_id").agg(F.min_by("qualified_name", "repo_id").alias("qualified_name"), F.min_by("type", "repo_id").alias("type"))
     return results.join(names, "node_id", "left")
