@@ -18,6 +18,8 @@ from ._work import read_table, slices, text_or_empty, words_of
 #: Letters of a subsequence, decay a place, widest stretch, and letters of one unit.
 ORDER, DECAY, SPAN, UNIT = 3, 0.7, 6, 16
 CODES = 32
+#: Bytes of text that a task scores at a time; its words and pairs take some twenty times as much.
+SLICE = 4 << 20
 GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 FLOOR = -3.0
 
@@ -83,22 +85,23 @@ def scale(codes: np.ndarray) -> np.ndarray:
 
 
 def project(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Normalised sum of a per-subsequence table over each unit; table[0] must be 0."""
-    out, squares = np.zeros(len(codes)), np.zeros(len(codes))
-    size = ((codes > 0) * np.arange(1, UNIT + 1, dtype=np.uint8)).max(axis=1, initial=0)
+    """Normalised sum of a per-subsequence table over each unit. A unit's letters stand at its front, so a
+    subsequence is full if its last place has a letter."""
+    table = table.copy()
+    table[::CODES] = 0
+    size = (codes > 0).sum(axis=1)
+    squares = sum(DECAY ** (2 * (j + 1)) * np.maximum(size - j, 0) for _, j in GAPS)
+    out = np.zeros(len(codes))
     for low, width in ((2, 5), (5, 8), (8, 11), (11, UNIT)):
         at = np.flatnonzero((size > low) & (size <= width))
-        for a in range(0, len(at), 1 << 14):
-            rows = at[a : a + (1 << 14)]
+        for a in range(0, len(at), 1 << 13):
+            rows = at[a : a + (1 << 13)]
             c = codes[rows, :width].astype(np.int32)
+            x, y, total = c * (CODES * CODES), c * CODES, np.zeros(len(rows))
             for i, j in GAPS:
-                if j >= width:
-                    continue
-                x, y, z = c[:, : width - j], c[:, i : width - j + i], c[:, j:]
-                key, w = (x * CODES + y) * CODES + z, DECAY ** (j + 1)
-                full = (x > 0) & (y > 0) & (z > 0)
-                out[rows] += w * (table[key] * full).sum(axis=1)
-                squares[rows] += w * w * full.sum(axis=1)
+                if j < width:
+                    total += DECAY ** (j + 1) * table.take(x[:, : width - j] + y[:, i : width - j + i] + c[:, j:]).sum(axis=1)
+            out[rows] = total
     return np.where(squares > 0, out / np.sqrt(np.maximum(squares, 1e-12)), 0.0)
 
 
@@ -140,7 +143,7 @@ def lettered(coded: pa.DictionaryArray, offsets: np.ndarray) -> tuple[np.ndarray
     """Places of the words that have letters, how many each has, and their texts' numbers."""
     size = letters_of(coded.dictionary)[1][coded.indices.to_numpy()]
     at = np.flatnonzero(size)
-    return at, size[at], np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[at]
+    return at, size[at], np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))[at]
 
 
 def neighbours(coded: pa.DictionaryArray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.StringArray, np.ndarray, np.ndarray]:
@@ -150,7 +153,8 @@ def neighbours(coded: pa.DictionaryArray, offsets: np.ndarray) -> tuple[np.ndarr
     both = size[:-1] + size[1:]
     fit = np.flatnonzero((of[:-1] == of[1:]) & (both >= ORDER) & (both <= UNIT))
     first, second = at[fit], at[fit + 1]
-    index, n = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+    del at, size, of, both, fit
+    index, n = coded.indices.to_numpy(), np.int64(len(coded.dictionary))
     pair, which = np.unique(index[first] * n + index[second], return_inverse=True)
     parts = np.stack((pair // n, pair % n))
     return first, second, pc.binary_join_element_wise(*(coded.dictionary.take(pa.array(p)) for p in parts), ""), which, parts
@@ -198,9 +202,10 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, landmarks: int = 256,
         return none
     coded = flat.dictionary_encode()
     index, words = coded.indices.to_numpy(), coded.dictionary
-    of = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    pair = np.unique(of.astype(np.int64) * len(words) + index)
-    doc, word = pair // len(words), pair % len(words)
+    of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))
+    pair = np.unique(of * np.int64(len(words)) + index)
+    doc, word = (pair // len(words)).astype(np.int32), (pair % len(words)).astype(np.int32)
+    del flat, pair
     df = np.stack([np.bincount(word[toxic[doc] == k], minlength=len(words)) for k in (False, True)])
     codes, owner = unit_matrix(words)
     count = np.zeros((2, CODES**3))
@@ -212,10 +217,13 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, landmarks: int = 256,
     contrast[0] = 0
     single = len(words)
     first, _, pairs, which, parts = neighbours(coded, offsets)
-    found = np.unique(of[first].astype(np.int64) * max(1, len(pairs)) + which)
-    doc, word = np.append(doc, found // max(1, len(pairs))), np.append(word, found % max(1, len(pairs)) + single)
+    found = np.unique(of[first] * np.int64(max(1, len(pairs))) + which)
+    del first, which, coded, index, of
+    doc, word = np.append(doc, (found // max(1, len(pairs))).astype(np.int32)), np.append(word, (found % max(1, len(pairs)) + single).astype(np.int32))
+    del found
     order = np.argsort(doc, kind="stable")
     doc, word = doc[order], word[order]
+    del order
     words = pa.concat_arrays([words, pairs])
     df = np.stack([np.bincount(word[toxic[doc] == k], minlength=len(words)) for k in (False, True)])
     rare = toxic[doc] & (word >= single) & (df[1][word] < 3)
@@ -227,7 +235,9 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, landmarks: int = 256,
         value[single:][value[single:] <= np.maximum(*value[:single][parts])] = -np.inf
         value = np.where(rare, -np.inf, value[word])
         best = np.maximum.reduceat(value, starts)
-        at = np.minimum.reduceat(np.where(value == np.repeat(best, np.diff(np.append(starts, len(value)))), np.arange(len(value)), len(value)), starts)
+        top = np.flatnonzero(value == np.repeat(best, np.diff(np.append(starts, len(value)))))
+        at = top[np.searchsorted(top, starts)]
+        del value
         witness, n_of = np.unique(word[at][toxic[doc[at]]], return_counts=True)
         keep = (n_of * 4 > df[0][witness])
         witness, n_of = witness[keep], n_of[keep]
@@ -239,7 +249,10 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, landmarks: int = 256,
         ranked = witness[np.argsort(-n_of, kind="stable")][: landmarks * 3 // 4]
         chosen = np.concatenate((ranked, rng.choice(negative, min(len(negative), landmarks - len(ranked)), replace=False)))
         model = _machine(words, witness, n_of, negative, chosen, flat_curve)
-    return Model(model.table, model.offset, _curve(model.margins(pa.array(texts, pa.string())), toxic, prior))
+    del words, pairs, parts, doc, word, rare
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    best = np.concatenate([model.margins(part.column("text")) for part in slices(iter([batch]), "text", 1 << 20)])
+    return Model(model.table, model.offset, _curve(best, toxic, prior))
 
 
 def _machine(words: pa.StringArray, positive: np.ndarray, weight: np.ndarray, negative: np.ndarray, chosen: np.ndarray, curve: np.ndarray) -> Model:
@@ -321,7 +334,7 @@ def score_of(spark: SparkSession, model: Model, text: Column) -> Column:
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([texts], ["text"])
-        scores = [held.value.score(held.value.margins(part.column("text"))) for part in slices(iter([batch]), "text")]
+        scores = [held.value.score(held.value.margins(part.column("text"))) for part in slices(iter([batch]), "text", SLICE)]
         return pa.array(np.concatenate(scores) if scores else np.zeros(0))
 
     return run(text_or_empty(text))
