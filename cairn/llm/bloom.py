@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._work import stored
+from ._work import lean, stored
 
 SEGMENT = 1 << 16
 PROBES = 4
@@ -74,10 +74,10 @@ def build(hashes: DataFrame, bits: int, least: int) -> Broadcast:
             yield pack()
 
     parts = (
-        hashes.mapInArrow(scatter, "segment long, seen binary, again binary")
+        hashes.mapInArrow(lean(scatter), "segment long, seen binary, again binary")
         .repartition(-(-bits // SEGMENT // TOGETHER), "segment")
         .sortWithinPartitions("segment")
-        .mapInArrow(merge, "segment long, packed binary")
+        .mapInArrow(lean(merge), "segment long, packed binary")
     )
     packed = bytearray(bits // 8)
     for row in parts.toLocalIterator(prefetchPartitions=True):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from ._work import from_files, read_table, slices, stored, text_or_empty, work_dir
+from ._work import from_files, lean, read_table, slices, stored, text_or_empty, work_dir
 
 #: White space of Unicode as the tokenizer's word pattern knows it, and that pattern.
 SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -148,12 +148,12 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
         docs = stored(docs.select("doc_id", "text"), "texts")
     place = F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("block")
     split = docs.select("doc_id", split_words(text_or_empty(F.col("text")), added_tokens(tokenizer)).alias("words"), place)
-    words = split.select("block", "words").mapInArrow(_distinct, "block long, word string")
-    table = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(tokenizer), "block long, word string, ids binary")
+    words = split.select("block", "words").mapInArrow(lean(_distinct), "block long, word string")
+    table = words.repartition("word").sortWithinPartitions("word").mapInArrow(lean(_encode(tokenizer)), "block long, word string, ids binary")
     uri = work_dir(spark, "words")
     table.repartition("block").write.partitionBy("block").parquet(uri)
     pieces = spark.sparkContext.broadcast(id_pieces(tokenizer))
-    return split.mapInArrow(_apply(uri, pieces), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return split.mapInArrow(lean(_apply(uri, pieces)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_bpe_table(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

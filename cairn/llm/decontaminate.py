@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._work import mapped_bytes, read_table, slices, text_or_empty, words_of
+from ._work import lean, mapped_bytes, read_table, slices, text_or_empty, words_of
 from .fm_index import FMIndex
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -144,7 +144,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, row: list[str], window: int,
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         phrases = spark.sparkContext.broadcast(Windows([tuple(r) for r in part.toLocalIterator()], window))
-        rows = text.mapInArrow(_spans(phrases, shard_words), SPANS + ("struct<file:long,at:long>" if row else "string"))
+        rows = text.mapInArrow(lean(_spans(phrases, shard_words)), SPANS + ("struct<file:long,at:long>" if row else "string"))
         found = rows if found is None else found.unionByName(rows)
     if blocks > 1:
         found = _merged(found, blocks)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bloom
-from ._work import mapped_bytes, read_table, slices, stored, text_or_empty, words_of
+from ._work import lean, mapped_bytes, read_table, slices, stored, text_or_empty, words_of
 from .components import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -296,12 +296,12 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     dealt = pairs.join(n, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
     ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     texts = texts_of(classes.join(ids, "rep", "left_semi"), docs, most_bits)
-    sets = stored(texts.mapInArrow(_sets(width), "rep long, shingles binary"), "sets")
+    sets = stored(texts.mapInArrow(lean(_sets(width)), "rep long, shingles binary"), "sets")
     left = n.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.withColumnRenamed("rep", "a"), "a").select("a", "salt", F.lit(0).alias("turn"), F.col("a").alias("b"), "shingles")
     right = dealt.join(sets.withColumnRenamed("rep", "b"), "b").select("a", "salt", F.lit(1).alias("turn"), "b", "shingles")
     met = left.unionByName(right)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(met.repartition(tasks, "a", "salt").sortWithinPartitions("a", "salt", "turn").mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "verified")
+    return stored(met.repartition(tasks, "a", "salt").sortWithinPartitions("a", "salt", "turn").mapInArrow(lean(_confirm(percent)), "a long, b long, linked boolean"), "verified")
 
 
 def near_dedup(docs: DataFrame, width: int = 4, percent: int = 80, salts: int = 64, most_bits: int = 1 << 30) -> DataFrame:
@@ -333,7 +333,7 @@ def _linked(docs: DataFrame, row: list[str], width: int, percent: int, salts: in
     text = docs.select("doc_id", *row, text_or_empty(F.col("text")).alias("text")).withColumn("xh", F.xxhash64("text"))
     keys = ["doc_id", "xh", *row]
     kinds = "doc_id long, xh long, " + "".join(f"{r} struct<file:long,at:long>, " for r in row)
-    rows = stored(text.select(*keys, "text").mapInArrow(_describe(width, keys), kinds + "n long, digest binary, bands array<long>, sig binary"), "sketch")
+    rows = stored(text.select(*keys, "text").mapInArrow(lean(_describe(width, keys)), kinds + "n long, digest binary, bands array<long>, sig binary"), "sketch")
     full = rows.filter("n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id", *row), F.lit(salts)).cast("int"))
     part = stored(full.groupBy("digest", "salt").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "xh"))).alias("least")), "class")
     rep = part.groupBy("digest").agg(F.min("least").alias("least"))
@@ -354,7 +354,7 @@ def _linked(docs: DataFrame, row: list[str], width: int, percent: int, salts: in
     split = F.ceil(F.col("members") / DEALT).cast("int")
     salt = F.when(F.col("rep") == F.col("hub"), F.sequence(F.lit(0), split - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), split).cast("int")))
     met = bucket.select("key", F.explode(salt).alias("salt"), "rep", "n", "sig", (F.col("rep") != F.col("hub")).alias("later"), F.xxhash64("rep", "key").alias("turn"))
-    first = met.repartition(tasks, "key", "salt").sortWithinPartitions("key", "salt", "later", "turn").mapInArrow(_with_pivots(percent), PAIR)
+    first = met.repartition(tasks, "key", "salt").sortWithinPartitions("key", "salt", "later", "turn").mapInArrow(lean(_with_pivots(percent)), PAIR)
     once = first.groupBy(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).agg(F.min(F.struct("a", "b", "agree")).alias("p")).select("p.*")
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a"))
     once = stored(once.withColumn("k", best).filter("k <= 2").select("a", "b"), "first")
@@ -369,14 +369,14 @@ def _linked(docs: DataFrame, row: list[str], width: int, percent: int, salts: in
     live = part_of.join(largest, "key").withColumn("outside", F.col("comp") != F.col("top.comp"))
     live = stored(live.select("key", "rep", "n", "comp", "outside", F.ceil((F.col("all") - F.col("top.of")) / BLOCK).cast("int").alias("of_outside"), F.ceil(F.col("all") / BLOCK).cast("int").alias("of_all")), "open")
     ids = live.select("rep").distinct()
-    fine = stored(texts_of(classes.join(ids, "rep", "left_semi"), texts, most_bits).mapInArrow(_fine(width), "rep long, fine binary"), "fine")
+    fine = stored(texts_of(classes.join(ids, "rep", "left_semi"), texts, most_bits).mapInArrow(lean(_fine(width)), "rep long, fine binary"), "fine")
     # an outsider asks in its block of outsiders; every row is asked in its block of all rows
     here = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
     upto = lambda blocks: F.sequence(F.lit(0), F.col(blocks) - 1)
     asks = live.filter("outside").select("*", F.lit(True).alias("asks"), here("of_outside").alias("i"), F.explode(upto("of_all")).alias("j"))
     asked = live.select("*", F.lit(False).alias("asks"), F.explode(upto("of_outside")).alias("i"), here("of_all").alias("j"))
     cells = asks.unionByName(asked).join(fine.join(sketch.select("rep", "bands"), "rep"), "rep").select("key", "i", "j", "rep", "n", "bands", "fine", "comp", "outside", "asks")
-    rest = cells.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(percent), PAIR)
+    rest = cells.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(_across(percent)), PAIR)
     tested = known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = stored(rest.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "rest")
     more = verified(rest, classes, texts, width, percent, most_bits).filter("linked").select("a", "b")

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._work import read_table, slices, text_or_empty, words_of
+from ._work import give_back, read_table, slices, text_or_empty, words_of
 
 #: Letters of a subsequence, decay a place, widest stretch, and letters of one unit.
 ORDER, DECAY, SPAN, UNIT = 3, 0.7, 6, 16
@@ -324,7 +324,9 @@ def train(docs: DataFrame, labels: DataFrame, train_toxic: int = 1500, train_cle
         sample = ids if sample is None else sample.unionByName(ids)
     rows = text.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit((train_toxic + train_clean) * 2).collect()
     rows = [r for k, most in ((1, train_toxic), (0, train_clean)) for r in [r for r in rows if r.toxic == k][:most]]
-    return fit([r.text for r in rows], np.array([bool(r.toxic) for r in rows], bool), (bad or 0) / n if n else 0.0)
+    model = fit([r.text for r in rows], np.array([bool(r.toxic) for r in rows], bool), (bad or 0) / n if n else 0.0)
+    give_back()
+    return model
 
 
 def score_of(spark: SparkSession, model: Model, text: Column) -> Column:
@@ -332,10 +334,12 @@ def score_of(spark: SparkSession, model: Model, text: Column) -> Column:
     held = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def run(texts: pa.Array) -> pa.Array:
-        batch = pa.RecordBatch.from_arrays([texts], ["text"])
-        scores = [held.value.score(held.value.margins(part.column("text"))) for part in slices(iter([batch]), "text", SLICE)]
-        return pa.array(np.concatenate(scores) if scores else np.zeros(0))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            batch = pa.RecordBatch.from_arrays([texts], ["text"])
+            scores = [held.value.score(held.value.margins(part.column("text"))) for part in slices(iter([batch]), "text", SLICE)]
+            yield pa.array(np.concatenate(scores) if scores else np.zeros(0))
+        give_back()
 
     return run(text_or_empty(text))
 
