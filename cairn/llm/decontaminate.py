@@ -109,7 +109,7 @@ def _spans(phrases: Broadcast, shard_words: int):
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, shard_words: int = 1 << 20, block_bytes: int = 4 << 20
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, shard_words: int = 1 << 19, block_bytes: int = 4 << 20
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the merged
     removal spans (word positions, end excluded) and item ids behind them.
@@ -127,7 +127,7 @@ def contamination(
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "spans", "items")
 
 
-def contaminated_rows(rows: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, shard_words: int = 1 << 20, block_bytes: int = 4 << 20) -> DataFrame:
+def contaminated_rows(rows: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, shard_words: int = 1 << 19, block_bytes: int = 4 << 20) -> DataFrame:
     """``row_`` of the rows (see ``with_rows``) that are contaminated."""
     return _judged(rows, benchmark, ["row_"], window, share, shard_words, block_bytes).filter("contaminated").select(F.col("row").alias("row_"))
 

@@ -28,6 +28,8 @@ DEALT = 50_000
 #: Coordinates of the signatures that settle what is left, and how many of them must agree for a pair to be in
 #: doubt or surely alike: 4.5 standard deviations below and above a pair at similarity 0.8.
 FINE, IN_DOUBT, SURE = 1024, 762, 877
+#: Bytes of text whose shingles a task holds at a time.
+SLICE = 2 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,7 +95,7 @@ def signatures(value: np.ndarray, at: np.ndarray, size: int, chunk: int = 1 << 1
 
 def _describe(width: int, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             value, at = shingle_sets(batch.column("text"), width)
             sign = signatures(value, at, ROWS * BANDS)
             rows = sign.reshape(-1, BANDS, ROWS).astype(np.uint64)
@@ -244,7 +246,7 @@ def _across(percent: int):
 
 def _fine(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             sign = signatures(*shingle_sets(batch.column("text"), width), FINE)
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([r.tobytes() for r in sign.astype(np.uint8)], pa.binary())], ["rep", "fine"])
 
@@ -253,7 +255,7 @@ def _fine(width: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             value, at = shingle_sets(batch.column("text"), width)
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([value[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["rep", "shingles"])
 
