@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import bpe_table, decontaminate, exact_dedup, html_text, license_scan, line_dedup, near_dedup, token_align, token_records, toxicity, web_archive
+from . import bpe_table, decontaminate, exact_dedup, html_text, license_scan, line_dedup, near_dedup, repeat_spans, token_align, token_records, toxicity, web_archive
 
 QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op4_decontamination": decontaminate.op4_decontamination,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op11_token_align": token_align.op11_token_align,
+    "op12_repeat_spans": repeat_spans.op12_repeat_spans,
 }
 ORACLE_SQL = {
     "op5_license_scan": license_scan.OP5_SQL,
