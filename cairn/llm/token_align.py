@@ -4,7 +4,9 @@ their common ends, and how often over the corpus each pair of ids is linked."""
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,6 +23,10 @@ from .bpe import BYTE_LETTERS, load
 #: A space after other white space, or at the end, may belong to a token that began before it.
 _TANGLED = re.compile(r"\s(?: |$)")
 _EDGE = re.compile(r"(?<=\S) (?= *[^ ])")
+#: Letters that every edition of Unicode classes alike, and ASCII.
+_PLAIN = re.compile("[\x00-~À-ÖØ-öø-įı-ɏ]*")
+#: How the byte-level tokenizer cuts a text before merging.
+_PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text of a chunk, radixes of pair keys, pairs of a group beyond which its distinct ids are paired.
 CHUNK, RADIXES, WIDE = 4 << 20, 64, 64
 _ALIGNERS: dict[tuple, Aligner] = {}
@@ -51,18 +57,35 @@ class _Vocabulary:
         return self.data[_ragged(self.at[ids], self.size[ids])]
 
 
+def by_ranks(tokenizer, tokens: list[bytes]):
+    """A faster encoder of plain texts with the same ids, where the tokenizer is a byte-level one whose ids follow
+    the order of its merges; else none."""
+    import tiktoken
+
+    made = json.loads(tokenizer.to_str())
+    model, cut = made["model"], made["pre_tokenizer"] or {}
+    if model["type"] != "BPE" or made["normalizer"] or (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space")) != ("ByteLevel", True, False):
+        return None
+    order = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    special = {t["id"] for t in made["added_tokens"]}
+    if any(a >= b for a, b in zip(order, order[1:])) or len(order) + 256 + len(special) != len(tokens):
+        return None
+    return tiktoken.Encoding("ranks", pat_str=_PIECES, mergeable_ranks={t: i for i, t in enumerate(tokens) if i not in special}, special_tokens={}).encode_ordinary
+
+
 class Aligner:
     """Encodes units with both tokenizers and aligns them. Keeps two generations of encoded units, of at most
     ``most`` each."""
 
-    def __init__(self, a_path: str, b_path: str, most: int = 200_000):
+    def __init__(self, a_path: str, b_path: str, most: int = 250_000):
         import sentencepiece
 
         self.a, self.most = load(a_path), most
         self.a.encode_special_tokens = True
         letters = {chr(v): k for k, v in BYTE_LETTERS.items()}
         names = [self.a.id_to_token(i) for i in range(self.a.get_vocab_size())]
-        self.a_bytes = _Vocabulary([bytes(letters[c] for c in n) if all(c in letters for c in n) else n.encode() for n in names])
+        tokens = [bytes(letters[c] for c in n) if all(c in letters for c in n) else n.encode() for n in names]
+        self.a_bytes, self.plain = _Vocabulary(tokens), by_ranks(self.a, tokens)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = _Vocabulary([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
@@ -75,13 +98,18 @@ class Aligner:
         self.shown = [pa.array([f"{i}{end}" for end in (",", last) for i in ids]) for ids, last in zip(both, "|;")]
 
     def encoded(self, wanted: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids of each distinct unit under both, as little-endian unsigned 32-bit integers."""
-        found = [self.known.get(u) or self.old.get(u) for u in wanted]
+        """Ids of each distinct unit under both, as bytes of unsigned 32-bit integers."""
+        known, old = self.known.get, self.old.get
+        found = [known(u) or old(u) for u in wanted]
         new = [u for u, f in zip(wanted, found) if f is None]
         if new:
-            a = self.a.encode_batch_fast([" " + u for u in new], add_special_tokens=False)
-            made = {u: (np.array(x.ids, "<u4").tobytes(), np.array(y, "<u4").tobytes()) for u, x, y in zip(new, a, self.b.encode(new, num_threads=1))}
-            found = [f or made[u] for u, f in zip(wanted, found)]
+            plain = _PLAIN.fullmatch if self.plain else lambda u: None
+            a = [self.plain(" " + u) if plain(u) else None for u in new]
+            odd = self.a.encode_batch_fast([" " + u for u, x in zip(new, a) if x is None], add_special_tokens=False)
+            rest = iter([x.ids for x in odd])
+            a = [next(rest) if x is None else x for x in a]
+            made = iter([(array("I", x).tobytes(), array("I", y).tobytes()) for x, y in zip(a, self.b.encode(new, num_threads=1))])
+            found = [f or next(made) for f in found]
         if len(self.known) + len(wanted) > self.most:
             self.old, self.known = self.known, {}
         self.known.update(zip(wanted, found))
@@ -97,8 +125,8 @@ class Aligned:
 
     def __init__(self, by: Aligner, wanted: list[str], ids: list[tuple[bytes, bytes]]):
         n = len(wanted)
-        flat = [np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in zip(*ids)]
-        size = [np.array([len(x) // 4 for x in side], np.int64) for side in zip(*ids)]
+        flat = [np.frombuffer(b"".join(x), np.uint32).astype(np.int64) for x in zip(*ids)]
+        size = [np.fromiter(map(len, side), np.int64, n) // 4 for side in zip(*ids)]
         raw = [(" " + u).encode() for u in wanted]
         self.good = np.ones(n, bool)
         whole = np.frombuffer(b"".join(raw), np.uint8)
@@ -167,14 +195,18 @@ def _align(a_path: str, b_path: str, chunk_bytes: int, radixes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = _ALIGNERS.get((a_path, b_path)) or _ALIGNERS.setdefault((a_path, b_path), Aligner(a_path, b_path))
         for seq, batch in enumerate(slices(batches, "text", chunk_bytes)):
-            docs, number, cut, codes = batch.num_rows, {}, [0], []
+            docs, number, cut, codes, n = batch.num_rows, {}, [0], [], 0
             kinds[0] = batch.column("doc_id").type
             for text in batch.column("text").to_pylist():
                 if text:
-                    codes += [number.setdefault(u, len(number)) for u in units(text)]
-                cut.append(len(codes))
-            code, cut = np.array(codes, np.int64), np.array(cut, np.int64)
-            del codes
+                    words = units(text)
+                    for u in words:
+                        if u not in number:
+                            number[u] = len(number)
+                    codes.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+                    n += len(words)
+                cut.append(n)
+            code, cut = np.concatenate([*codes, np.empty(0, np.int32)]).astype(np.int64), np.array(cut, np.int64)
             every = by.align(list(number)) if number else None
             chunk = (TaskContext.get().partitionId() << 32) | seq
             doc = np.repeat(np.arange(docs), np.diff(cut))

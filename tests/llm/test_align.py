@@ -88,6 +88,17 @@ def test_units_give_the_text_back(text):
     assert " " + " ".join(token_align.units(text)) == " " + text
 
 
+def test_ranks_give_the_tokenizers_ids(spark, sf_dir):
+    import public_tokenizers as P
+
+    by = token_align.Aligner(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    rng = random.Random(7)
+    texts += ["".join(rng.choices([*map(chr, range(127)), *"éÀßœ'sllve  "], k=30)) for _ in range(5000)]
+    plain = [t for t in texts if token_align._PLAIN.fullmatch(t)]
+    assert len(plain) > 5000 and [by.plain(t) for t in plain] == [x.ids for x in by.a.encode_batch_fast(plain, add_special_tokens=False)]
+
+
 def test_merge_of_blocks_is_a_count():
     rng = random.Random(1)
     import numpy as np
