@@ -23,7 +23,7 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 GRAM = 8
 #: Bytes of text that a task parses at a time, bytes of stretches that a shard orders at a time, and stretches
 #: around one trigger beyond which they are told apart by finer stretches instead.
-SLICE, SHARD, MOST = 2 << 20, 2 << 20, 2000
+SLICE, SHARD, MOST = 1 << 18, 1 << 18, 2000
 #: By what a stretch is split when too many share its trigger.
 FINER = 8
 KEY, STRETCH = ["c1", "c2"], ["c1", "c2", "x1", "x2"]
