@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import bpe_table, decontaminate, exact_dedup, html_text, license_scan, line_dedup, near_dedup, repeat_spans, token_align, token_records, toxicity, web_archive
+from . import bpe_table, conversation_trie, decontaminate, exact_dedup, html_text, license_scan, line_dedup, near_dedup, repeat_spans, token_align, token_records, toxicity, web_archive
 
 QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op11_token_align": token_align.op11_token_align,
     "op12_repeat_spans": repeat_spans.op12_repeat_spans,
+    "op13_conversation_trie": conversation_trie.op13_conversation_trie,
 }
 ORACLE_SQL = {
     "op5_license_scan": license_scan.OP5_SQL,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op7_minhash_dedup": near_dedup.OP7_SQL,
     "op4_decontamination": decontaminate.OP4_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op13_conversation_trie": conversation_trie.OP13_SQL,
 }
