@@ -15,7 +15,7 @@ from cairn.operators.numbering import numbered
 from ._work import lean, read_table, stored, text_or_empty
 
 #: Conversations and turns of a container that is swept, and levels that a round bursts at most.
-MOST, MOST_TURNS, LEVELS = 1000, 1 << 16, 256
+MOST, MOST_TURNS, LEVELS = 200, 1 << 16, 256
 #: Hexadecimal digits of a turn's id.
 ID = 32
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -175,6 +175,7 @@ def trie(conversations: DataFrame, most: int = MOST, most_turns: int = MOST_TURN
     convs, turns = rebuilt(conversations)
     total = convs.agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"))
     root = total.filter("n > 0").select(F.lit(ROOT).alias("key"), F.lit(None).cast("binary").alias("parent"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("words"), "n", "low")
+    root = stored(root, "root")
     active, depth, levels = stored(convs.withColumn("key", F.lit(ROOT)), "active"), 0, 1
     found, settled, ended, nodes = [root], [], [active.filter("len = 0").select("key", "c")], []
     active = active.filter("len > 0")
