@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,19 +40,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def from_files(df: DataFrame) -> bool:
-    """Whether each row is one row of a file: nothing but choices of rows and columns stands above the scan."""
+    """Whether each row is one row of a file that tells its place: nothing but choices of rows and columns stands
+    above the scan, and the format numbers its rows."""
     node = df._jdf.queryExecution().optimizedPlan()
     while node.nodeName() in ("Project", "Filter"):
         node = node.children().head()
-    return bool(df.inputFiles()) and node.children().isEmpty()
+    if not df.inputFiles() or not node.children().isEmpty():
+        return False
+    try:
+        return bool(df.select(df.metadataColumn("_metadata")["row_index"]).columns)
+    except AnalysisException:  # the place of a row is known in Parquet alone
+        return False
 
 
-def with_rows(df: DataFrame) -> DataFrame:
-    """The frame's columns and ``row_``, which tells each row from every other, equal ones included: its file
-    and its place in there. Rows that don't come straight from files are written first."""
-    df = df if from_files(df) else stored(df, "rows")
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, or one like it that no column has in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """The frame, written first unless its rows come straight from files that tell their places."""
+    return df if from_files(df) else stored(df, "rows")
+
+
+def with_rows(df: DataFrame, row: str = "row_") -> DataFrame:
+    """The frame's columns and ``row``, which tells each row from every other, equal ones included: its file
+    and its place in there. Two choices of columns of one ``placed`` frame give a row the same value. The frame
+    has no column of that name (see ``free_name``)."""
+    df = placed(df)
     place = df.metadataColumn("_metadata")
-    return df.select("*", F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias("row_"))
+    return df.select("*", F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias(row))
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

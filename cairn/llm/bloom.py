@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._work import lean, stored
+from ._work import free_name, lean, stored
 
 SEGMENT = 1 << 16
 PROBES = 4
@@ -96,13 +96,13 @@ def might_contain(packed: Broadcast, bits: int, h: Column) -> Column:
     return test(h)
 
 
-def without_rows(rows: DataFrame, gone: DataFrame, most_bits: int = 1 << 30) -> DataFrame:
-    """The rows whose ``row_`` isn't in ``gone``. A bounded filter of what goes lets all others pass straight
-    through; only rows it may hold shuffle."""
-    gone = stored(gone.select("row_"), "gone")
-    key = F.xxhash64("row_")
+def without_rows(rows: DataFrame, gone: DataFrame, most_bits: int = 1 << 30, row: str = "row_") -> DataFrame:
+    """The rows whose ``row`` isn't the ``row_`` of a row of ``gone``, without that column. A bounded filter of what
+    goes lets all others pass straight through; only rows it may hold shuffle."""
+    gone = stored(gone.select(F.col("row_").alias(row)), "gone")
+    key, maybe = F.xxhash64(row), free_name("maybe_", rows.columns)
     bits = filter_bits(gone.count(), 16, most_bits)
-    marked = rows.withColumn("maybe_", might_contain(build(gone.select(key.alias("h")), bits, least=1), bits, key))
-    names = [f"`{c}`" for c in rows.columns if c != "row_"]
-    near = marked.filter("maybe_").join(gone, "row_", "left_anti")
-    return marked.filter("NOT maybe_").select(*names).unionByName(near.select(*names))
+    marked = rows.withColumn(maybe, might_contain(build(gone.select(key.alias("h")), bits, least=1), bits, key))
+    names = [f"`{c}`" for c in rows.columns if c != row]
+    near = marked.filter(maybe).join(gone, row, "left_anti")
+    return marked.filter(~F.col(maybe)).select(*names).unionByName(near.select(*names))

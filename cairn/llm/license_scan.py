@@ -133,7 +133,7 @@ def license_scan(docs: DataFrame, templates: DataFrame | dict[str, str] = TEMPLA
         found.append(template_bands(known.filter(fit), wide, "id"))
     index = stored(found[0].unionByName(found[1]).distinct(), "template-bands")
 
-    rows = with_rows(docs).select("row_", "doc_id", text_or_empty(F.col("text")).alias("text"))
+    rows = with_rows(docs.select("doc_id", "text")).select("row_", "doc_id", text_or_empty(F.col("text")).alias("text"))
     grams = lambda df, *keys: df.select(*keys, word_hashes(F.col("text")).alias("h")).select(*keys, shingles(F.col("h")).alias("s"))
     met = text_bands(grams(rows, "row_"), "row_").join(_small(index, most_broadcast), "band").select("row_", "id").distinct()
     near = stored(met.groupBy("row_").agg(F.collect_set("id").alias("ids")), "candidates")

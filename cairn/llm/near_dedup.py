@@ -285,8 +285,9 @@ def texts_of(ids: DataFrame, docs: DataFrame, most_bits: int) -> DataFrame:
     bits = bloom.filter_bits(need.count(), 16, most_bits)
     key = F.xxhash64("doc_id", "xh")
     held = bloom.build(need.select(key.alias("h")), bits, least=1)
-    near = docs.filter("doc_id is not null").filter(bloom.might_contain(held, bits, key))
-    return near.join(need, ["doc_id", "xh"]).dropDuplicates(["rep"]).select("rep", "text")
+    near = docs.filter(bloom.might_contain(held, bits, key))
+    need = need.select("rep", F.col("doc_id").alias("lead"), F.col("xh").alias("lead_xh"))
+    return near.join(need, F.col("doc_id").eqNullSafe(F.col("lead")) & (F.col("xh") == F.col("lead_xh"))).dropDuplicates(["rep"]).select("rep", "text")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, most_bits: int) -> DataFrame:
@@ -311,7 +312,8 @@ def near_dedup(docs: DataFrame, width: int = 4, percent: int = 80, salts: int =
 
     Null and empty texts and texts without words have no shingles and link with nothing, each its own
     component. Texts with equal shingle sets are one class, whatever its size; only one of its rows with the
-    least id goes on. Rows with a null id can be in a class but link no further. Repeated rows are in one
+    least id goes on. Rows with a null id are linked as others are; a component of
+    null ids alone has a null component_id. Repeated rows are in one
     class; rows of one id with other texts are judged by their texts. Other columns aren't carried. An empty
     table gives an empty one.
 
@@ -324,7 +326,7 @@ def near_dedup(docs: DataFrame, width: int = 4, percent: int = 80, salts: int =
 
 def near_copies(rows: DataFrame, width: int = 4, percent: int = 80, salts: int = 64, most_bits: int = 1 << 30) -> DataFrame:
     """``row_`` of the rows (see ``with_rows``) that are near copies: of each component, all but one row with the
-    least doc_id. Rows without shingles stay, and so do null ids without a link."""
+    least doc_id, or with none if all ids are null. Rows without shingles stay."""
     found = stored(_linked(rows, ["row_"], width, percent, salts, most_bits).filter("component is not null").select("row_", "doc_id", "component"), "linked")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_")
     top = found.groupBy("component").agg(F.min(order).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -337,14 +339,16 @@ def _linked(docs: DataFrame, row: list[str], width: int, percent: int, salts: in
     kinds = "doc_id long, xh long, " + "".join(f"{r} struct<file:long,at:long>, " for r in row)
     rows = stored(text.select(*keys, "text").mapInArrow(lean(_describe(width, keys)), kinds + "n long, digest binary, bands array<long>, sig binary"), "sketch")
     full = rows.filter("n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id", *row), F.lit(salts)).cast("int"))
-    part = stored(full.groupBy("digest", "salt").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "xh"))).alias("least")), "class")
+    part = stored(full.groupBy("digest", "salt").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "xh")).alias("least")), "class")
     rep = part.groupBy("digest").agg(F.min("least").alias("least"))
-    # a class is known by its least id; where one id leads several classes, the others get a number from their digest
-    first = rep.filter("least is not null").groupBy(F.col("least.doc_id").alias("doc_id")).agg(F.min("digest").alias("owner"))
+    # a class is known by its least id; where one id leads several classes, the others get a number from their
+    # digest, and so do classes that have no id
+    first = rep.filter("least.doc_id is not null").groupBy(F.col("least.doc_id").alias("doc_id")).agg(F.min("digest").alias("owner"))
     rep = rep.join(first, F.col("least.doc_id") == F.col("doc_id"), "left")
-    rep = stored(rep.select("digest", "doc_id", F.col("least.xh").alias("xh"), F.when(F.col("digest") == F.col("owner"), F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.xxhash64("digest"))).alias("rep")), "rep")
-    classes = rep.filter("rep is not null").select("rep", "doc_id", "xh")
-    sketch = rows.select("doc_id", "xh", "n", "digest", "bands", "sig").join(rep.filter("rep is not null").select("digest", "doc_id", "xh", "rep"), ["digest", "doc_id", "xh"]).dropDuplicates(["digest"])
+    rep = stored(rep.select("digest", "doc_id", F.col("least.xh").alias("xh"), F.when(F.col("digest") == F.col("owner"), F.col("doc_id")).otherwise(F.xxhash64("digest")).alias("rep")), "rep")
+    classes = rep.select("rep", "doc_id", "xh")
+    named = rep.select(F.col("digest").alias("of"), F.col("doc_id").alias("lead"), F.col("xh").alias("lead_xh"), "rep")
+    sketch = rows.join(named, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("lead")) & (F.col("xh") == F.col("lead_xh"))).dropDuplicates(["digest"])
     sketch = stored(sketch.select("rep", "n", "bands", "sig"), "reps")
 
     keys = sketch.select("rep", F.explode("bands").alias("key"))

@@ -7,13 +7,22 @@ count as empty, empty tables give empty ones, and columns stay as they are."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import bpe_table, decontaminate, exact_dedup, near_dedup, toxicity
-from cairn.llm._work import read_table, stored, with_rows
+from cairn.llm._work import free_name, placed, read_table, stored, with_rows
 from cairn.llm.bloom import without_rows
 
 
+def _without(docs: DataFrame, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that ``found`` doesn't tell of (doc_id, text, row_); it sees no other column."""
+    docs = placed(docs)
+    row = free_name("row_", docs.columns)
+    return without_rows(with_rows(docs, row), found(with_rows(docs.select("doc_id", "text"))), row=row)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows scored under 0.3 stay; labels teach through their doc_id."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
@@ -22,20 +31,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row with the largest doc_id stays; a null id stays if all are null."""
-    rows = with_rows(docs)
-    return without_rows(rows, exact_dedup.exact_copies(rows))
+    return _without(docs, exact_dedup.exact_copies)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies that are linked one row with the least doc_id stays. Texts without words stay."""
-    rows = with_rows(docs)
-    return without_rows(rows, near_dedup.near_copies(rows))
+    """Of near copies that are linked one row with the least doc_id stays, a null id if all are null. Texts without
+    words stay."""
+    return _without(docs, near_dedup.near_copies)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows stay unless benchmark windows cover at least a twentieth of their words."""
-    rows = with_rows(docs)
-    return without_rows(rows, decontaminate.contaminated_rows(rows, read_table(spark, sf_dir, "benchmark")))
+    return _without(docs, lambda rows: decontaminate.contaminated_rows(rows, read_table(spark, sf_dir, "benchmark")))
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

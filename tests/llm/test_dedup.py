@@ -246,3 +246,14 @@ def test_line_dedup_of_many_lines_in_a_text_and_a_leaf(spark):
     began = time.monotonic()
     got = {r.doc_id: r for r in line_dedup.line_dedup(docs, 2, 1).collect()}
     assert got[1].n_dropped == 80_000 and got[1].n_lines == 100_000 and got[2].text == "own" and time.monotonic() - began < 60
+
+
+def test_null_ids_link(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a), (None, a + " end"), (None, b), (None, b + " end"), (None, "one of its own kind here"), (4, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(near_dedup.near_dedup(df), "doc_id", "component_id", "kept")
+    assert got == sorted([(1, 1, True), (None, 1, False), (None, None, True), (None, None, True), (None, None, True), (4, 4, True)], key=repr)
+    docs = with_rows(df)
+    left = rows_of(bloom.without_rows(docs, near_dedup.near_copies(docs)), "doc_id", "text")
+    assert [r for r in left if r[1] != b and r[1] != b + " end"] == sorted([(1, a), (None, rows[4][1]), (4, "x y z")], key=repr) and len(left) == 4
