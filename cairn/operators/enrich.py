@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import walk_key
 from ..functions.text import EMBED_CHARS, document, estimate_tokens
+from ..sources.shared import stored
+from .numbering import numbered
 
 #: Nodes and estimated tokens of a summary batch, texts of an embedding call, tries of one text.
 MAX_NODES, MAX_TOKENS, OVERHEAD = 20, 50_000, 311
@@ -33,7 +35,7 @@ def embedding_documents(nodes: DataFrame, max_chars: int = EMBED_CHARS) -> DataF
 
 
 def node_block(index, meta):
-    """A node's numbered block. The labels and the first source line stand eight spaces in, later source
+    """A node's numbered block, of fixed labels that must match (fixed values). The labels and the first source line stand eight spaces in, later source
     lines as they are."""
     pad = "\n        "
     return F.concat(
@@ -44,38 +46,49 @@ def node_block(index, meta):
 
 def node_blocks(nodes: DataFrame) -> DataFrame:
     """Eligible nodes with their place in the repository (walk order, from 0), block and its tokens. Only the
-    keys and order are numbered over a repository; texts join the numbers afterwards."""
+    keys and order are numbered, by ranges, so a repository of any size lies in many partitions; texts join the
+    numbers afterwards."""
     rows = eligible_nodes(nodes, for_summary=True)
     meta = F.coalesce(F.col("attributes.meta"), F.lit(""))
     narrow = rows.select("repo_id", "id", walk_key(F.col("path")).alias("w"), "start_line", F.col("node_seq").alias("s"))
-    from pyspark.sql.window import Window
-
-    numbered = narrow.withColumn("index", F.row_number().over(Window.partitionBy("repo_id").orderBy("w", "s", "start_line", "id")) - 1).select("repo_id", "id", "index")
-    both = rows.withColumn("_meta", meta).join(numbered, ["repo_id", "id"])
+    places = numbered(narrow, ["repo_id"], [F.col(c) for c in ("w", "s", "start_line", "id")], ["id"])
+    both = rows.withColumn("_meta", meta).join(places.withColumn("index", F.col("index").cast("int")), ["repo_id", "id"])
     block = node_block(F.col("index"), F.col("_meta"))
     return both.select("repo_id", "id", "index", block.alias("block"), estimate_tokens(block).alias("tokens"), "qualified_name", "type", F.col("_meta").alias("meta"), "raw_source")
 
 
-def _pack(max_nodes: int, max_tokens: int, overhead: int):
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("index", ignore_index=True)
-        number, count, total, out = -1, 0, 0, []
-        for tokens in batch.tokens:
-            if number < 0 or count >= max_nodes or total + tokens > max_tokens:
-                number, count, total = number + 1, 0, overhead
-            count, total = count + 1, total + tokens
-            out.append(number)
-        return batch.assign(batch_no=out)[["repo_id", "id", "index", "tokens", "batch_no"]]
-
-    return run
+def batch_ends(rows: DataFrame, max_nodes: int, max_tokens: int, overhead: int) -> DataFrame:
+    """(repo_id, index, next): where the batch after one that begins at ``index`` would begin. A batch looks at no
+    more than ``max_nodes`` rows, so each row is sent to the beginnings that may reach it."""
+    reach = F.explode(F.sequence(F.greatest(F.lit(0), F.col("index") - (max_nodes - 1)), F.col("index")))
+    near = rows.select("repo_id", reach.alias("start"), "index", F.col("tokens").cast("long").alias("tokens"))
+    lists = near.groupBy("repo_id", "start").agg(F.sort_array(F.collect_list(F.struct("index", "tokens"))).alias("w"))
+    first = F.struct(F.lit(overhead).cast("long").alias("total"), F.lit(0).alias("n"), F.lit(True).alias("going"))
+    taken = lambda a, x: F.when(a["going"] & ((a["n"] == 0) | (a["total"] + x["tokens"] <= max_tokens)), F.struct((a["total"] + x["tokens"]).alias("total"), (a["n"] + 1).alias("n"), F.lit(True).alias("going"))).otherwise(F.struct(a["total"].alias("total"), a["n"].alias("n"), F.lit(False).alias("going")))
+    return lists.select("repo_id", F.col("start").alias("index"), (F.col("start") + F.aggregate("w", first, taken)["n"]).alias("next"))
 
 
 def summary_batches(blocks: DataFrame, max_nodes: int = MAX_NODES, max_tokens: int = MAX_TOKENS, overhead: int = OVERHEAD) -> DataFrame:
-    """(repo_id, id, index, tokens, batch_no): greedy packing in node order. A batch closes at ``max_nodes`` or
-    when the next node would pass ``max_tokens``; a node over the limit is alone. Packing is sequential
-    within a repository, so only narrow rows are grouped."""
-    narrow = blocks.select("repo_id", "id", "index", "tokens")
-    return narrow.groupBy("repo_id").applyInPandas(_pack(max_nodes, max_tokens, overhead), "repo_id string, id string, index int, tokens int, batch_no int")
+    """(repo_id, id, index, tokens, batch_no): greedy packing in node order (indexes from 0 without gaps). A batch
+    closes at ``max_nodes`` or when the next node would pass ``max_tokens``; a node over the limit is alone.
+
+    Which batch follows a beginning depends on the next rows alone, so it is a table of jumps. Beginnings are
+    reached from row 0 by doubling the jumps: after k rounds the first 2^k batches of every repository are known.
+    No repository is held in one task."""
+    narrow = stored(blocks.select("repo_id", "id", "index", "tokens"), "packing")
+    ends = stored(batch_ends(narrow.select("repo_id", "index", "tokens"), max_nodes, max_tokens, overhead), "ends")
+    jump, step = ends, 1
+    starts = stored(ends.filter("index = 0").select("repo_id", "index", F.lit(0).alias("batch_no")), "starts")
+    while True:
+        met = starts.join(jump, ["repo_id", "index"]).select("repo_id", F.col("next").alias("index"), (F.col("batch_no") + step).alias("batch_no"))
+        met = stored(met.join(ends.select("repo_id", "index"), ["repo_id", "index"], "left_semi"), "met")
+        if met.isEmpty():
+            break
+        starts, step = starts.unionByName(met), step * 2
+        far = jump.select("repo_id", F.col("index").alias("next"), F.col("next").alias("far"))
+        jump = stored(jump.join(far, ["repo_id", "next"]).select("repo_id", "index", F.col("far").alias("next")), "jump")
+    spans = starts.join(ends, ["repo_id", "index"]).select("repo_id", F.explode(F.sequence("index", F.col("next") - 1)).alias("index"), "batch_no")
+    return narrow.join(spans, ["repo_id", "index"]).select("repo_id", "id", "index", "tokens", "batch_no")
 
 
 def summary_prompts(blocks: DataFrame, batches: DataFrame, instruction: str = INSTRUCTION) -> DataFrame:

@@ -6,15 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import document, tokenize
-from ..sources.shared import stored
+from ..sources.shared import spread, stored
 
 #: BM25's saturation, length weight and floor share, and the constant of rank fusion.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -23,8 +21,10 @@ RRF = 60
 PLACES = 6
 #: Name of the one scope of a search over everything.
 WHOLE = "_whole"
-#: Terms of queries that are broadcast at a time, and scores (queries x documents) that a task holds at a time.
-ASKED, CELLS = 200_000, 1 << 21
+#: Postings of a block, postings that a task inverts at a time, and terms of a query that a first bound is taken from.
+POSTINGS, INVERTED, SEEDS = 128, 1 << 20, 6
+#: What a score may miss a bound by and still be rounded to it.
+MARGIN = 1e-5
 #: Query vectors a task multiplies at a time, and floats of query vectors that are broadcast at a time.
 QUERY_BLOCK, BROADCAST_FLOATS = 256, 4_000_000
 
@@ -50,21 +50,27 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_index(documents: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, node_id, path, start_line, dl, terms, counts): one written row a document, tokenised once."""
-    rows = documents.select(*scope, "node_id", "path", "start_line", tokenize(F.coalesce(F.col("text"), F.lit(""))).alias("tokens"))
+    """(scope, doc, node_id, path, start_line, dl, terms, counts): one written row a document, tokenised once."""
+    rows = spread(documents).select(*scope, F.monotonically_increasing_id().alias("doc"), "node_id", "path", "start_line", tokenize(F.coalesce(F.col("text"), F.lit(""))).alias("tokens"))
     kinds = [f for f in rows.schema.fields if f.name != "tokens"]
     kinds += [T.StructField("dl", T.IntegerType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
     return stored(rows.mapInArrow(_counted, T.StructType(kinds)), "tokens")
 
 
-def _stats(index: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:
-    one_row = F.broadcast if scope == [WHOLE] else lambda df: df
-    corpus = stored(index.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "corpus")
-    df = index.select(*scope, F.explode("terms").alias("term")).groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
-    raw = stored(df.join(one_row(corpus), scope).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "idf")
+def _one_row(scope: list[str]):
+    return F.broadcast if scope == [WHOLE] else lambda df: df
+
+
+def _corpus(index: DataFrame, scope: list[str]) -> DataFrame:
+    return stored(index.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "corpus")
+
+
+def _weights(df: DataFrame, corpus: DataFrame, scope: list[str]) -> DataFrame:
+    """The terms (scope, term, df, ...) with their idf and the figures of their scope."""
+    raw = stored(df.join(_one_row(scope)(corpus), scope).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "idf")
     mean = raw.groupBy(*scope).agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw"))
-    return corpus, raw.join(one_row(mean), scope).select(*scope, "term", "df", idf.alias("idf"), "n", "avgdl")
+    return raw.join(_one_row(scope)(mean), scope).withColumn("idf", idf).drop("raw", "mean")
 
 
 def bm25_stats(documents: DataFrame, scope: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -74,113 +80,152 @@ def bm25_stats(documents: DataFrame, scope: list[str] | None = None) -> tuple[Da
     if not scope:
         corpus, terms = bm25_stats(documents.withColumn(WHOLE, F.lit(0)), [WHOLE])
         return corpus.drop(WHOLE), terms.drop(WHOLE)
-    return _stats(token_index(documents, scope), scope)
-
-
-class _Asked:
-    """A block of queries of one scope: its terms, and by term the queries that ask for it and their weights."""
-
-    def __init__(self, rows: list):
-        self.ids = sorted({r.query_id for r in rows})
-        number = {q: k for k, q in enumerate(self.ids)}
-        rows = sorted((r for r in rows if r.weight is not None), key=lambda r: r.term)
-        self.avgdl = rows[0].avgdl if rows else 1.0
-        terms, self.at = np.unique(np.array([r.term for r in rows], object), return_index=True) if rows else (np.array([], object), np.array([], np.int64))
-        self.terms = pa.array(list(terms), pa.string())
-        self.at = np.append(self.at, len(rows)).astype(np.int64)
-        self.query = np.array([number[r.query_id] for r in rows], np.int64)
-        self.weight = np.array([r.weight for r in rows], np.float64)
-
-    def scores(self, dl: np.ndarray, terms: pa.ListArray, counts: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """(queries x documents) scores and whether a term of the query is in the document."""
-        docs = len(dl)
-        code = pc.index_in(terms.flatten(), self.terms).fill_null(-1).to_numpy()
-        doc = np.repeat(np.arange(docs), np.diff(terms.offsets.to_numpy()))
-        hit = np.flatnonzero(code >= 0)
-        f, doc, code = counts.flatten().to_numpy()[hit].astype(np.float64), doc[hit], code[hit]
-        part = f * (K1 + 1) / (f + K1 * (1 - B + B * dl[doc] / self.avgdl))
-        n = self.at[code + 1] - self.at[code]
-        each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.at[code], n)
-        cell = self.query[each] * docs + np.repeat(doc, n)
-        score = np.bincount(cell, weights=self.weight[each] * np.repeat(part, n), minlength=len(self.ids) * docs)
-        found = np.bincount(cell, minlength=len(self.ids) * docs) > 0
-        return np.round(score, PLACES).reshape(-1, docs) + 0.0, found.reshape(-1, docs)
-
-
-def _best(asked: Broadcast, scope: str, k: int):
-    """Of each query the k best documents that a task holds, with their places in the order of ties. Documents
-    without a match score 0; they can't be among the best once k documents score more."""
+    index = token_index(documents, scope)
+    corpus = _corpus(index, scope)
+    df = index.select(*scope, F.explode("terms").alias("term")).groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
+    return corpus, _weights(df, corpus, scope).select(*scope, "term", "df", "idf", "n", "avgdl")
+
+
+def _part(f: Column, dl: Column, avgdl: Column) -> Column:
+    """What a term that occurs ``f`` times adds to a document's score, before its weight; under K1 + 1."""
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
+
+
+def _inverted(scope: str, block: int):
+    """Postings of the documents of a task, ``INVERTED`` at a time: blocks of at most ``block`` documents of one
+    term, those it counts most in first, with the most it adds to any of them."""
+
+    def invert(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        terms, counts = batch.column("terms"), batch.column("counts")
+        size = np.diff(terms.offsets.to_numpy())
+        row = np.repeat(np.arange(len(size)), size)
+        f, dl, mean = counts.flatten().to_numpy().astype(np.float64), batch.column("dl").to_numpy()[row], batch.column("avgdl").to_numpy()[row]
+        part = f * (K1 + 1) / (f + K1 * (1 - B + B * dl / mean))
+        named, within = terms.flatten().dictionary_encode(), batch.column(scope).dictionary_encode()
+        code = within.indices.to_numpy()[row].astype(np.int64) * max(1, len(named.dictionary)) + named.indices.to_numpy()
+        order = np.lexsort((-part, code))
+        code, part, doc = code[order], part[order], batch.column("doc").to_numpy()[row][order]
+        first = np.append(True, code[1:] != code[:-1])
+        start = np.flatnonzero(first)[np.cumsum(first) - 1] if len(code) else np.empty(0, np.int64)
+        at = np.flatnonzero((np.arange(len(code)) - start) % block == 0)
+        cuts = pa.array(np.append(at, len(code)).astype(np.int32))
+        names = pa.array(code[at] % max(1, len(named.dictionary))), pa.array(code[at] // max(1, len(named.dictionary)))
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (doc, part)]
+        return pa.RecordBatch.from_arrays([within.dictionary.take(names[1]), named.dictionary.take(names[0]), pa.array(part[at]), *lists], [scope, "term", "most", "docs", "parts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple, list[tuple]] = {}
+        held, n = [], 0
         for batch in batches:
-            scopes = np.array(batch.column(scope).to_pylist(), object)
-            names = {s for s in scopes.tolist() if s in asked.value}
-            for name in names:
-                block: _Asked = asked.value[name]
-                mine = batch.take(pa.array(np.flatnonzero(scopes == name)))
-                step = max(1, CELLS // max(1, len(block.ids)))
-                for a in range(0, mine.num_rows, step):
-                    part = mine.slice(a, step)
-                    rows = list(zip(part.column("path").to_pylist(), part.column("start_line").to_pylist(), part.column("node_id").to_pylist()))
-                    keys = [tuple((x is not None, x) if x is not None else (False,) for x in r) for r in rows]
-                    order = np.array(sorted(range(len(rows)), key=keys.__getitem__), np.int64)
-                    place = np.empty(len(rows), np.int64)
-                    place[order] = np.arange(len(rows))
-                    score, found = block.scores(part.column("dl").to_numpy(), part.column("terms"), part.column("counts"))
-                    for q, query in enumerate(block.ids):
-                        held = kept.setdefault((name, query), [])
-                        at = np.flatnonzero(found[q])
-                        if len(at) > k:
-                            edge = np.partition(-score[q, at], k - 1)[k - 1]
-                            at = at[-score[q, at] <= edge]
-                        at = at[np.lexsort((place[at], -score[q, at]))][:k]
-                        new = [(-float(score[q, d]), keys[d], rows[d]) for d in at]
-                        if sum(x[0] < 0 for x in held) + sum(x[0] < 0 for x in new) < k:
-                            new += [(0.0, keys[d], rows[d]) for d in order[~found[q, order]][:k]]
-                        kept[name, query] = sorted(held + new)[:k]
-        out = [(query, r[2], r[0], r[1], -s) for (_, query), held in kept.items() for s, _, r in held]
-        columns = list(zip(*out)) if out else [()] * 5
-        types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["query_id", "node_id", "path", "start_line", "score"])
+            held.append(batch)
+            n += len(batch.column("terms").flatten())
+            if n >= INVERTED:
+                yield invert(held)
+                held, n = [], 0
+        if n:
+            yield invert(held)
 
     return run
 
 
+def postings(index: DataFrame, corpus: DataFrame, scope: str, block: int = POSTINGS) -> DataFrame:
+    """(scope, term, most, docs, parts, at): a written table of blocks of postings, sorted by term. A term of any
+    share of the documents is as many blocks as it needs, and each has its own upper bound."""
+    rows = index.join(_one_row([scope])(corpus), scope).select(scope, "doc", "dl", "avgdl", "terms", "counts")
+    kind = dict(rows.dtypes)[scope]
+    made = rows.mapInArrow(_inverted(scope, block), f"`{scope}` {kind}, term string, most double, docs array<long>, parts array<double>")
+    return stored(made.repartitionByRange(scope, "term", "most").sortWithinPartitions(scope, "term").withColumn("at", F.monotonically_increasing_id()), "postings")
+
+
+def _hits(terms: DataFrame, blocks: DataFrame, scope: str) -> DataFrame:
+    """(query_id, doc, partial): sums over the terms (scope, query_id, term, weight) and blocks that meet."""
+    met = terms.join(blocks, [scope, "term"]).select("query_id", "weight", F.explode(F.arrays_zip("docs", "parts")).alias("p"))
+    return met.groupBy("query_id", F.col("p.docs").alias("doc")).agg(F.sum(F.col("weight") * F.col("p.parts")).alias("partial"))
+
+
+def _kth(hits: DataFrame, low: DataFrame, k: int) -> DataFrame:
+    """(query_id, bound): a score that k documents of the query reach at least, where it is above 0."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("partial")))
+    kth = hits.withColumn("place", place).filter(F.col("place") <= k).filter(F.col("place") == k)
+    return kth.join(low, "query_id").select("query_id", (F.col("partial") + F.col("low")).alias("bound")).filter("bound > 0")
+
+
+def candidates(asked: DataFrame, blocks: DataFrame, scope: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """((query_id, doc, partial), (scope, query_id, term, weight, open)): the documents that can be among a query's k
+    best with what its essential terms add, and its other terms, whose part is open.
+
+    The best blocks of a few terms give k documents' least scores, so a bound. The terms that together can't
+    reach it need no postings of their own; of the others' blocks those are read whose most, with all that the
+    query's other terms can add, reaches it. What these add raises the bound once more. A query without a
+    bound (fewer than k good matches) has no open terms, and all its matches are candidates."""
+    whole = Window.partitionBy("query_id")
+    gain, loss = F.greatest(F.col("weight") * F.col("top"), F.lit(0.0)), F.least(F.col("weight"), F.lit(0.0)) * (K1 + 1)
+    asked = stored(asked.withColumn("gain", gain).withColumn("all", F.sum("gain").over(whole)).withColumn("low", F.sum(loss).over(whole)), "weighed")
+    low = asked.select("query_id", "low").distinct()
+    best = F.row_number().over(whole.orderBy(F.desc("gain"), "term"))
+    common = F.row_number().over(whole.orderBy(F.desc("df"), "term"))
+    seeds = asked.filter("weight > 0").withColumn("best", best).withColumn("common", common).filter((F.col("best") <= SEEDS) | (F.col("common") == 1))
+    lead = blocks.join(seeds.select(scope, "term").distinct(), [scope, "term"], "left_semi").groupBy(scope, "term").agg(F.max(F.struct("most", "at", "docs", "parts")).alias("b")).select(scope, "term", "b.docs", "b.parts")
+    bound = stored(_kth(_hits(seeds.select(scope, "query_id", "term", "weight"), lead, scope), low, k), "bound")
+
+    upto = F.sum("gain").over(whole.orderBy("gain", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parted = asked.join(bound, "query_id", "left").withColumn("upto", upto).withColumn("open", F.coalesce(F.col("upto") < F.col("bound") - MARGIN, F.lit(False)))
+    parted = stored(parted, "parted")
+    reach = F.col("bound").isNull() | (F.col("weight") * F.col("most") + F.col("all") - F.col("gain") >= F.col("bound") - MARGIN)
+    essential = parted.filter("NOT open").join(blocks, [scope, "term"]).filter(reach)
+    hits = essential.select("query_id", "weight", F.explode(F.arrays_zip("docs", "parts")).alias("p")).groupBy("query_id", F.col("p.docs").alias("doc")).agg(F.sum(F.col("weight") * F.col("p.parts")).alias("partial"))
+    hits = stored(hits, "hits")
+    more = bound.join(_kth(hits, low, k).withColumnRenamed("bound", "raised"), "query_id", "left").select("query_id", F.greatest("bound", "raised").alias("bound"))
+    rest = parted.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("open"), F.col("upto"))), F.lit(0.0)).alias("rest"))
+    kept = hits.join(rest, "query_id").join(more, "query_id", "left").filter(F.col("bound").isNull() | (F.col("partial") + F.col("rest") >= F.col("bound") - MARGIN))
+    full = kept.select("query_id", "doc", "partial", F.col("bound").isNull().alias("full"))
+    return stored(full, "candidates"), parted.select(scope, "query_id", "term", "weight", "open")
+
+
 def bm25_search(documents: DataFrame, queries: DataFrame, k: int = 10, scope: list[str] | None = None) -> DataFrame:
     """(query_id, node_id, score, rank from 1) of the k best documents of each query (query_id, text, and the
     scope's column). Documents without a match score 0 and fill up to k in corpus order (path, start line,
-    id); floored terms can bring matches below them. Empty queries and k < 1 give nothing.
+    id); floored terms can bring matches below them. Empty queries and k < 1 give nothing. A query_id stands in
+    one scope.
 
-    Documents are tokenised once and scored where they lie. Queries and the weights of their terms are
-    broadcast in blocks of about ``ASKED`` terms; each task sends the k best of a query, and nothing else
-    of a document moves."""
+    Documents are tokenised once and inverted where they lie; postings are a written table of blocks with upper
+    bounds. Queries are a table too: they meet postings by term, and only ``candidates`` are scored in full."""
     spark = documents.sparkSession
-    out = spark.createDataFrame([], "query_id long, node_id string, path string, start_line int, score double")
     if not scope:
         return bm25_search(documents.withColumn(WHOLE, F.lit(0)), queries.withColumn(WHOLE, F.lit(0)), k, [WHOLE])
     (name,) = scope
-    if k >= 1:
-        asked = queries.select(name, "query_id", F.explode(tokenize(F.col("text"))).alias("term")).filter(F.col(name).isNotNull()).groupBy(name, "query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-        index = token_index(documents, scope)
-        _, terms = _stats(index, scope)
-        weighed = asked.join(terms, [name, "term"], "left").select(F.col(name).alias("scope"), "query_id", "term", (F.col("qf") * F.col("idf")).alias("weight"), "avgdl")
-        weighed = stored(weighed.orderBy("scope", "query_id"), "asked")
-
-        def search(block: list) -> DataFrame:
-            groups: dict = {}
-            for r in block:
-                groups.setdefault(r.scope, []).append(r)
-            held = spark.sparkContext.broadcast({s: _Asked(rows) for s, rows in groups.items()})
-            return index.mapInArrow(_best(held, name, k), out.schema)
-
-        block: list = []
-        for r in weighed.orderBy("scope", "query_id").toLocalIterator():
-            if len(block) >= ASKED and r.query_id != block[-1].query_id:
-                out, block = out.unionByName(search(block)), []
-            block.append(r)
-        if block:
-            out = out.unionByName(search(block))
+    if k < 1:
+        return spark.createDataFrame([], "query_id long, node_id string, score double, rank int")
+    index = token_index(documents, scope)
+    corpus = _corpus(index, scope)
+    blocks = postings(index, corpus, name, max(POSTINGS, k))
+    df = blocks.groupBy(name, "term").agg(F.sum(F.size("docs")).alias("df"), F.max("most").alias("top"))
+    asked = queries.select(name, "query_id", F.explode(tokenize(F.col("text"))).alias("term")).filter(F.col(name).isNotNull()).groupBy(name, "query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
+    asked = stored(asked, "asked")
+    terms = _weights(df, corpus, scope).join(asked.select(name, "term").distinct(), [name, "term"], "left_semi")
+    known = asked.join(terms.select(name, "term", "df", "top", "idf"), [name, "term"]).withColumn("weight", F.col("qf") * F.col("idf"))
+    found, parted = candidates(known.select(name, "query_id", "term", "weight", "df", "top"), blocks, name, k)
+
+    # what the open terms add is read from the candidates' own documents
+    near = index.join(found.select("doc").distinct(), "doc", "left_semi").join(_one_row(scope)(corpus), scope)
+    own = near.select("doc", "dl", "avgdl", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("doc", F.col("t.terms").alias("term"), _part(F.col("t.counts"), F.col("dl"), F.col("avgdl")).alias("part"))
+    own = own.join(parted.filter("open").select("term").distinct(), "term", "left_semi")
+    lacking = found.join(parted.filter("open").select("query_id", "term", "weight"), "query_id")
+    added = lacking.join(own, ["doc", "term"]).groupBy("query_id", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("added"))
+    places = index.select("doc", "node_id", "path", "start_line")
+    scored = found.join(added, ["query_id", "doc"], "left").join(places, "doc")
+    score = (F.round(F.col("partial") + F.coalesce("added", F.lit(0.0)), PLACES) + 0.0).alias("score")
+    scored = scored.select("query_id", "node_id", "path", "start_line", score)
+
+    # queries without a bound: the first documents of their scope that they don't match
+    bound = found.filter("NOT full").select("query_id").distinct()
+    short = asked.select(name, "query_id").distinct().join(bound, "query_id", "left_anti")
+    matches = found.filter("full").groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))
+    most = short.join(matches, "query_id", "left").groupBy(name).agg((F.coalesce(F.max("m"), F.lit(0)) + k).alias("head"))
+    order = F.row_number().over(Window.partitionBy(name).orderBy("path", "start_line", "node_id", "doc"))
+    head = index.join(F.broadcast(most), name).select(name, "doc", "node_id", "path", "start_line", "head").withColumn("place", order).filter(F.col("place") <= F.col("head"))
+    fill = short.join(head, name).join(found.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
+    out = scored.unionByName(fill.select("query_id", "node_id", "path", "start_line", F.lit(0.0).alias("score")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "start_line", "node_id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "node_id", "score", "rank")
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -25,3 +26,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/graph-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The frame, dealt out anew if it has fewer partitions than there are cores: a few files hold a small table, and
+    one core each would do all the work on it. Larger tables stay where they are. The partitions are counted by
+    a pass over no columns but those the frame filters by."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0]
+    return df if parts is None or parts + 1 >= cores else df.repartition(cores)

@@ -139,3 +139,80 @@ def test_parse_summaries(spark):
     rows = [("r", 0, '[{"id":"a","summary":"1"},{"id":"a","summary":"2"}]'), ("r", 1, '[{"id":"a","summary":"3"}]'), ("r", 2, ""), ("r", 3, "{["), ("r", 4, None)]
     good, bad = I.parse_summaries(spark.createDataFrame(rows, "repo_id string, batch_no int, response string"))
     assert [(r.id, r.summary) for r in good.collect()] == [("a", "3")] and [r.batch_no for r in bad.collect()] == [3]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bm25_bounds_and_blocks(spark, seed, monkeypatch):
+    """Many documents, small blocks: bounds hold, blocks are skipped, and all scores are right, their signs too."""
+    monkeypatch.setattr(S, "POSTINGS", 4)
+    monkeypatch.setattr(S, "INVERTED", 300)
+    monkeypatch.setattr(S, "SEEDS", 2)
+    rng = random.Random(seed)
+    words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(500)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(150)] + ["only w1 w1 w1", ""]
+    asked = [" ".join(rng.choices(words, k=rng.randint(1, 12))) for _ in range(25)] + ["w1", "only", "nothing here", "", "only nothing w2 w2"]
+    docs = spark.createDataFrame([("r", f"{i:03}", "p", i, t) for i, t in enumerate(texts)], DOCS).repartition(3)
+    got = S.bm25_search(docs, spark.createDataFrame(list(enumerate(asked)), "query_id long, text string"), 7).collect()
+    for q, text in enumerate(asked):
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [int(r.node_id) for r in mine] == referee(texts, text, 7)
+        assert all(math.copysign(1, r.score) == 1 for r in mine if r.score == 0)
+
+
+def test_bm25_reads_what_it_must(spark, monkeypatch):
+    """A common term beside a rare one: the common one is open, so candidates are the rare one's documents."""
+    docs = spark.createDataFrame([("r", str(i), "p", i, "common word " + ("rare " * 3 if i < 12 else f"x{i} y{i}")) for i in range(400)], DOCS).withColumn(S.WHOLE, F.lit(0))
+    index = S.token_index(docs, [S.WHOLE])
+    corpus = S._corpus(index, [S.WHOLE])
+    blocks = S.postings(index, corpus, S.WHOLE)
+    df = blocks.groupBy(S.WHOLE, "term").agg(F.sum(F.size("docs")).alias("df"), F.max("most").alias("top"))
+    known = S._weights(df, corpus, [S.WHOLE]).filter("term in ('common', 'rare')").withColumn("query_id", F.lit(1)).withColumn("weight", F.col("idf"))
+    found, parted = S.candidates(known.select(S.WHOLE, "query_id", "term", "weight", "df", "top"), blocks, S.WHOLE, 5)
+    assert found.count() <= 12 and [r.term for r in parted.filter("open").collect()] == ["common"]
+    assert blocks.filter("term = 'common'").count() >= 4 and blocks.agg(F.max(F.size("docs"))).first()[0] <= S.POSTINGS
+
+
+def test_numbering_of_a_large_group(spark):
+    from cairn.operators.numbering import numbered
+
+    rng = random.Random(2)
+    rows = [("big" if rng.random() < 0.8 else rng.choice(["a", "b", None]), rng.randrange(10**6), str(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, k int, id string").repartition(6)
+    out = numbered(df, ["g"], [F.col("k"), F.col("id")], ["id"])
+    want = {}
+    for g in {r[0] for r in rows}:
+        for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2]))):
+            want[r[2]] = n
+    assert {r.id: r["index"] for r in out.collect()} == want
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packing_of_one_large_repository(spark):
+    rng = random.Random(4)
+    tokens = {"r": [rng.randint(1, 400) for _ in range(1500)], "s": [900], "t": [10] * 45}
+    rows = [(r, f"{r}{i}", i, t) for r, ts in tokens.items() for i, t in enumerate(ts)]
+    got = {r.id: r.batch_no for r in I.summary_batches(spark.createDataFrame(rows, "repo_id string, id string, index int, tokens int"), 20, 800, 31).collect()}
+    want = {}
+    for r, ts in tokens.items():
+        number, count, total = 0, 0, 31
+        for i, t in enumerate(ts):
+            if count and (count >= 20 or total + t > 800):
+                number, count, total = number + 1, 0, 31
+            want[f"{r}{i}"], count, total = number, count + 1, total + t
+    assert got == want
+
+
+def test_prompts_join_only_the_sources_they_show(spark):
+    """In tiers 1 and 2 no related source is joined, and lengths alone choose the tier."""
+    nodes = spark.createDataFrame([("g", i, "n", "function", "p.py", f"m.{i}", k, "y" * 5000, None) for k, i in enumerate("abcdefgh")], "repo_id string, id string, name string, type string, path string, qualified_name string, start_line int, raw_source string, summary string")
+    edges = spark.createDataFrame([("g", f"e{i}", "a", i, None, "calls") for i in "bcdefgh"], "repo_id string, id string, source_id string, target_id string, target_ref string, type string")
+    ranked = spark.createDataFrame([(1, "g", "a", 1)], "query_id long, repo_id string, id string, rank int")
+    ask = spark.createDataFrame([(1, "why?")], "query_id long, text string")
+    (row,) = P.expand_and_prompt(ask, ranked, nodes, edges, 1, 20_000).collect()
+    assert row.tier == 1 and row.prompt.count("y" * 5000) == 1 and len(row.prompt) < 20_000
+    (row,) = P.expand_and_prompt(ask, ranked, nodes, edges, 1, 50_000).collect()
+    exact = len(row.prompt)
+    assert row.tier == 0 and row.prompt.count("y" * 5000) == 8
+    for budget, tier in ((exact, 0), (exact - 1, 1)):
+        assert P.expand_and_prompt(ask, ranked, nodes, edges, 1, budget).first().tier == tier
+    assert "raw_source" not in P.sized_nodes(nodes).columns
