@@ -61,12 +61,8 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
                     f.write(source)
             yield batch[["repo_id"]]
 
-    stored(frame(spark, d, fx.SOURCES).mapInPandas(write, "repo_id string"), "written")
-    out = None
-    for repo in sorted(os.listdir(root)):
-        rows = files.read_sources(spark, os.path.join(root, repo), repo)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    repos = stored(frame(spark, d, fx.SOURCES).mapInPandas(write, "repo_id string"), "written").distinct()
+    return files.read_repositories(repos.withColumn("root", F.concat(F.lit(root + "/"), "repo_id")))
 
 
 @query(
@@ -240,6 +236,17 @@ def s3(spark: SparkSession, d: str) -> DataFrame:
     return store.insert_if_absent(frame(spark, d, _OLD), frame(spark, d, _NEW), ["repo_id", "id"], ["turn"])
 
 
+@query("s3_commit_by_repo", f"SELECT repo_id, id, CASE WHEN node_seq % 2 = 1 THEN concat('new ', raw_source) ELSE raw_source END AS raw_source, CASE WHEN node_seq % 2 = 1 THEN 0 ELSE -1 END AS turn FROM {DOCS}")
+def s3_commit(spark: SparkSession, d: str) -> DataFrame:
+    """Old rows are committed, then new ones of all keys twice: a run that is repeated changes nothing."""
+    path, schema = f"{shared_folder(spark)}/cairn-store-{uuid.uuid4().hex}", "repo_id string, id string, raw_source string, turn int"
+    store.commit_by_repo(frame(spark, d, _OLD).select("repo_id", "id", "raw_source", F.lit(-1).alias("turn")), path)
+    for _ in range(2):
+        new = frame(spark, d, _NEW).select("repo_id", "id", "raw_source", F.col("turn").cast("int").alias("turn"))
+        store.change_by_repo(path, schema, new, lambda old, rows: old.unionByName(store.insert_if_absent(old, rows, ["repo_id", "id"], ["turn"])))
+    return store.table_by_repo(spark, path, schema)
+
+
 @query("s4_upsert_repositories", "SELECT n_name AS id, CASE WHEN n_regionkey < 3 THEN upper(n_comment_) ELSE n_name END AS name, CASE WHEN n_regionkey < 3 THEN 'new' ELSE 'old' END AS path FROM (SELECT *, lower(n_name) AS n_comment_ FROM nation)")
 def s4(spark: SparkSession, d: str) -> DataFrame:
     nation = fx.tables(spark, d, ["nation"])["nation"]

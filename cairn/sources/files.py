@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE
+from .shared import stored
 
 #: Folder names that are pruned at any depth.
 IGNORED = (
@@ -19,35 +20,86 @@ IGNORED = (
 LANGUAGES = {".py": "python", ".pyw": "python"}
 
 
-def list_sources(root: str, ignored: tuple[str, ...] = IGNORED) -> Iterator[str]:
-    """Relative paths of the names ending in ``.py`` under a shared root, hidden and underscore names too
-    (Spark's own readers skip those), in walk order. Names are light; contents are read by tasks."""
-    for folder, folders, names in os.walk(root):
-        folders[:] = sorted(d for d in folders if d not in ignored)
-        for name in sorted(names):
-            if name.endswith(".py"):
-                yield os.path.relpath(os.path.join(folder, name), root).replace(os.sep, "/")
+#: Names that a task sends at a time, and bytes of contents.
+NAMES, CONTENTS = 10_000, 16 << 20
 
 
-def _read(root: str):
+def _listed(ignored: tuple[str, ...]):
+    """What lies in each folder: folders that are walked on, and names ending in ``.py``."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = []
-            for path in batch.path:
-                with open(os.path.join(root, path), "rb") as f:
-                    texts.append(f.read().decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n"))
-            yield batch.assign(source=texts)
+            for repo_id, root, folder in zip(batch.repo_id, batch.root, batch.path):
+                out = []
+                try:
+                    with os.scandir(os.path.join(root, folder)) as entries:
+                        for e in entries:
+                            path = f"{folder}/{e.name}" if folder else e.name
+                            if e.is_dir():
+                                if e.name not in ignored and not e.is_symlink():
+                                    out.append((repo_id, root, path, True))
+                            elif e.name.endswith(".py"):
+                                out.append((repo_id, root, path, False))
+                            if len(out) >= NAMES:
+                                yield pd.DataFrame(out, columns=LISTED)
+                                out = []
+                except OSError:  # a folder that is gone or closed has nothing
+                    pass
+                yield pd.DataFrame(out, columns=LISTED)
 
     return run
 
 
+LISTED = ["repo_id", "root", "path", "is_folder"]
+_LISTED = "repo_id string, root string, path string, is_folder boolean"
+
+
+def list_sources(roots: DataFrame, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
+    """(repo_id, root, path) of the names ending in ``.py`` under the roots (repo_id, root), hidden and underscore
+    names too (Spark's own readers skip those). Folders named in ``ignored`` are not entered, nor are links to
+    folders, and folders that can't be read have nothing.
+
+    The folders of a level are a table that tasks list; what they find is the next level's table. No path goes
+    through the driver, and a pruned folder costs nothing."""
+    tasks = int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    level = roots.select("repo_id", "root", F.lit("").alias("path")).distinct()
+    found = []
+    while True:
+        listed = stored(level.repartition(tasks, "root", "path").mapInPandas(_listed(ignored), _LISTED), "listed")
+        found.append(listed.filter("NOT is_folder").select("repo_id", "root", "path"))
+        level = listed.filter("is_folder").select("repo_id", "root", "path")
+        if level.isEmpty():
+            break
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows, size = [], 0
+        for repo_id, root, path in zip(batch.repo_id, batch.root, batch.path):
+            with open(os.path.join(root, path), "rb") as f:
+                rows.append((repo_id, path, f.read().decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")))
+            size += len(rows[-1][2])
+            if size >= CONTENTS:
+                yield pd.DataFrame(rows, columns=["repo_id", "path", "source"])
+                rows, size = [], 0
+        yield pd.DataFrame(rows, columns=["repo_id", "path", "source"])
+
+
+def read_repositories(roots: DataFrame, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
+    """(repo_id, path, source) of many repositories (repo_id, root) on a mount that executors share. Bytes that
+    aren't UTF-8 become U+FFFD; line ends become newlines. An empty folder gives no rows."""
+    tasks = int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    paths = list_sources(roots.select("repo_id", "root"), ignored)
+    return paths.repartition(tasks, "root", "path").mapInPandas(_read, "repo_id string, path string, source string")
+
+
 def read_sources(spark: SparkSession, root: str, repo_id: str, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
-    """(repo_id, path, source) of a repository on a mount that executors share. Bytes that aren't UTF-8
-    become U+FFFD; line ends become newlines. An empty folder gives an empty table."""
-    paths = spark.createDataFrame([(p,) for p in list_sources(root, ignored)], "path string")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    read = paths.repartition(tasks, "path").mapInPandas(_read(root), "path string, source string")
-    return read.select(F.lit(repo_id).alias("repo_id"), "path", "source")
+    """One repository."""
+    return read_repositories(spark.createDataFrame([(repo_id, root)], "repo_id string, root string"), ignored)
 
 
 def select_parseable(files: DataFrame, languages: dict[str, str] | None = None) -> DataFrame:

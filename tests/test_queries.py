@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = ["x5_functions", "x9_calls", "r5_resolve_edges", "s9_incident_edges", "q4_bm25_search", "q7_hybrid_search", "g2_subgraph_edges", "p5_build_prompts", "i5_summary_batches"]
+NAMES = ["s1_read_sources", "s3_commit_by_repo", "i4_node_blocks", "x5_functions", "x9_calls", "r5_resolve_edges", "s9_incident_edges", "q4_bm25_search", "q7_hybrid_search", "g2_subgraph_edges", "p5_build_prompts", "i5_summary_batches"]
 
 
 @pytest.mark.parametrize("name", NAMES)
