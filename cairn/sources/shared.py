@@ -28,6 +28,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Written to the shared folder in as many buckets by ``keys`` as a shuffle has partitions: joins on these keys
+    shuffle the other side alone."""
+    spark = df.sparkSession
+    table, buckets = f"graph_{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The frame, dealt out anew if it has fewer partitions than there are cores: a few files hold a small table, and
     one core each would do all the work on it. Larger tables stay where they are. The partitions are counted by

@@ -216,3 +216,23 @@ def test_prompts_join_only_the_sources_they_show(spark):
     for budget, tier in ((exact, 0), (exact - 1, 1)):
         assert P.expand_and_prompt(ask, ranked, nodes, edges, 1, budget).first().tier == tier
     assert "raw_source" not in P.sized_nodes(nodes).columns
+
+
+def test_hops_leave_the_edges_where_they_lie(spark):
+    rows = [("g", f"e{i}", "hub", f"n{i}") for i in range(500)] + [("g", "x", "n1", "far"), ("g", "y", "far", "n2"), ("g", "z", "n1", "far")]
+    edges = spark.createDataFrame(rows, "repo_id string, id string, source_id string, target_id string")
+    lists, hubs = G.adjacency(edges, longest=50)
+    assert [(r.id, r.lists) for r in hubs.collect()] == [("hub", 10)]
+    mine = [r.to for r in lists.filter("id = 'hub'").collect()]
+    assert len(mine) == 10 and max(map(len, mine)) < 100 and sum(map(len, mine)) == 500
+    front = spark.createDataFrame([(1, "g", "hub"), (2, "g", "far"), (3, "g", "none")], "query_id int, repo_id string, id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = G.neighbours(front, lists, hubs)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "salt" in line]
+        assert "Bucketed: true" in plan and len(shuffled) == 1  # the front's
+        got = {(r.query_id, r.id) for r in met.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(1, f"n{i}") for i in range(500)} | {(2, "n1"), (2, "n2")}
