@@ -19,6 +19,8 @@ from .numbering import numbered
 #: Nodes and estimated tokens of a summary batch, texts of an embedding call, tries of one text.
 MAX_NODES, MAX_TOKENS, OVERHEAD = 20, 50_000, 311
 EMBED_BATCH, TRIES = 8, 3
+#: Rows of a repository that a task packs at a time.
+STRETCH = 4096
 INSTRUCTION = "Summarise each node below in one sentence. Answer with a JSON array of objects with the keys id and summary.\n\n"
 
 
@@ -57,38 +59,73 @@ def node_blocks(nodes: DataFrame) -> DataFrame:
     return both.select("repo_id", "id", "index", block.alias("block"), estimate_tokens(block).alias("tokens"), "qualified_name", "type", F.col("_meta").alias("meta"), "raw_source")
 
 
-def batch_ends(rows: DataFrame, max_nodes: int, max_tokens: int, overhead: int) -> DataFrame:
-    """(repo_id, index, next): where the batch after one that begins at ``index`` would begin. A batch looks at no
-    more than ``max_nodes`` rows, so each row is sent to the beginnings that may reach it."""
-    reach = F.explode(F.sequence(F.greatest(F.lit(0), F.col("index") - (max_nodes - 1)), F.col("index")))
-    near = rows.select("repo_id", reach.alias("start"), "index", F.col("tokens").cast("long").alias("tokens"))
-    lists = near.groupBy("repo_id", "start").agg(F.sort_array(F.collect_list(F.struct("index", "tokens"))).alias("w"))
-    first = F.struct(F.lit(overhead).cast("long").alias("total"), F.lit(0).alias("n"), F.lit(True).alias("going"))
-    taken = lambda a, x: F.when(a["going"] & ((a["n"] == 0) | (a["total"] + x["tokens"] <= max_tokens)), F.struct((a["total"] + x["tokens"]).alias("total"), (a["n"] + 1).alias("n"), F.lit(True).alias("going"))).otherwise(F.struct(a["total"].alias("total"), a["n"].alias("n"), F.lit(False).alias("going")))
-    return lists.select("repo_id", F.col("start").alias("index"), (F.col("start") + F.aggregate("w", first, taken)["n"]).alias("next"))
+def _jumps(tokens: np.ndarray, max_nodes: int, max_tokens: int, overhead: int) -> np.ndarray:
+    """Where the batch after one that begins at each row begins."""
+    total = np.concatenate(([0], np.cumsum(tokens.astype(np.int64))))
+    at = np.arange(len(tokens))
+    fits = np.searchsorted(total, total[:-1] + max_tokens - overhead, "right") - 1
+    return np.clip(fits, at + 1, at + max_nodes)
 
 
-def summary_batches(blocks: DataFrame, max_nodes: int = MAX_NODES, max_tokens: int = MAX_TOKENS, overhead: int = OVERHEAD) -> DataFrame:
+def _exits(max_nodes: int, max_tokens: int, overhead: int, rows: int):
+    """For each row where a batch may begin first in a stretch: where the first batch of the next stretch begins
+    then, and how many begin here."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("index", ignore_index=True)
+        jump = _jumps(part.tokens.to_numpy(), max_nodes, max_tokens, overhead)
+        end = min(rows, len(part))
+        leaves, count = np.arange(len(part) + max_nodes), np.zeros(len(part) + max_nodes, np.int64)
+        for i in range(end - 1, -1, -1):
+            leaves[i], count[i] = leaves[jump[i]], count[jump[i]] + 1
+        entry = np.arange(min(max_nodes, end))
+        first = part.stretch[0]
+        return pd.DataFrame({"repo_id": part.repo_id[0], "stretch": first, "entry": entry, "next": first + 1, "exit": leaves[entry] - rows, "n": count[entry]})
+
+    return run
+
+
+def _numbered(max_nodes: int, max_tokens: int, overhead: int, rows: int):
+    """The stretch's rows with their batch, given where its first batch begins and that batch's number. Rows before
+    it belong to the batch before."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("index", ignore_index=True)
+        jump = _jumps(part.tokens.to_numpy(), max_nodes, max_tokens, overhead)
+        at, begins = int(part.entry[0]), np.zeros(len(part), np.int64)
+        while at < min(rows, len(part)):
+            begins[at] = 1
+            at = int(jump[at])
+        batch = part.base + np.cumsum(begins) - 1
+        return part.assign(batch_no=batch)[: min(rows, len(part))][["repo_id", "id", "index", "tokens", "batch_no"]]
+
+    return run
+
+
+def summary_batches(blocks: DataFrame, max_nodes: int = MAX_NODES, max_tokens: int = MAX_TOKENS, overhead: int = OVERHEAD, rows: int = STRETCH) -> DataFrame:
     """(repo_id, id, index, tokens, batch_no): greedy packing in node order (indexes from 0 without gaps). A batch
     closes at ``max_nodes`` or when the next node would pass ``max_tokens``; a node over the limit is alone.
 
-    Which batch follows a beginning depends on the next rows alone, so it is a table of jumps. Beginnings are
-    reached from row 0 by doubling the jumps: after k rounds the first 2^k batches of every repository are known.
-    No repository is held in one task."""
+    Which batch follows a beginning depends on the next ``max_nodes`` rows alone. So a repository is cut into
+    stretches of ``rows`` rows, each with the rows that its last batch may take from the next: a stretch tells,
+    for each of the ``max_nodes`` rows where its first batch may begin, where the next stretch's first one does.
+    These jumps are doubled to reach every stretch from row 0: after k rounds the first 2^k are known."""
     narrow = stored(blocks.select("repo_id", "id", "index", "tokens"), "packing")
-    ends = stored(batch_ends(narrow.select("repo_id", "index", "tokens"), max_nodes, max_tokens, overhead), "ends")
-    jump, step = ends, 1
-    starts = stored(ends.filter("index = 0").select("repo_id", "index", F.lit(0).alias("batch_no")), "starts")
-    while True:
-        met = starts.join(jump, ["repo_id", "index"]).select("repo_id", F.col("next").alias("index"), (F.col("batch_no") + step).alias("batch_no"))
-        met = stored(met.join(ends.select("repo_id", "index"), ["repo_id", "index"], "left_semi"), "met")
-        if met.isEmpty():
-            break
-        starts, step = starts.unionByName(met), step * 2
-        far = jump.select("repo_id", F.col("index").alias("next"), F.col("next").alias("far"))
-        jump = stored(jump.join(far, ["repo_id", "next"]).select("repo_id", "index", F.col("far").alias("next")), "jump")
-    spans = starts.join(ends, ["repo_id", "index"]).select("repo_id", F.explode(F.sequence("index", F.col("next") - 1)).alias("index"), "batch_no")
-    return narrow.join(spans, ["repo_id", "index"]).select("repo_id", "id", "index", "tokens", "batch_no")
+    stretch, over = F.floor(F.col("index") / rows).cast("int"), F.col("index") % rows < max_nodes
+    to = F.when((stretch > 0) & over, F.array(stretch, stretch - 1)).otherwise(F.array(stretch))
+    dealt = narrow.withColumn("stretch", F.explode(to))
+    limits = (max_nodes, max_tokens, overhead, rows)
+    jump = stored(dealt.groupBy("repo_id", "stretch").applyInPandas(_exits(*limits), "repo_id string, stretch int, entry int, next int, exit int, n int"), "exits")
+    known = stored(jump.groupBy("repo_id").agg(F.lit(0).alias("stretch"), F.lit(0).alias("entry"), F.lit(0).alias("base")), "entries")
+    longest = jump.agg(F.coalesce(F.max("stretch"), F.lit(0))).first()[0]
+    for _ in range(int(longest).bit_length()):
+        met = known.join(jump, ["repo_id", "stretch", "entry"]).select("repo_id", F.col("next").alias("stretch"), F.col("exit").alias("entry"), (F.col("base") + F.col("n")).alias("base"))
+        known = stored(known.unionByName(met), "entries")
+        far = jump.select("repo_id", F.col("stretch").alias("next"), F.col("entry").alias("exit"), F.col("next").alias("next2"), F.col("exit").alias("exit2"), F.col("n").alias("n2"))
+        both = jump.join(far, ["repo_id", "next", "exit"])
+        jump = stored(both.select("repo_id", "stretch", "entry", F.col("next2").alias("next"), F.col("exit2").alias("exit"), (F.col("n") + F.col("n2")).alias("n")), "exits")
+    placed = dealt.join(known, ["repo_id", "stretch"])
+    return placed.groupBy("repo_id", "stretch").applyInPandas(_numbered(*limits), "repo_id string, id string, index int, tokens int, batch_no int")
 
 
 def summary_prompts(blocks: DataFrame, batches: DataFrame, instruction: str = INSTRUCTION) -> DataFrame:

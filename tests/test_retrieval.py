@@ -191,7 +191,7 @@ def test_packing_of_one_large_repository(spark):
     rng = random.Random(4)
     tokens = {"r": [rng.randint(1, 400) for _ in range(1500)], "s": [900], "t": [10] * 45}
     rows = [(r, f"{r}{i}", i, t) for r, ts in tokens.items() for i, t in enumerate(ts)]
-    got = {r.id: r.batch_no for r in I.summary_batches(spark.createDataFrame(rows, "repo_id string, id string, index int, tokens int"), 20, 800, 31).collect()}
+    df = spark.createDataFrame(rows, "repo_id string, id string, index int, tokens int")
     want = {}
     for r, ts in tokens.items():
         number, count, total = 0, 0, 31
@@ -199,7 +199,9 @@ def test_packing_of_one_large_repository(spark):
             if count and (count >= 20 or total + t > 800):
                 number, count, total = number + 1, 0, 31
             want[f"{r}{i}"], count, total = number, count + 1, total + t
-    assert got == want
+    for stretch in (20, 64, 4096):
+        assert {r.id: r.batch_no for r in I.summary_batches(df, 20, 800, 31, rows=stretch).collect()} == want
+    assert I.summary_batches(df.limit(0)).isEmpty()
 
 
 def test_prompts_join_only_the_sources_they_show(spark):
