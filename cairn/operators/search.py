@@ -151,8 +151,9 @@ def _kth(hits: DataFrame, low: DataFrame, k: int) -> DataFrame:
 
 
 def candidates(asked: DataFrame, blocks: DataFrame, scope: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """((query_id, doc, partial), (scope, query_id, term, weight, open)): the documents that can be among a query's k
-    best with what its essential terms add, and its other terms, whose part is open.
+    """((query_id, doc, partial, rest, full), (scope, query_id, term, weight, open)): the documents that can be among a
+    query's k best with what its essential terms add and the most that the others can, whose part is open; all of
+    a query's terms, the open ones marked.
 
     The best blocks of a few terms give k documents' least scores, so a bound. The terms that together can't
     reach it need no postings of their own; of the others' blocks those are read whose most, with all that the
@@ -178,7 +179,7 @@ def candidates(asked: DataFrame, blocks: DataFrame, scope: str, k: int) -> tuple
     more = bound.join(_kth(hits, low, k).withColumnRenamed("bound", "raised"), "query_id", "left").select("query_id", F.greatest("bound", "raised").alias("bound"))
     rest = parted.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("open"), F.col("upto"))), F.lit(0.0)).alias("rest"))
     kept = hits.join(rest, "query_id").join(more, "query_id", "left").filter(F.col("bound").isNull() | (F.col("partial") + F.col("rest") >= F.col("bound") - MARGIN))
-    full = kept.select("query_id", "doc", "partial", F.col("bound").isNull().alias("full"))
+    full = kept.select("query_id", "doc", "partial", "rest", F.col("bound").isNull().alias("full"))
     return stored(full, "candidates"), parted.select(scope, "query_id", "term", "weight", "open")
 
 
@@ -204,18 +205,27 @@ def bm25_search(documents: DataFrame, queries: DataFrame, k: int = 10, scope: li
     asked = stored(asked, "asked")
     terms = _weights(df, corpus, scope).join(asked.select(name, "term").distinct(), [name, "term"], "left_semi")
     known = asked.join(terms.select(name, "term", "df", "top", "idf"), [name, "term"]).withColumn("weight", F.col("qf") * F.col("idf"))
-    found, parted = candidates(known.select(name, "query_id", "term", "weight", "df", "top"), blocks, name, k)
+    own_blocks = stored(blocks.join(asked.select(name, "term").distinct(), [name, "term"], "left_semi"), "asked-postings")
+    found, parted = candidates(known.select(name, "query_id", "term", "weight", "df", "top"), own_blocks, name, k)
 
-    # what the open terms add is read from the candidates' own documents
+    # what the open terms add is read from the candidates' own documents: first of those that have most already,
+    # whose full scores raise the bound, then of those that can still reach it
+    lacking = parted.filter("open").select("query_id", "term", "weight")
     near = index.join(found.select("doc").distinct(), "doc", "left_semi").join(_one_row(scope)(corpus), scope)
     own = near.select("doc", "dl", "avgdl", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("doc", F.col("t.terms").alias("term"), _part(F.col("t.counts"), F.col("dl"), F.col("avgdl")).alias("part"))
-    own = own.join(parted.filter("open").select("term").distinct(), "term", "left_semi")
-    lacking = found.join(parted.filter("open").select("query_id", "term", "weight"), "query_id")
-    added = lacking.join(own, ["doc", "term"]).groupBy("query_id", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("added"))
+    own = stored(own.join(lacking.select("term").distinct(), "term", "left_semi"), "open-parts")
+
+    def full(some: DataFrame) -> DataFrame:
+        added = some.join(lacking, "query_id").join(own, ["doc", "term"]).groupBy("query_id", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("added"))
+        return some.join(added, ["query_id", "doc"], "left").withColumn("score", F.col("partial") + F.coalesce("added", F.lit(0.0)))
+
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("partial")))
+    ahead = full(found.filter("NOT full").withColumn("place", place).filter(F.col("place") <= 2 * k).drop("place"))
+    reached = ahead.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("query_id", F.get("s", F.lit(k - 1)).alias("reached"))
+    left = found.join(stored(reached, "reached"), "query_id", "left").filter(F.col("reached").isNull() | (F.col("partial") + F.col("rest") >= F.col("reached") - MARGIN))
     places = index.select("doc", "node_id", "path", "start_line")
-    scored = found.join(added, ["query_id", "doc"], "left").join(places, "doc")
-    score = (F.round(F.col("partial") + F.coalesce("added", F.lit(0.0)), PLACES) + 0.0).alias("score")
-    scored = scored.select("query_id", "node_id", "path", "start_line", score)
+    scored = full(stored(left.select("query_id", "doc", "partial"), "left")).join(places, "doc")
+    scored = scored.select("query_id", "node_id", "path", "start_line", (F.round("score", PLACES) + 0.0).alias("score"))
 
     # queries without a bound: the first documents of their scope that they don't match
     bound = found.filter("NOT full").select("query_id").distinct()
