@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import document, tokenize
-from ..sources.shared import spread, stored
+from ..sources.shared import bucketed, spread, stored
 
 #: BM25's saturation, length weight and floor share, and the constant of rank fusion.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -25,8 +26,8 @@ WHOLE = "_whole"
 POSTINGS, INVERTED, SEEDS = 128, 1 << 20, 6
 #: What a score may miss a bound by and still be rounded to it.
 MARGIN = 1e-5
-#: Query vectors a task multiplies at a time, and floats of query vectors that are broadcast at a time.
-QUERY_BLOCK, BROADCAST_FLOATS = 256, 4_000_000
+#: Query vectors a task multiplies at a time, numbers of a written block of vectors, and rings around a pivot.
+QUERY_BLOCK, BLOCK_FLOATS, RINGS = 256, 1 << 16, 64
 
 
 def search_documents(nodes: DataFrame) -> DataFrame:
@@ -240,63 +241,178 @@ def bm25_search(documents: DataFrame, queries: DataFrame, k: int = 10, scope: li
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "node_id", "score", "rank")
 
 
-def _top_k(ids: list, block: np.ndarray, k: int):
-    """Per batch the k nearest rows of each query, by blocks of queries; only those leave the task."""
-    norm = np.linalg.norm(block, axis=1)
+@dataclass
+class VectorIndex:
+    """Vectors in written blocks. A block's vectors lie in one ring around one pivot; all blocks of a ring share its
+    least and largest angle to the pivot. ``groups`` has a column a ring: its number, those two angles, its rows and
+    its blocks. It is bounded by pivots and rings, whatever the number of vectors."""
+
+    blocks: DataFrame
+    pivots: np.ndarray
+    groups: np.ndarray
+
+
+def _matrix(vectors: pa.Array, rows: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
+def _angles(m: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The angle of each vector to each pivot, and the vectors' lengths."""
+    size = np.linalg.norm(m, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.arccos(np.clip(m / size[:, None] @ pivots.T, -1, 1)), size
+
+
+def _dealt(pivots: np.ndarray):
+    """Adds the ring of each vector and its angle to the ring's pivot. Zero vectors have a ring of their own, and so
+    have those without a finite length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column("embedding")
-            if not batch.num_rows:
-                continue
-            m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            size = np.linalg.norm(m, axis=1)
-            names, take = batch.column("node_id"), min(k, len(m))
-            for a in range(0, len(block), QUERY_BLOCK):
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    distance = np.round(1 - (block[a : a + QUERY_BLOCK] @ m.T) / (norm[a : a + QUERY_BLOCK, None] * size[None]), PLACES) + 0.0
-                key = np.where(np.isnan(distance), np.inf, distance)
-                edge = np.partition(key, take - 1, axis=1)[:, take - 1]
-                for q in range(len(key)):
-                    near = np.flatnonzero(key[q] <= edge[q])
-                    ids_near = names.take(pa.array(near)).to_pylist()
-                    best = sorted(zip(key[q][near].tolist(), ids_near))[:take]
+            if batch.num_rows:
+                angle, size = _angles(_matrix(batch.column("embedding"), batch.num_rows), pivots)
+                odd = ~np.isfinite(size) | (size == 0)
+                cell = np.where(odd, 0, angle.argmin(axis=1))
+                near = np.where(odd, 0.0, angle[np.arange(len(cell)), cell])
+                ring = cell * RINGS + np.minimum((near * RINGS / np.pi).astype(np.int64), RINGS - 1)
+                ring = np.where(odd, len(pivots) * RINGS + (size != 0), ring)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ring.astype(np.int32)), pa.array(near)], ["node_id", "embedding", "ring", "angle"])
+
+    return run
+
+
+def vector_index(embeddings: DataFrame, pivots: int = 128) -> VectorIndex | None:
+    """Blocks of about ``BLOCK_FLOATS`` numbers; None without a vector. Pivots are ``pivots`` vectors, the first by
+    the hash of their ids: a bounded sample that only says how well blocks are told apart. Every vector is in a block,
+    and a ring of any size is dealt to as many blocks as it fills. Null and empty vectors are left out; all others
+    have one length."""
+    spark = embeddings.sparkSession
+    rows = embeddings.filter("size(embedding) > 0").select(F.col("node_id").cast("string").alias("node_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    sample = np.array([r.embedding for r in rows.orderBy(F.xxhash64("node_id")).limit(pivots).collect()], np.float64)
+    if not len(sample):
+        return None
+    size = np.linalg.norm(sample, axis=1)
+    good = np.isfinite(size) & (size > 0)
+    center = np.unique(sample[good] / size[good, None], axis=0) if good.any() else np.eye(1, sample.shape[1])
+    dealt = stored(rows.mapInArrow(_dealt(center), "node_id string, embedding array<double>, ring int, angle double"), "rings")
+    each = max(1, BLOCK_FLOATS // sample.shape[1])
+    found = dealt.groupBy("ring").agg(F.min("angle"), F.max("angle"), F.count(F.lit(1)).alias("n")).collect()
+    groups = np.array(sorted((*r, -(-r.n // each)) for r in found), np.float64).T
+    parts = spark.createDataFrame([(int(g), int(n)) for g, n in zip(groups[0], groups[4])], "ring int, parts long")
+    block = _block(F.col("ring"), F.pmod(F.monotonically_increasing_id(), F.col("parts")))
+    flat = dealt.join(F.broadcast(parts), "ring").select(block.alias("block"), "node_id", "embedding")
+    fold = lambda df: df.groupBy("block").agg(F.collect_list(F.struct("node_id", "embedding")).alias("v")).select("block", F.col("v.node_id").alias("ids"), F.flatten("v.embedding").alias("vectors"))
+    return VectorIndex(bucketed(flat, "vectors", ["block"], fold), center, groups)
+
+
+def _block(ring: Column, part: Column) -> Column:
+    return F.shiftleft(ring.cast("long"), 32) + part
+
+
+def _opened(index: VectorIndex, k: int, again: bool):
+    """The rings that queries open, some queries a row. First those with the least bounds that have ``k`` vectors
+    together; ``again``, of the others, those whose bound can reach the distance ``reached``."""
+    low, high, rows, parts = index.groups[1:]
+    ring, pivots = index.groups[0].astype(np.int64), index.pivots
+    of = np.minimum(ring // RINGS, len(pivots) - 1)
+    zero, endless = ring == len(pivots) * RINGS, ring == len(pivots) * RINGS + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, QUERY_BLOCK):
+                batch = whole.slice(a, QUERY_BLOCK)
+                m = _matrix(batch.column("embedding"), batch.num_rows)
+                angle = _angles(m, pivots)[0][:, of]
+                bound = 1 - np.cos(np.maximum(np.maximum(low - angle, angle - high), 0))
+                bound = np.where(zero, np.inf, np.where(endless | np.isnan(bound), -np.inf, bound))
+                order = np.argsort(bound, axis=1, kind="stable")
+                before = np.cumsum(rows[order], axis=1) - rows[order]
+                opens = np.zeros(bound.shape, bool)
+                np.put_along_axis(opens, order, before < k, axis=1)
+                if again:
+                    reached = batch.column("reached").to_numpy(zero_copy_only=False).astype(np.float64)
+                    opens = ~opens & (np.isnan(reached)[:, None] | (bound <= reached[:, None] + MARGIN))
+                for g in np.flatnonzero(opens.any(axis=0)):
+                    at = np.flatnonzero(opens[:, g])
+                    asks = batch.column("query_id").take(pa.array(at))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[a + q]] * take, pa.int64()), pa.array([n for _, n in best], pa.string()), pa.array([None if d == np.inf else d for d, _ in best], pa.float64())],
-                        ["query_id", "node_id", "distance"],
+                        [pa.array([ring[g]], pa.int32()), pa.array([int(parts[g])], pa.int64()), pa.ListArray.from_arrays([0, len(at)], asks), pa.array([m[at].ravel()], pa.list_(pa.float64()))],
+                        ["ring", "parts", "asks", "asked"],
                     )
 
     return run
 
 
-def vector_search(embeddings: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, node_id, distance, rank from 1): exact cosine search of every query against all rows, first k
-    rows of each, then one per node; ties by id. Null vectors are left out; zero vectors have no distance
-    and come last. Empty queries and k < 1 give nothing.
+def openings(index: VectorIndex, asked: DataFrame, k: int, again: bool = False) -> DataFrame:
+    """(block, asks, asked): the queries that open each block, at most ``QUERY_BLOCK`` a row, and their vectors."""
+    rings = asked.mapInArrow(_opened(index, k, again), "ring int, parts long, asks array<long>, asked array<double>")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    return rings.select("ring", part, "asks", "asked").select(_block(F.col("ring"), F.col("part")).alias("block"), "asks", "asked")
+
+
+def _nearest(k: int):
+    """The k nearest vectors of one block for each query that opens it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                names, asks = batch.column("ids")[i].values, batch.column("asks")[i].values
+                m = batch.column("vectors")[i].values.to_numpy(zero_copy_only=False).reshape(len(names), -1)
+                q = batch.column("asked")[i].values.to_numpy(zero_copy_only=False).reshape(len(asks), -1)
+                size, norm, take = np.linalg.norm(m, axis=1), np.linalg.norm(q, axis=1), min(k, len(m))
+                with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                    distance = np.round(1 - (q @ m.T) / (norm[:, None] * size[None]), PLACES) + 0.0
+                key = np.where(np.isnan(distance), np.inf, distance)
+                edge = np.partition(key, take - 1, axis=1)[:, take - 1]
+                of, at, value = [], [], []
+                for j in range(len(key)):
+                    near = np.flatnonzero(key[j] <= edge[j])
+                    if len(near) > take:  # ties at the edge go by id
+                        near = near[np.lexsort((names.take(pa.array(near)).to_numpy(zero_copy_only=False).astype(object), key[j][near]))[:take]]
+                    of.append(np.full(take, j))
+                    at.append(near)
+                    value.append(key[j][near])
+                value = np.concatenate(value)
+                yield pa.RecordBatch.from_arrays(
+                    [asks.take(pa.array(np.concatenate(of))), names.take(pa.array(np.concatenate(at))), pa.array(value, pa.float64(), mask=value == np.inf)],
+                    ["query_id", "node_id", "distance"],
+                )
+
+    return run
+
+
+def search_index(index: VectorIndex, queries: DataFrame, k: int) -> DataFrame:
+    """``vector_search`` over a written index, which serves any number of query tables.
+
+    A query first opens the blocks of the rings nearest by their bounds, enough to hold k vectors. The k-th distance
+    found there bounds the rest: an angle in a ring differs from the query's angle to its pivot by at least what
+    that lies outside the ring, so rings that can't come as near as the k-th are never opened. Without a k-th
+    distance all are. Queries are a table, and blocks stay in their buckets: only the queries that open them move."""
+    asked = queries.filter("size(embedding) > 0").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def search(opened: DataFrame) -> DataFrame:
+        return opened.join(index.blocks, "block").mapInArrow(_nearest(k), "query_id long, node_id string, distance double")
 
-    Query vectors are broadcast in blocks of a bounded size; rows move only as each batch's k best."""
-    spark = embeddings.sparkSession
-    out = spark.createDataFrame([], "query_id long, node_id string, distance double")
-    rows = embeddings.filter("embedding is not null").select(F.col("node_id").cast("string").alias("node_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = queries.filter("embedding is not null and size(embedding) > 0").select("query_id", "embedding")
-    if k >= 1:
-        block: list = []
-
-        def search(block: list) -> DataFrame:
-            return rows.mapInArrow(_top_k([q for q, _ in block], np.array([v for _, v in block], np.float64), k), "query_id long, node_id string, distance double")
-
-        for r in asked.toLocalIterator():
-            block.append((r.query_id, r.embedding))
-            if len(block) * len(r.embedding) >= BROADCAST_FLOATS:
-                out, block = out.unionByName(search(block)), []
-        if block:
-            out = out.unionByName(search(block))
     order = [F.col("distance").asc_nulls_last(), F.col("node_id")]
-    first = out.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("r") <= k)
-    once = first.groupBy("query_id", "node_id").agg(F.min("r").alias("r"), F.min("distance").alias("distance"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    first = stored(search(openings(index, asked, k)).withColumn("r", place).filter(F.col("r") <= k), "nearest")
+    reached = first.filter(F.col("r") == k).select("query_id", F.col("distance").alias("reached"))
+    more = search(openings(index, asked.join(reached, "query_id", "left"), k, again=True))
+    best = first.drop("r").unionByName(more).withColumn("r", place).filter(F.col("r") <= k)
+    once = best.groupBy("query_id", "node_id").agg(F.min("r").alias("r"), F.min("distance").alias("distance"))
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("r"))).select("query_id", "node_id", "distance", "rank")
 
 
+def vector_search(embeddings: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, node_id, distance, rank from 1): exact cosine search of every query against all rows, first k
+    rows of each, then one per node; ties by id. Null and empty vectors are left out; zero vectors have no distance
+    and come last. Empty queries and k < 1 give nothing."""
+    index = vector_index(embeddings) if k >= 1 else None
+    if index is None:
+        return embeddings.sparkSession.createDataFrame([], "query_id long, node_id string, distance double, rank int")
+    return search_index(index, queries, k)
+
+
 def rrf_fuse(lists: list[DataFrame], k: int, constant: int = RRF) -> DataFrame:
     """(query_id, node_id, score, rank): sum over the lists (query_id, node_id, rank from 1) of
     1 / (constant + rank - 1); ties by first appearance, earlier lists first."""

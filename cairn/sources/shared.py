@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +29,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+def bucketed(df: DataFrame, name: str, keys: list[str], fold: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Written to the shared folder in as many buckets by ``keys`` as a shuffle has partitions: joins on these keys
-    shuffle the other side alone."""
+    shuffle the other side alone. ``fold`` may gather rows of equal keys, where they lie."""
     spark = df.sparkSession
     table, buckets = f"graph_{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    fold(df.repartition(buckets, *keys)).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
     return spark.table(table)
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,62 @@ def test_vector_search_order_and_edges(spark):
     assert S.vector_search(e, ask, 0).isEmpty()
 
 
+def nearest(rows, asked, k):
+    """Places of the first k rows of each query by rounded distance, then id; without a distance last."""
+    out = {}
+    for query, q in asked:
+        scored = []
+        for name, v in rows:
+            v, u = np.array(v), np.array(q)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                d = round(1 - float(v @ u) / float(np.linalg.norm(v) * np.linalg.norm(u)), 6) + 0.0 if v.any() and u.any() else None
+            scored.append((d is None, d or 0.0, name))
+        out[query] = list(dict.fromkeys(name for _, _, name in sorted(scored)[:k]))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["clustered", "even", "hot"])
+def test_vector_search_is_exact_and_skips_blocks(spark, monkeypatch, kind):
+    rng = np.random.default_rng(3)
+    at = rng.normal(size=(20, 12))
+    noise = {"clustered": 0.02, "even": 3.0, "hot": 0.02}[kind]
+    rows = [(f"n{i:04}", (at[i % 20] + noise * rng.normal(size=12)).tolist()) for i in range(2000)]
+    if kind == "hot":  # a third of all rows are equal, ids included
+        rows += [("n0000", rows[0][1])] * 500 + [(f"z{i:03}", rows[0][1]) for i in range(500)]
+    rows += [(f"zero{i}", [0.0] * 12) for i in range(3)]
+    asked = [(i, rows[i * 37][1]) for i in range(30)] + [(90, [0.0] * 12), (91, (-at[0]).tolist())]
+    monkeypatch.setattr(S, "BLOCK_FLOATS", 12 * 40)
+    e = spark.createDataFrame(rows, "node_id string, embedding array<double>")
+    ask = spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    index = S.vector_index(e, 32)
+    got = {}
+    for r in sorted(S.search_index(index, ask, 7).collect(), key=lambda r: r.rank):
+        got.setdefault(r.query_id, []).append(r.node_id)
+    assert got == nearest(rows, asked, 7)
+    sizes = [r.n for r in index.blocks.select(F.size("ids").alias("n")).collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 80
+    some = ask.filter("query_id < 90")
+    first = S.openings(index, some, 7)
+    reached = S.search_index(index, some, 7).groupBy("query_id").agg(F.max("distance").alias("reached"))
+    both = first.unionByName(S.openings(index, some.join(reached, "query_id"), 7, again=True))
+    share = both.agg(F.sum(F.size("asks"))).first()[0] / (30 * len(sizes))
+    assert kind == "even" or share < (0.2 if kind == "clustered" else 0.7)
+
+
+def test_vector_blocks_stay_in_their_buckets(spark):
+    e = spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(50)], "node_id string, embedding array<double>")
+    index = S.vector_index(e, 4)
+    plan = S.openings(index, e.select(F.col("node_id").cast("long").alias("query_id"), "embedding"), 3).hint("shuffle_merge").join(index.blocks, "block")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(block") == 1, plan
+
+
+def test_vector_search_of_nothing_and_of_zeros(spark):
+    e = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [])], "node_id string, embedding array<double>")
+    ask = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    assert [tuple(r) for r in S.vector_search(e, ask, 3).orderBy("rank").collect()] == [(1, "a", None, 1), (1, "b", None, 2)]
+    assert S.vector_search(e.limit(0), ask, 3).isEmpty() and S.vector_search(e, ask.limit(0), 3).isEmpty()
+
+
 def test_fusion_keeps_first_appearance_on_ties(spark):
     one = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "query_id long, node_id string, rank int")
     two = spark.createDataFrame([(1, "c", 1), (1, "b", 2)], "query_id long, node_id string, rank int")
