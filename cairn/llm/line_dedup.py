@@ -19,58 +19,89 @@ WILD = "<*>"
 
 
 class Leaf:
-    """Templates of one leaf, as rows of token numbers (0 is the wildcard), in the order they came.
+    """Templates of one leaf, as columns of token numbers (0 is the wildcard), in the order they came.
 
-    A line that may join a template differs from it in few places. Of one stretch more than those, behind the
-    leading tokens, one is equal in both; so an index of stretches gives all templates that may take the line."""
+    A line that may join a template differs from it in few places, all behind the leading tokens. So of the lists of
+    templates that hold the line's token in a place, all but as many lists have the template; it is in one of the
+    shortest, one more than places may differ. Tokens that all lines share make long lists, which stay closed.
+
+    Lists lie in sorted levels, each at least four times as long as the next. Templates that came or changed since are
+    compared one by one, ``FRESH`` at most."""
+
+    FRESH = 256
 
     def __init__(self, width: int, depth: int, percent: int):
-        self.rows, self.used, self.depth = np.zeros((8, width), np.int64), 0, depth
+        self.rows, self.used, self.depth = np.zeros((width, 4), np.int32), 0, depth
         self.code: dict[str, int] = {WILD: 0}
         self.need = -(-percent * width // 100)
-        stretches = width - self.need + 1
-        self.cuts = [depth + (width - depth) * k // stretches for k in range(stretches + 1)] if width - depth >= stretches else None
-        self.index: dict[tuple[int, bytes], list[int]] = {}
-
-    def _keys(self, row: np.ndarray) -> list[tuple[int, bytes]]:
-        return [(a, row[a:b].tobytes()) for a, b in zip(self.cuts, self.cuts[1:])]
-
-    def _put(self, number: int, keys: list[tuple[int, bytes]]) -> None:
-        for key in keys:
-            self.index.setdefault(key, []).append(number)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.fresh: list[int] = []
+
+    def _entries(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted (place, token) keys of the templates, and the template of each."""
+        tail = self.rows[self.depth :, numbers].astype(np.int64)
+        key = (tail + (np.arange(len(tail), dtype=np.int64) << 32)[:, None]).ravel()
+        order = np.argsort(key, kind="stable")
+        return key[order], np.tile(numbers, len(tail))[order].astype(np.int32)
+
+    def _put(self, number: int) -> None:
+        if number in self.fresh:
+            return
+        self.fresh.append(number)
+        if len(self.fresh) == self.FRESH:
+            self.levels.append(self._entries(np.array(self.fresh)))
+            self.fresh = []
+            while len(self.levels) > 1 and len(self.levels[-2][0]) < 4 * len(self.levels[-1][0]):
+                # templates that changed are taken up as they are now, once
+                both = np.unique(np.concatenate((self.levels.pop()[1], self.levels.pop()[1])))
+                self.levels.append(self._entries(both))
+
+    def _near(self, row: np.ndarray, places: np.ndarray, misses: int) -> np.ndarray:
+        """Templates, in order, with all that hold the line's tokens in all but ``misses`` of these places."""
+        if misses >= len(places) or not self.levels:
+            return np.arange(self.used)
+        key = row[places] + ((places - self.depth) << 32)
+        found = [np.array(self.fresh, np.int32)]
+        for keys, numbers in self.levels:
+            low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+            size = high - low
+            for k in np.argpartition(size, misses)[: misses + 1] if misses + 1 < len(size) else range(len(size)):
+                if size[k]:
+                    found.append(numbers[low[k] : high[k]])
+        return np.unique(np.concatenate(found))
 
     def _best(self, row: np.ndarray, among: np.ndarray) -> tuple[int, int, int]:
         """The template with most places that hold the line's constants, then most wildcards, then the first;
         with the number of such places and of masked fields that meet a wildcard."""
-        rows = self.rows[among]
-        same = ((rows == row) & (rows > 0)).sum(axis=1)
-        wild = (rows == 0).sum(axis=1)
-        best = int(np.lexsort((among, -wild, -same))[0])
-        return int(among[best]), int(same[best]), int(((rows[best] == 0) & (row == 0)).sum())
+        rows = self.rows[:, among]
+        equal, none = rows == row[:, None], rows == 0
+        same = (equal & ~none).sum(axis=0)
+        best = int(np.argmax(same * (len(row) + 1) + none.sum(axis=0)))
+        return int(among[best]), int(same[best]), int((equal & none)[:, best].sum())
 
     def add(self, tokens: list[str]) -> int:
         """Number of the template that the line joins: the most alike (first among equals) if enough
         places agree, else a new one. Places that differ become wildcards."""
         row = np.array([self.code.setdefault(t, len(self.code)) for t in tokens], np.int64)
-        every = np.arange(self.used)
-        keys = self._keys(row) if self.cuts else []
-        near = every if not self.cuts else np.unique(np.array([n for k in keys for n in self.index.get(k, ())], np.int64))
+        near = self._near(row, np.arange(self.depth, len(row)), len(row) - self.need)
         if len(near):
             best, same, both = self._best(row, near)
-            if len(near) < self.used and same + both >= self.need > same + int((row[: self.depth] == 0).sum()):
-                # enough only by masked fields further back: a template elsewhere may hold more constants
-                best, same, both = self._best(row, every)
+            if same + both >= self.need > same + int((row[: self.depth] == 0).sum()):
+                # enough only by masked fields further back: a template elsewhere may hold as many constants
+                constant = np.flatnonzero(row[self.depth :]) + self.depth
+                misses = len(constant) - (same - int((row[: self.depth] > 0).sum()))
+                best, same, both = self._best(row, np.union1d(near, self._near(row, constant, misses)))
             if same + both >= self.need:
-                new = np.where(self.rows[best] == row, row, 0)
-                if self.cuts and (new != self.rows[best]).any():
-                    self._put(best, [k for k, old in zip(self._keys(new), self._keys(self.rows[best])) if k != old])
-                self.rows[best] = new
+                differs = (self.rows[:, best] != row) & (self.rows[:, best] > 0)
+                if differs.any():
+                    self.rows[differs, best] = 0
+                    self._put(best)
                 return best
-        if self.used == len(self.rows):
-            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-        self.rows[self.used] = row
-        self._put(self.used, keys)
+        if self.used == self.rows.shape[1]:
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)), axis=1)
+        self.rows[:, self.used] = row
         self.used += 1
+        self._put(self.used - 1)
         return self.used - 1
 
 

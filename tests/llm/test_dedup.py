@@ -225,16 +225,48 @@ def test_line_dedup_query_drops_what_two_documents_share(spark, tmp_path):
     assert {r[0]: r[3] for r in got} == {1: "own text of one here", 2: "own text of two there\nonce", 3: "Read more\n\ntwice\ntwice", 4: "\nnothing to see", None: "", 5: ""}
 
 
-def test_leaf_index_gives_the_template_of_a_whole_search():
+class PlainLeaf:
+    """Every template is compared with every line."""
+
+    def __init__(self, depth, percent):
+        self.rows, self.percent = [], percent
+
+    def add(self, tokens):
+        scored = [(-sum(a == b != "<*>" for a, b in zip(t, tokens)), -t.count("<*>"), k) for k, t in enumerate(self.rows)]
+        k = min(scored)[2] if scored else None
+        if k is not None and 100 * sum(a == b for a, b in zip(self.rows[k], tokens)) >= self.percent * len(tokens):
+            self.rows[k] = [a if a == b else "<*>" for a, b in zip(self.rows[k], tokens)]
+            return k
+        self.rows.append(list(tokens))
+        return len(self.rows) - 1
+
+
+@pytest.mark.parametrize("percent", [60, 80])
+def test_leaf_index_gives_the_template_of_a_whole_search(monkeypatch, percent):
+    monkeypatch.setattr(line_dedup.Leaf, "FRESH", 5)
     rng = random.Random(4)
-    for width in (4, 5, 6, 10, 17):
-        for words in (3, 12):
-            leaf, plain = line_dedup.Leaf(width, 3, 80), line_dedup.Leaf(width, 3, 80)
-            plain.cuts = None
-            for _ in range(400):
-                tokens = ["a", "<*>", "b"] + [rng.choice(["<*>", *(f"w{k}" for k in range(words))]) for _ in range(width - 3)]
-                assert leaf.add(tokens) == plain.add(tokens)
-            assert (leaf.rows == plain.rows).all()
+    for width in (3, 4, 5, 6, 10, 17):
+        for words in (2, 12):
+            for lead in (["a", "<*>", "b"], ["<*>", "<*>", "<*>"], ["a", "b", "c"]):
+                leaf, plain = line_dedup.Leaf(width, 3, percent), PlainLeaf(3, percent)
+                for _ in range(150):
+                    base = [rng.choice(["<*>", *(f"w{k}" for k in range(words))]) if rng.random() < 0.6 else "k" for _ in range(width - 3)]
+                    tokens = lead + base
+                    assert leaf.add(tokens) == plain.add(tokens)
+                word = {n: t for t, n in leaf.code.items()}
+                assert [[word[int(n)] for n in leaf.rows[:, k]] for k in range(leaf.used)] == plain.rows
+
+
+@pytest.mark.parametrize("lead, varying", [("a b c", 4), ("<*> <*> <*>", 4), ("a b c", 9)])
+def test_leaf_of_unlike_lines_that_share_most_places(lead, varying):
+    """Lines with five constant tokens behind the leading ones, or none: each is a template of its own."""
+    rng = random.Random(5)
+    leaf = line_dedup.Leaf(12, 3, 80)
+    began = time.monotonic()
+    for k in range(20_000):
+        tokens = lead.split() + [f"k{p}" for p in range(9 - varying)] + [f"v{p}_{k if p % 2 else rng.randrange(10_000)}" for p in range(varying)]
+        leaf.add(tokens)
+    assert leaf.used > 19_900 and time.monotonic() - began < 20  # a few agree by chance
 
 
 def test_line_dedup_of_many_lines_in_a_text_and_a_leaf(spark):

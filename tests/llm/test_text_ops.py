@@ -54,6 +54,68 @@ def test_token_records_equal_the_library(spark, texts, none):
     assert token_records.read_token_records(spark, empty, uri, 49408).isEmpty()
 
 
+def plain_score(model, text):
+    """A text's score from its words: each unit's subsequences one by one, the model's table and curve alone taken over."""
+    import unicodedata
+
+    def codes(word):
+        out = []
+        for ch in word:
+            base = unicodedata.normalize("NFD", ch)[0].lower()
+            code = ord(base) - 96 if "a" <= base <= "z" else 27 if ch.isdigit() and ord(ch) < 0x3000 else 28 + ord(ch) % 4 if ch.isalpha() or ord(ch) >= 0x3000 else 0
+            out += [code] * (code > 0)
+        return out
+
+    def margin(word):
+        c = codes(word)
+        values = []
+        for a in range(0, max(1, len(c) - 8), 8):
+            unit, total, squares = c[a : a + 16], 0.0, 0.0
+            for x in range(len(unit)):
+                for z in range(x + 2, min(x + 6, len(unit))):
+                    for y in range(x + 1, z):
+                        weight = 0.7 ** (z - x + 1)
+                        total += weight * model.table[(unit[x] * 32 + unit[y]) * 32 + unit[z]]
+                        squares += weight * weight
+            values.append(model.offset + (total / squares**0.5 if squares else 0.0))
+        return max(values)
+
+    words = [w for w in re.split(r"[ \t-\r]+", text.lower()) if w]
+    values = [margin(w) for w in words]
+    spoken = [(k, len(codes(w))) for k, w in enumerate(words) if codes(w)]
+    places = list(values)
+    for (i, m), (j, n) in zip(spoken, spoken[1:]):
+        if 3 <= m + n <= 16 and margin(words[i] + words[j]) > max(values[i], values[j]):
+            places[i] = margin(words[i] + words[j])
+    run = []
+    for k, n in [*spoken, (None, 0)]:
+        if n == 1:
+            run.append(words[k])
+        else:
+            places += [margin("".join(run))] if len(run) >= 3 else []
+            run = []
+    first, second = sorted([-3.0, -3.0, *places])[:-3:-1]
+    return 1 / (1 + np.exp(-(model.curve[0] * first + model.curve[1] * second + model.curve[2])))
+
+
+def test_toxicity_scores_equal_a_plain_count_from_words_to_score(spark):
+    """The query over its whole table, and texts of spaced, marked, spelled and joined words."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r for r in toxicity.op2_toxicity(spark, d).collect()}
+    short = sorted((i for i in texts if len(texts[i]) < 4000), key=lambda i: (len(texts[i]), i))
+    assert len(got) == len(texts) and len(short) > 100
+    for i in short[:150]:
+        assert got[i].score == pytest.approx(plain_score(model, texts[i]), abs=1e-9) and got[i].predicted == (got[i].score >= 0.3), i
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+    odd = ["", " ", "a", "i d i o t", "* i * d - i o t you", "id iot", "wor thless fool", "x" * 40 + "idiot", "i-d--i-o-t s**t", "one 2 3 4 five", "ß é 漢字漢字 ok", "a b", "a b c d"]
+    scored = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    for r in toxicity.toxicity(scored, model).collect():
+        assert r.score == pytest.approx(plain_score(model, odd[r.doc_id]), abs=1e-9), odd[r.doc_id]
+
+
 def test_record_frames_and_checksums():
     assert crc.crc32c(np.frombuffer(b"123456789", np.uint8), np.array([9]))[0] == 0xE3069283
     rng = np.random.default_rng(0)
