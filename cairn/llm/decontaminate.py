@@ -3,16 +3,19 @@ found by backward search, located by sampled suffix positions, and merged to rem
 
 from __future__ import annotations
 
+import functools
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._work import lean, mapped_bytes, read_table, slices, text_or_empty, words_of
+from ._work import lean, mapped_bytes, read_table, slices, text_or_empty, work_dir, words_of
 from .fm_index import FMIndex
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -21,6 +24,8 @@ WORD_BYTES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in _LOWER)
 SPANS = "doc_id long, n_words long, n_hit long, spans array<struct<first:int,last:int>>, items array<string>, row "
 #: Windows that are searched at a time.
 TOGETHER = 1 << 18
+#: What the name of a block's words ends with.
+WORDS = ".words"
 
 
 class Windows:
@@ -50,43 +55,84 @@ class Windows:
         self.owner_at = np.searchsorted(pair // max(1, len(names)), np.arange(len(self.start) + 1))
 
 
-def _spans(phrases: Broadcast, shard_words: int):
+def _write_block(uri: str, window: int):
+    """Writes the windows of a task's items, and their words apart, and returns the file's name. A task that runs
+    again writes another file; only the names that came back are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = [pair for batch in batches for pair in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist())]
+        if items:
+            fs, root = pafs.FileSystem.from_uri(uri)
+            name, block = f"{root}/{uuid.uuid4().hex}", Windows(items, window)
+            for path, part in ((name, block), (name + WORDS, block.vocabulary)):
+                with fs.open_output_stream(path) as sink:
+                    sink.write(pickle.dumps(part))
+            yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    return run
+
+
+def _read(fs: pafs.FileSystem, name: str) -> Windows | pa.Array:
+    with fs.open_input_stream(name) as file:
+        return pickle.loads(file.read())
+
+
+def _spans(uri: str, names: list[str], shard_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: Windows = phrases.value
-        vocabulary, names = block.vocabulary, block.names
+        fs, _ = pafs.FileSystem.from_uri(uri)
+        read = functools.lru_cache(maxsize=2)(functools.partial(_read, fs))  # a block and its words
 
-        def shard(ids: list[pa.Array], keys: list[pa.Array], texts: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        def shard(ids: list[pa.Array], keys: list[pa.Array], coded: list[pa.DictionaryArray], sizes: list[np.ndarray]) -> pa.RecordBatch:
             size = np.concatenate(sizes)
-            text = np.concatenate(texts)
             begins = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
-            index = FMIndex(text, len(vocabulary))
+            one = pa.chunked_array(coded).unify_dictionaries()
+            words = one.chunk(0).dictionary
+            known = np.zeros(len(words), bool)
+            for name in names:
+                known |= pc.is_in(words, read(name + WORDS)).to_numpy(zero_copy_only=False)
+            code = np.where(known, np.cumsum(known), 0)
+            symbol = code[np.concatenate([c.indices.to_numpy() for c in one.chunks])]
+            text = np.insert(symbol, np.cumsum(size), 0)
+            index = FMIndex(text, int(known.sum()))
             doc_of = np.repeat(np.arange(len(begins)), size + 1)
-            edge, pairs = np.zeros(len(text) + 1, np.int64), [np.zeros(0, np.int64)]
-            for w in range(0, len(block.start), TOGETHER):
-                start, length = block.start[w : w + TOGETHER], block.length[w : w + TOGETHER]
-                low, high = index.search(block.symbol, start, length)
-                n = high - low
-                pattern = np.repeat(np.arange(len(start)), n)
-                at = index.locate(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n))
-                edge += np.bincount(at, minlength=len(text) + 1) - np.bincount(at + length[pattern], minlength=len(text) + 1)
-                # each window once a document, then the items it stands in
-                met = np.unique(doc_of[at] * np.int64(len(start)) + pattern)
-                doc, pattern = met // len(start), met % len(start) + w
-                k = block.owner_at[pattern + 1] - block.owner_at[pattern]
-                item = block.owner[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(block.owner_at[pattern], k)]
-                pairs.append(np.unique(np.repeat(doc, k) * np.int64(max(1, len(names))) + item))
+            edge, docs, items = np.zeros(len(text) + 1, np.int64), [np.zeros(0, np.int64)], [pa.array([], pa.string())]
+            for name in names:
+                block = read(name)
+                here = pc.index_in(block.vocabulary, words)
+                symbols = np.where(here.is_valid().to_numpy(zero_copy_only=False), code[here.fill_null(0).to_numpy()] if len(words) else 0, 0)[block.symbol - 1]
+                lacks = np.concatenate(([0], np.cumsum(symbols == 0)))
+                able = np.flatnonzero(lacks[block.start + block.length] == lacks[block.start])
+                for w in range(0, len(able), TOGETHER):
+                    part = able[w : w + TOGETHER]
+                    start, length = block.start[part], block.length[part]
+                    low, high = index.search(symbols, start, length)
+                    n = high - low
+                    pattern = np.repeat(np.arange(len(start)), n)
+                    at = index.locate(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n))
+                    edge += np.bincount(at, minlength=len(text) + 1) - np.bincount(at + length[pattern], minlength=len(text) + 1)
+                    # each window once a document, then the items it stands in
+                    met = np.unique(doc_of[at] * np.int64(len(start)) + pattern)
+                    doc, pattern = met // len(start), part[met % len(start)]
+                    k = block.owner_at[pattern + 1] - block.owner_at[pattern]
+                    item = block.owner[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(block.owner_at[pattern], k)]
+                    pair = np.unique(np.repeat(doc, k) * np.int64(max(1, len(block.names))) + item)
+                    docs.append(pair // max(1, len(block.names)))
+                    items.append(pa.array(block.names, pa.string()).take(pa.array(pair % max(1, len(block.names)))))
             hit = np.cumsum(edge)[:-1] > 0
             n_hit = np.add.reduceat(hit, begins, dtype=np.int64)
             turn = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
             first, last = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
             of = np.searchsorted(begins, first, "right") - 1
             span_at = np.searchsorted(of, np.arange(len(begins) + 1)).astype(np.int32)
-            pair = np.unique(np.concatenate(pairs))
-            item_at = np.searchsorted(pair // max(1, len(names)), np.arange(len(begins) + 1)).astype(np.int32)
+            found = pa.concat_arrays(items).dictionary_encode()
+            order = pc.sort_indices(found.dictionary).to_numpy()
+            place, many = np.argsort(order), max(1, len(order))
+            pair = np.unique(np.concatenate(docs) * np.int64(many) + place[found.indices.to_numpy()])
+            item_at = np.searchsorted(pair // many, np.arange(len(begins) + 1)).astype(np.int32)
             spans = pa.StructArray.from_arrays([pa.array((x - begins[of]).astype(np.int32)) for x in (first, last)], ["first", "last"])
-            found = pa.array(names, pa.string()).take(pa.array(pair % max(1, len(names))))
+            listed = found.dictionary.take(pa.array(order[pair % many] if len(order) else pair))
             return pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(ids), pa.array(size), pa.array(n_hit), pa.ListArray.from_arrays(span_at, spans), pa.ListArray.from_arrays(item_at, found), pa.concat_arrays(keys)],
+                [pa.concat_arrays(ids), pa.array(size), pa.array(n_hit), pa.ListArray.from_arrays(span_at, spans), pa.ListArray.from_arrays(item_at, listed), pa.concat_arrays(keys)],
                 ["doc_id", "n_words", "n_hit", "spans", "items", "row"],
             )
 
@@ -94,11 +140,10 @@ def _spans(phrases: Broadcast, shard_words: int):
         words = 0
         for batch in slices(batches, "text"):
             flat, offsets = words_of(mapped_bytes(batch.column("text"), WORD_BYTES))
-            symbol = pc.index_in(flat, vocabulary).fill_null(-1).to_numpy() + 1
-            text = np.insert(symbol, offsets[1:], 0)
-            for part, value in zip(held, (batch.column("doc_id"), batch.column("row"), text, np.diff(offsets))):
+            size = np.diff(offsets)
+            for part, value in zip(held, (batch.column("doc_id"), batch.column("row"), flat.dictionary_encode(), size)):
                 part.append(value)
-            words += len(text)
+            words += len(flat) + len(size)
             if words >= shard_words:
                 yield shard(*held)
                 held, words = ([], [], [], []), 0
@@ -119,10 +164,10 @@ def contamination(
     repeated with one id count once, and a null item id marks words but isn't listed. Repeated
     documents are each judged by themselves. Other columns aren't carried.
 
-    Each task indexes shards of about ``shard_words`` words (one document at least). The benchmark is
-    broadcast in blocks of about ``block_bytes`` of text, as many as it needs: a block of two-letter words and
-    spaces takes some 40 MB in a task. More than one are merged by (doc_id, text hash), and rows equal in
-    both come out as often as they went in."""
+    Each task indexes shards of about ``shard_words`` words (one document at least) once, over the shard's own
+    words that the benchmark has. Tasks make the benchmark's windows as files of about ``block_bytes`` of text (one
+    item at least), as many as it needs, and each shard is searched for one file after another: a block of
+    two-letter words and spaces takes some 40 MB in a task. Documents are read once, whatever the benchmark's size."""
     found = _judged(docs, benchmark, [], window, share, shard_words, block_bytes)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "spans", "items")
 
@@ -133,36 +178,18 @@ def contaminated_rows(rows: DataFrame, benchmark: DataFrame, window: int = 13, s
 
 
 def _judged(docs: DataFrame, benchmark: DataFrame, row: list[str], window: int, share: int, shard_words: int, block_bytes: int) -> DataFrame:
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_or_empty(F.col("text")).alias("text"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_or_empty(F.col("text")).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    text = docs.select("doc_id", text_or_empty(F.col("text")).alias("text"), *(F.col(r).alias("row") for r in row))
-    if not row:  # one block needs no merging
-        text = text.withColumn("row", F.sha2("text", 256) if blocks > 1 else F.lit(""))
-    found = None
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        phrases = spark.sparkContext.broadcast(Windows([tuple(r) for r in part.toLocalIterator()], window))
-        rows = text.mapInArrow(lean(_spans(phrases, shard_words)), SPANS + ("struct<file:long,at:long>" if row else "string"))
-        found = rows if found is None else found.unionByName(rows)
-    if blocks > 1:
-        found = _merged(found, blocks)
+    uri = work_dir(docs.sparkSession, "windows")
+    fs, root = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(root)
+    blocks = items.repartition(max(1, -(-size // block_bytes)), "item_id", "text").mapInArrow(lean(_write_block(uri, window)), "name string")
+    names = sorted(r.name for r in blocks.collect())  # a name for each block
+    text = docs.select("doc_id", text_or_empty(F.col("text")).alias("text"), *([F.col(r).alias("row") for r in row] or [F.lit("").alias("row")]))
+    found = text.mapInArrow(lean(_spans(uri, names, shard_words)), SPANS + ("struct<file:long,at:long>" if row else "string"))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
-def _merged(found: DataFrame, blocks: int) -> DataFrame:
-    """Spans of several benchmark blocks as one set per row; word positions are covered once. Equal rows
-    have equal spans in each block, so they are merged once and repeated."""
-    lists = [F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")]
-    both = found.groupBy("doc_id", "row").agg(*lists, (F.count(F.lit(1)) / blocks).cast("int").alias("copies"))
-    empty = F.expr("cast(array() as array<struct<first:int,last:int>>)")
-    grow = lambda out, x: F.when((F.size(out) > 0) & (F.element_at(out, -1)["last"] >= x["first"]), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(F.element_at(out, -1)["first"].alias("first"), F.greatest(F.element_at(out, -1)["last"], x["last"]).alias("last"))))).otherwise(F.concat(out, F.array(x)))
-    merged = both.withColumn("spans", F.when(F.size("s") == 0, empty).otherwise(F.aggregate("s", empty, grow)))
-    merged = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return merged.select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"]).alias("n_hit"), "spans", "items", "row")
-
-
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

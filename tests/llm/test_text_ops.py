@@ -562,3 +562,13 @@ def test_decontamination_judges_each_row_for_any_number_of_blocks(spark, block):
     keyed = with_rows(d)
     left = without_rows(keyed, decontaminate.contaminated_rows(keyed, b, block_bytes=block))
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([(None, None), (None, None), (None, "x y z w"), (1, "")], key=repr)
+
+
+def test_decontamination_reads_documents_once_for_any_number_of_blocks(spark, tmp_path):
+    spark.createDataFrame([(k, f"a{k} b{k} c{k} d") for k in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    d = spark.read.parquet(f"{tmp_path}/docs")
+    b = spark.createDataFrame([(str(k), f"b{k} c{k}") for k in range(30)], "item_id string, text string")
+    got = decontaminate.contamination(d, b.union(b), block_bytes=20)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("FileScan"), plan.count("MapInArrow"), plan.count("Exchange")) == (1, 1, 0)
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in got.collect()} == {k: (2, [str(k)]) if k < 30 else (0, []) for k in range(40)}
