@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import EDGE_KEY_NAMES
 from ..schemas import EXTRACTED
+from ..sources.shared import dealt
 
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -210,26 +211,32 @@ _NODE_DEFAULTS = dict.fromkeys(("decorators", "args", "arg_names", "returns", "i
 _EDGE_DEFAULTS = dict.fromkeys(("module", "bindings", "is_relative", "level", "source_file"))
 
 
+#: Files whose nodes and edges a task holds as Python objects at a time.
+FILES = 256
+
+
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for repo, path, source in zip(batch.repo_id, batch.path, batch.source):
-            try:
-                nodes, edges = extract_file(repo, path, source)
-                for rows_of, defaults in ((nodes, _NODE_DEFAULTS), (edges, _EDGE_DEFAULTS)):
-                    for r in rows_of:
-                        r["attributes"] = defaults | r["attributes"]
-                rows.append((repo, path, nodes, edges, None))
-            except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-                rows.append((repo, path, [], [], f"{type(e).__name__}: {e}"))
-        yield pd.DataFrame(rows, columns=["repo_id", "path", "nodes", "edges", "error"])
+    for whole in batches:
+        for a in range(0, len(whole), FILES):
+            batch, rows = whole[a : a + FILES], []
+            for repo, path, source in zip(batch.repo_id, batch.path, batch.source):
+                try:
+                    nodes, edges = extract_file(repo, path, source)
+                    for rows_of, defaults in ((nodes, _NODE_DEFAULTS), (edges, _EDGE_DEFAULTS)):
+                        for r in rows_of:
+                            r["attributes"] = defaults | r["attributes"]
+                    rows.append((repo, path, nodes, edges, None))
+                except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+                    rows.append((repo, path, [], [], f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["repo_id", "path", "nodes", "edges", "error"])
 
 
 def extract(sources: DataFrame) -> DataFrame:
-    """One row a file: its nodes and edges, or the error of one that can't be parsed. No shuffle. Null
-    sources and paths give no row."""
+    """One row a file: its nodes and edges, or the error of one that can't be parsed. Null sources and paths give
+    no row. Files are dealt to all cores first: a file takes far longer to parse than to move, and a table
+    of many small files may lie in one partition."""
     rows = sources.select("repo_id", "path", "source").filter("path is not null and source is not null")
-    return rows.mapInPandas(_extract, EXTRACTED)
+    return dealt(rows, "repo_id", "path").mapInPandas(_extract, EXTRACTED)
 
 
 def nodes_of(extracted: DataFrame, kind: str | None = None) -> DataFrame:

@@ -85,3 +85,20 @@ def test_broken_files_are_rejected_and_others_go_on(spark):
 def test_empty_table(spark):
     out = X.extract(spark.createDataFrame([], "repo_id string, path string, source string"))
     assert X.nodes_of(out).count() == X.edges_of(out).count() == X.rejects_of(out).count() == 0
+
+
+def test_files_of_one_partition_are_dealt_to_all_cores(spark):
+    rows = spark.createDataFrame([("r", f"p/m{i}.py", f"def f{i}(): pass\n") for i in range(400)], "repo_id string, path string, source string").coalesce(1)
+    from pyspark.sql import functions as F
+
+    found = X.extract(rows).select("path", F.spark_partition_id().alias("p"), F.size("nodes").alias("n")).collect()
+    assert len(found) == 400 and all(r.n == 2 for r in found)
+    assert len({r.p for r in found}) >= spark.sparkContext.defaultParallelism
+
+
+def test_few_files_are_held_as_objects_at_a_time():
+    import pandas as pd
+
+    batch = pd.DataFrame({"repo_id": "r", "path": [f"m{i}.py" for i in range(X.FILES * 2 + 1)], "source": "x = 1\n"})
+    made = list(X._extract(iter([batch])))
+    assert [len(m) for m in made] == [X.FILES, X.FILES, 1] and [p for m in made for p in m.path] == list(batch.path)
