@@ -295,3 +295,38 @@ def test_hops_leave_the_edges_where_they_lie(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {(1, f"n{i}") for i in range(500)} | {(2, "n1"), (2, "n2")}
+
+
+def test_a_hubs_edges_meet_only_queries_that_found_the_other_end(spark):
+    """Every query finds the hub and one leaf of its own: an edge meets one query, not all of them."""
+    n = 300
+    edges = spark.createDataFrame([("g", f"e{i}", "hub", f"n{i}", None, "calls") for i in range(n)] + [("g", "in", "n1", "hub", "", "calls"), ("g", "open", "hub", None, "x", "calls")], "repo_id string, id string, source_id string, target_id string, target_ref string, type string")
+    found = spark.createDataFrame([(q, "g", i, 0) for q in range(n) for i in ("hub", f"n{q}")], "query_id long, repo_id string, id string, level int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = G.subgraph_edges(found, edges)
+        rows = sorted((r.query_id, r.id) for r in got.collect())
+        plan, most = [got._jdf.queryExecution().executedPlan()], 0
+        while plan:
+            node = plan.pop()
+            if "Join" in node.nodeName():
+                most = max(most, node.metrics().apply("numOutputRows").value())
+            plan += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert rows == sorted([(q, f"e{q}") for q in range(n)] + [(1, "in")])
+    assert 0 < most <= n + 1
+
+
+def test_found_relationships_are_those_of_the_context(spark):
+    nodes = spark.createDataFrame([("g", i, i, t, "p.py", q, k, "", None) for k, (i, t, q) in enumerate([("m", "module", "m"), ("a", "class", "m.a"), ("b", "function", None), ("c", "function", "m.c")])], "repo_id string, id string, name string, type string, path string, qualified_name string, start_line int, raw_source string, summary string")
+    ends = [("m", "a"), ("a", "b"), ("a", "c"), ("b", "a"), ("c", "m"), ("a", "ghost"), ("ghost", "a"), ("b", "b"), ("a", None)]
+    edges = spark.createDataFrame([("g", f"e{k}", s, t, "r" if k % 2 else None, "calls") for k, (s, t) in enumerate(ends)], "repo_id string, id string, source_id string, target_id string, target_ref string, type string")
+    ranked = spark.createDataFrame([(1, "g", "a", 1), (1, "g", "ghost", 2), (2, "g", "m", 1)], "query_id long, repo_id string, id string, rank int")
+    found = G.subgraph_nodes(ranked, edges, 1)
+    context = P.context_nodes(ranked, found, nodes)
+    want = {r.query_id: r.relationships for r in P.render_relationships(context, G.subgraph_edges(found, edges)).collect()}
+    got = {r.query_id: r.relationships for r in P.found_relationships(found, nodes, edges).collect()}
+    assert got == want and len(got[1].splitlines()) == 5
