@@ -19,6 +19,8 @@ from .numbering import numbered
 #: Nodes and estimated tokens of a summary batch, texts of an embedding call, tries of one text.
 MAX_NODES, MAX_TOKENS, OVERHEAD = 20, 50_000, 311
 EMBED_BATCH, TRIES = 8, 3
+#: Rows that a user function's task holds answers of at a time.
+HELD = 256
 #: Rows of a repository that a task packs at a time.
 STRETCH = 4096
 INSTRUCTION = "Summarise each node below in one sentence. Answer with a JSON array of objects with the keys id and summary.\n\n"
@@ -149,12 +151,19 @@ def parse_summaries(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.groupBy("repo_id", F.col("x.id").alias("id")).agg(F.max_by("x.summary", F.struct("batch_no", "pos")).alias("summary")), rejects
 
 
+def _slices(batches: Iterator[pd.DataFrame], rows: int = HELD) -> Iterator[pd.DataFrame]:
+    """The batches, at most ``rows`` rows at a time, so that answers and copies of few rows are held at once."""
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield batch[a : a + rows].reset_index(drop=True)
+
+
 def call_model(prompts: DataFrame, fn: Callable[[list[str]], list[str]], column: str = "prompt", out: str = "response") -> DataFrame:
     """Adds the user function's answer to each prompt, stripped; none gives an empty one."""
     schema = prompts.schema.simpleString().removeprefix("struct<").removesuffix(">")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             answers = fn(list(batch[column]))
             if len(answers) != len(batch):
                 raise ValueError(f"{len(answers)} answers to {len(batch)} prompts")
@@ -187,7 +196,7 @@ def embed(documents: DataFrame, fn: Callable[[list[str]], list[list[float]]], ba
     schema = documents.schema.simpleString().removeprefix("struct<").removesuffix(">")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches, batch_size * max(1, HELD // batch_size)):
             out: list[list[float] | None] = []
             for a in range(0, len(batch), batch_size):
                 texts = list(batch.chunk_text[a : a + batch_size])

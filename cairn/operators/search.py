@@ -24,6 +24,8 @@ PLACES = 6
 WHOLE = "_whole"
 #: Postings of a block, postings that a task inverts at a time, and terms of a query that a first bound is taken from.
 POSTINGS, INVERTED, SEEDS = 128, 1 << 20, 6
+#: Tokens that a task counts at a time.
+COUNTED = 1 << 18
 #: What a score may miss a bound by and still be rounded to it.
 MARGIN = 1e-5
 #: Query vectors a task multiplies at a time, numbers of a written block of vectors, and rings around a pivot.
@@ -36,9 +38,18 @@ def search_documents(nodes: DataFrame) -> DataFrame:
     return rows.select("repo_id", F.col("id").alias("node_id"), "path", "start_line", document(F.col("qualified_name"), F.col("summary"), F.col("raw_source")).alias("text"))
 
 
+def _pieces(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in stretches of rows with at most ``most`` items in a list column, or one row."""
+    ends, a = batch.column(column).offsets.to_numpy().astype(np.int64), 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's tokens as its distinct terms and how often each occurs."""
-    for batch in batches:
+    """Each row's tokens as its distinct terms and how often each occurs, ``COUNTED`` tokens at a time."""
+    for batch in (piece for whole in batches for piece in _pieces(whole, "tokens", COUNTED)):
         tokens = batch.column("tokens")
         coded = tokens.flatten().dictionary_encode()
         offsets = tokens.offsets.to_numpy().astype(np.int64)
@@ -117,7 +128,7 @@ def _inverted(scope: str, block: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole, "terms", INVERTED // 4)):
             held.append(batch)
             n += len(batch.column("terms").flatten())
             if n >= INVERTED:

@@ -330,3 +330,18 @@ def test_found_relationships_are_those_of_the_context(spark):
     want = {r.query_id: r.relationships for r in P.render_relationships(context, G.subgraph_edges(found, edges)).collect()}
     got = {r.query_id: r.relationships for r in P.found_relationships(found, nodes, edges).collect()}
     assert got == want and len(got[1].splitlines()) == 5
+
+
+def test_large_batches_are_worked_on_in_pieces(monkeypatch):
+    import pandas as pd
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "COUNTED", 10)
+    tokens = pa.array([["a", "b", "a"], [], ["c"] * 25, None, ["a"], ["b", "c"]], pa.list_(pa.string()))
+    whole = pa.RecordBatch.from_arrays([pa.array(range(6)), tokens], ["doc", "tokens"]).slice(0, 6)
+    made = list(S._counted(iter([whole, whole.slice(2, 3), whole.slice(0, 0)])))
+    assert len(made) > 3 and all(b.num_rows == 1 or b.column("dl").to_numpy().sum() <= 10 for b in made)
+    rows = [(r["doc"], r["dl"], dict(zip(r["terms"], r["counts"]))) for b in made for r in b.to_pylist()]
+    want = [(0, 3, {"a": 2, "b": 1}), (1, 0, {}), (2, 25, {"c": 25}), (3, 0, {}), (4, 1, {"a": 1}), (5, 2, {"b": 1, "c": 1})]
+    assert rows == want + want[2:5]
+    assert [len(b) for b in I._slices(iter([pd.DataFrame({"x": range(600)})]))] == [256, 256, 88]
