@@ -29,3 +29,14 @@ def walk_key(path: Column) -> Column:
     """Sorts paths as a walk meets them: the files of a folder by name, then its folders by name."""
     parts = F.split(path, "/")
     return F.transform(parts, lambda p, i: F.concat(F.when(i == F.size(parts) - 1, "0").otherwise("1"), p))
+
+
+def packed(id: Column) -> Column:
+    """A key as bytes: SHA-1 digests in half their letters, any other text as it is, told apart by the first byte."""
+    return F.when(id.rlike(r"^[0-9a-f]{40}\z"), F.concat(F.lit(b"h"), F.unhex(id))).otherwise(F.concat(F.lit(b"t"), id.cast("binary")))
+
+
+def unpacked(key: Column) -> Column:
+    """The key that ``packed`` took."""
+    rest = F.substring(key, 2, 2**31 - 1)
+    return F.when(F.substring(key, 1, 1) == F.lit(b"h"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))

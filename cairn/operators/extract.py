@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import EDGE_KEY_NAMES
+from ..functions.keys import EDGE_KEY_NAMES, packed, unpacked
 from ..schemas import EXTRACTED
 from ..sources.shared import dealt
 
@@ -308,16 +308,27 @@ def validate_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.filter("reason is null").drop("reason"), judged.filter("reason is not null")
 
 
-def validate_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, rejects with their reason); sources must be nodes, and targets too where there are any."""
-    ids = nodes.select("repo_id", "id").distinct()
+def judge_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges and why each is rejected (reason; null for a valid one): sources must be nodes, and targets too where
+    there are any.
+
+    What a row itself tells comes first; such rows, and open ones, are dealt by their ids, as their ends may be all
+    the same. The nodes' keys are what a task holds, so edges are shuffled once an end and never sorted."""
+    ids = nodes.select("repo_id", F.col("id").alias("_end"), F.lit(True).alias("_known")).distinct().hint("shuffle_hash")
     blank = lambda c: F.col(c).isNotNull() & (F.trim(c) == "")
-    reason = (
+    own = (
         F.when(F.coalesce(F.trim("id") == "", F.lit(True)), "blank id").when(F.coalesce(F.trim("source_id") == "", F.lit(True)), "blank source")
         .when(blank("target_id"), "blank target").when(F.col("target_id").isNull() & (F.coalesce(F.col("target_ref"), F.lit("")) == ""), "no target")
-        .when(F.col("has_source").isNull(), "unknown source").when(F.col("target_id").isNotNull() & F.col("has_target").isNull(), "unknown target")
     )
-    known = edges.join(ids.select("repo_id", F.col("id").alias("source_id"), F.lit(True).alias("has_source")), ["repo_id", "source_id"], "left")
-    known = known.join(ids.select("repo_id", F.col("id").alias("target_id"), F.lit(True).alias("has_target")), ["repo_id", "target_id"], "left")
-    judged = known.withColumn("reason", reason).select(*edges.columns, "reason")
+    judged = edges.withColumn("reason", own).withColumn("_spread", F.xxhash64("id").cast("string")).withColumn("id", packed(F.col("id")))
+    for end in ("source", "target"):
+        asks = F.col("reason").isNull() & F.col(f"{end}_id").isNotNull()
+        judged = judged.withColumn("_asks", asks).withColumn("_end", F.when(asks, F.col(f"{end}_id")).otherwise(F.col("_spread"))).join(ids, ["repo_id", "_end"], "left")
+        judged = judged.select(*edges.columns, F.xxhash64("id").cast("string").alias("_spread"), F.when(F.col("_asks") & F.col("_known").isNull(), f"unknown {end}").otherwise(F.col("reason")).alias("reason"))
+    return judged.withColumn("id", unpacked(F.col("id"))).drop("_spread")
+
+
+def validate_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, rejects with their reason): see ``judge_edges``."""
+    judged = judge_edges(edges, nodes)
     return judged.filter("reason is null").drop("reason"), judged.filter("reason is not null")

@@ -184,8 +184,8 @@ CASE WHEN source_id LIKE '%7' THEN NULL ELSE target_ref END AS target_ref, type
     FROM ({_BAD_EDGES}) e LEFT JOIN {GN} s ON e.source_id = s.id LEFT JOIN {GN} t ON e.target_id = t.id""",
 )
 def x14(spark: SparkSession, d: str) -> DataFrame:
-    good, bad = X.validate_edges(frame(spark, d, _BAD_EDGES), frame(spark, d, fx.GRAPH_NODES))
-    return good.withColumn("reason", F.lit("")).unionByName(bad).select("repo_id", "id", "reason")
+    judged = X.judge_edges(frame(spark, d, _BAD_EDGES), frame(spark, d, fx.GRAPH_NODES))
+    return judged.select("repo_id", "id", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 # ---- resolution ----

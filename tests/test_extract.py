@@ -1,7 +1,9 @@
 """Golden files for extraction, one quirk each."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from cairn.functions import keys as K
 from cairn.operators import extract as X
 
 
@@ -102,3 +104,22 @@ def test_few_files_are_held_as_objects_at_a_time():
     batch = pd.DataFrame({"repo_id": "r", "path": [f"m{i}.py" for i in range(X.FILES * 2 + 1)], "source": "x = 1\n"})
     made = list(X._extract(iter([batch])))
     assert [len(m) for m in made] == [X.FILES, X.FILES, 1] and [p for m in made for p in m.path] == list(batch.path)
+
+
+def test_edges_are_judged_in_one_pass(spark):
+    nodes = spark.createDataFrame([("g", "a"), ("g", "b"), ("g", "b"), ("h", "z")], "repo_id string, id string")
+    rows = [("1", "a", "b", None, None), ("2", " ", "b", None, "blank source"), ("3", None, "q", None, "blank source"), ("4", "a", "", "x", "blank target"), ("5", "a", None, "", "no target"),
+            ("6", "a", None, "x", None), ("7", "q", None, "x", "unknown source"), ("8", "q", "q", None, "unknown source"), ("9", "a", "z", None, "unknown target"), (" ", "q", "q", None, "blank id"), (None, "a", "b", None, "blank id"), ("b", "", "b", None, "blank source")]
+    edges = spark.createDataFrame([("g", *r[:4]) for r in rows], "repo_id string, id string, source_id string, target_id string, target_ref string")
+    judged = X.judge_edges(edges, nodes)
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == 2 and "Broadcast" not in plan
+    assert sorted(((r.id, r.reason) for r in judged.collect()), key=str) == sorted(((r[0], r[4]) for r in rows), key=str)
+    good, bad = X.validate_edges(edges, nodes)
+    assert good.columns == edges.columns and {r.id for r in good.collect()} == {"1", "6"} and bad.count() == 10
+
+
+def test_packed_keys_come_back(spark):
+    keys = ["da39a3ee5e6b4b0d3255bfef95601890afd80709", "DA39", "abc", "", "0a\n", "ü", "h00", None]
+    rows = spark.createDataFrame([(k,) for k in keys], "id string").select("id", K.packed(F.col("id")).alias("p")).select("id", "p", K.unpacked(F.col("p")).alias("back")).collect()
+    assert [r.back for r in rows] == keys and len(rows[0].p) == 21
