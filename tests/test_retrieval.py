@@ -345,3 +345,40 @@ def test_large_batches_are_worked_on_in_pieces(monkeypatch):
     want = [(0, 3, {"a": 2, "b": 1}), (1, 0, {}), (2, 25, {"c": 25}), (3, 0, {}), (4, 1, {"a": 1}), (5, 2, {"b": 1, "c": 1})]
     assert rows == want + want[2:5]
     assert [len(b) for b in I._slices(iter([pd.DataFrame({"x": range(600)})]))] == [256, 256, 88]
+
+
+def _hub_graph(spark):
+    """Two hubs that share neighbours; queries end at one, both or none, and meet some neighbours sooner."""
+    rng = random.Random(3)
+    pairs = {("hub", f"n{i}") for i in range(300)} | {("hub2", f"n{i}") for i in range(200, 420)} | {("hub", "a"), ("hub2", "a"), ("b", "hub"), ("c", "d"), ("hub", "ghost"), ("b", "n7")}
+    pairs |= {(f"n{rng.randrange(420)}", f"n{rng.randrange(420)}") for _ in range(150)}
+    edges = spark.createDataFrame([("g", f"{x}-{y}", x, y, None, "calls") for x, y in sorted(pairs)], "repo_id string, id string, source_id string, target_id string, target_ref string, type string")
+    ranked = [(q, "g", s, k) for q, seeds in enumerate([["a"], ["b", "n3"], ["c"], ["n1", "n250"], ["hub"], ["hub", "hub2", "none"]]) for k, s in enumerate(seeds, 1)]
+    ids = sorted({x for p in pairs for x in p} - {"ghost"})
+    nodes = spark.createDataFrame([("g", i, i, "module" if k % 9 == 0 else "class", f"{rng.randrange(5)}.py", f"m.{i}", rng.randrange(4), "src", None) for k, i in enumerate(ids)], "repo_id string, id string, name string, type string, path string, qualified_name string, start_line int, raw_source string, summary string")
+    want, near = {}, {}
+    for x, y in pairs - {(x, x) for x, _ in pairs}:
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    for q, _, s, _ in ranked:
+        level, front = 0, {s}
+        for level in range(3):
+            for x in front:
+                want[q, x] = min(level, want.get((q, x), 9))
+            front = {y for x in front for y in near.get(x, ())}
+    return edges, spark.createDataFrame(ranked, "query_id long, repo_id string, id string, rank int"), nodes, want
+
+
+def test_queries_that_end_at_a_hub_leave_its_lists_folded(spark, monkeypatch):
+    edges, ranked, nodes, want = _hub_graph(spark)
+    plain = G.adjacency
+    monkeypatch.setattr(G, "adjacency", lambda edges: plain(edges, longest=40))
+    found = G.reach(ranked, edges, 2)
+    rows = [((r.query_id, r.id), r.level) for r in G.found_nodes(found).collect()]
+    assert sorted(rows) == sorted(want.items())
+    assert {r.query_id: r.hub for r in found.hub.collect()} == {0: "hub", 1: "hub", 3: "hub"}
+    assert found.seen.filter("query_id = 1").count() < 60  # the 300 of the hub stand in its lists alone
+    ids = {r.id for r in nodes.collect()}
+    got = G.subgraph(ranked, nodes, edges, 2)[0].select("query_id", "id", "level", "qualified_name").collect()
+    assert sorted((r.query_id, r.id, r.level) for r in got) == sorted((q, i, n) for (q, i), n in want.items() if i in ids)
+    assert all(r.qualified_name == f"m.{r.id}" for r in got)
