@@ -382,3 +382,24 @@ def test_queries_that_end_at_a_hub_leave_its_lists_folded(spark, monkeypatch):
     got = G.subgraph(ranked, nodes, edges, 2)[0].select("query_id", "id", "level", "qualified_name").collect()
     assert sorted((r.query_id, r.id, r.level) for r in got) == sorted((q, i, n) for (q, i), n in want.items() if i in ids)
     assert all(r.qualified_name == f"m.{r.id}" for r in got)
+
+
+@pytest.mark.parametrize("most", [100_000, 20])
+def test_context_of_folded_hubs_is_in_order(spark, monkeypatch, most):
+    edges, ranked, nodes, want = _hub_graph(spark)
+    plain = G.adjacency
+    monkeypatch.setattr(G, "adjacency", lambda edges: plain(edges, longest=40))
+    monkeypatch.setattr(P, "CHUNK", 16)
+    monkeypatch.setattr(P, "MOST", most)
+    found = G.reach(ranked, edges, 2)
+    node = {r.id: r for r in nodes.collect()}
+    seeds = {(r.query_id, r.id): r["rank"] for r in ranked.collect()}
+    places, order = {}, sorted(((q, n, node[i].path, node[i].start_line, i) for (q, i), n in want.items() if i in node and (q, i) not in seeds))
+    for q, _, _, _, i in order:
+        places[q, i] = sum(1 for k in places if k[0] == q) + 1
+    got = P.context_of(ranked, found, nodes).collect()
+    assert {(r.query_id, r.id): r.pos for r in got if r.role == "RELATED"} == places
+    assert sum(r.role == "RELATED" for r in got) == len(places)
+    assert all(r.raw_source == "src" and r.path == node[r.id].path for r in got)
+    primary = {(r.query_id, r.id): r.pos for r in got if r.role == "PRIMARY"}
+    assert set(primary) == {k for k in seeds if k[1] in node}
