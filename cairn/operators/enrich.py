@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,18 +159,26 @@ def _slices(batches: Iterator[pd.DataFrame], rows: int = HELD) -> Iterator[pd.Da
             yield batch[a : a + rows].reset_index(drop=True)
 
 
+def _answered(fn: Callable[[list[str]], list[str]], column: str, out: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Arrow batches with the answers to ``HELD`` rows at a time: a batch of long prompts is never whole in Python's strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, HELD):
+                part = batch.slice(a, HELD)
+                answers = fn(part.column(column).to_pylist())
+                if len(answers) != part.num_rows:
+                    raise ValueError(f"{len(answers)} answers to {part.num_rows} prompts")
+                made = pa.array([(x or "").strip() for x in answers], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, out])
+
+    return run
+
+
 def call_model(prompts: DataFrame, fn: Callable[[list[str]], list[str]], column: str = "prompt", out: str = "response") -> DataFrame:
     """Adds the user function's answer to each prompt, stripped; none gives an empty one."""
     schema = prompts.schema.simpleString().removeprefix("struct<").removesuffix(">")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _slices(batches):
-            answers = fn(list(batch[column]))
-            if len(answers) != len(batch):
-                raise ValueError(f"{len(answers)} answers to {len(batch)} prompts")
-            yield batch.assign(**{out: [(a or "").strip() for a in answers]})
-
-    return prompts.mapInPandas(run, f"{schema},{out}:string")
+    return prompts.mapInArrow(_answered(fn, column, out), f"{schema},{out}:string")
 
 
 def embed_texts(texts: list[str], fn: Callable[[list[str]], list[list[float]]], wait: float = 5.0) -> list[list[float]]:

@@ -403,3 +403,16 @@ def test_context_of_folded_hubs_is_in_order(spark, monkeypatch, most):
     assert all(r.raw_source == "src" and r.path == node[r.id].path for r in got)
     primary = {(r.query_id, r.id): r.pos for r in got if r.role == "PRIMARY"}
     assert set(primary) == {k for k in seeds if k[1] in node}
+
+
+def test_answers_hold_few_prompts_as_strings():
+    import pyarrow as pa
+
+    asked = []
+    batch = pa.RecordBatch.from_pydict({"query_id": list(range(600)), "prompt": [None, *(f"p{i}" for i in range(1, 600))]})
+    answer = lambda prompts: asked.append(len(prompts)) or [p and f" {p}! " for p in prompts]
+    made = list(I._answered(answer, "prompt", "response")(iter([batch, batch.slice(0, 0)])))
+    assert asked == [256, 256, 88] and all(b.schema.names == ["query_id", "prompt", "response"] for b in made)
+    assert [r for b in made for r in b.column("response").to_pylist()] == ["", *(f"p{i}!" for i in range(1, 600))]
+    with pytest.raises(ValueError):
+        list(I._answered(lambda prompts: [], "prompt", "response")(iter([batch])))
