@@ -24,6 +24,8 @@ WORD_BYTES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in _LOWER)
 SPANS = "doc_id long, n_words long, n_hit long, spans array<struct<first:int,last:int>>, items array<string>, row "
 #: Windows that are searched at a time.
 TOGETHER = 1 << 18
+#: Bytes of text that are split to words at a time, less than a shard's, so that a shard ends near its bound.
+SLICE = 1 << 20
 #: What the name of a block's words ends with.
 WORDS = ".words"
 
@@ -138,7 +140,7 @@ def _spans(uri: str, names: list[str], shard_words: int):
 
         held: tuple[list, list, list, list] = ([], [], [], [])
         words = 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             flat, offsets = words_of(mapped_bytes(batch.column("text"), WORD_BYTES))
             size = np.diff(offsets)
             for part, value in zip(held, (batch.column("doc_id"), batch.column("row"), flat.dictionary_encode(), size)):

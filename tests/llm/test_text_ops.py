@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import bpe_table, crc, decontaminate, fm_index, html_text, license_scan, token_records, toxicity, web_archive
-from cairn.llm._work import with_rows, work_dir
+from cairn.llm._work import small_batches, with_rows, work_dir
 from cairn.llm.bloom import without_rows
 
 P = pytest.importorskip("public_tokenizers")
@@ -572,3 +572,31 @@ def test_decontamination_reads_documents_once_for_any_number_of_blocks(spark, tm
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert (plan.count("FileScan"), plan.count("MapInArrow"), plan.count("Exchange")) == (1, 1, 0)
     assert {r.doc_id: (r.n_hit, r["items"]) for r in got.collect()} == {k: (2, [str(k)]) if k < 30 else (0, []) for k in range(40)}
+
+
+def test_decontamination_indexes_no_more_than_a_shard_at_a_time(tmp_path, monkeypatch):
+    texts, sizes = ["word " * 1000] * 800 + ["a b c"], []
+    uri = tmp_path.as_uri()
+    items = pa.RecordBatch.from_pydict({"item_id": ["1"], "text": ["a b c"]})
+    names = [n for out in decontaminate._write_block(uri, 13)(iter([items])) for n in out.column("name").to_pylist()]
+    index = decontaminate.FMIndex
+    monkeypatch.setattr(decontaminate, "FMIndex", lambda text, sigma: sizes.append(len(text)) or index(text, sigma))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "row": [""] * len(texts)})
+    out = list(decontaminate._spans(uri, names, 1 << 18)(iter([batch])))
+    assert sum(sizes) == 800 * 1001 + 4 and max(sizes) <= 2 << 18
+    assert [h for o in out for h in o.column("n_hit").to_pylist()] == [0] * 800 + [3]
+
+
+def test_batches_of_texts_end_by_their_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    small_batches(spark)
+    docs = spark.range(0, 1000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 20_000).alias("text"))
+    sizes = [r.bytes for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"bytes": [b.nbytes]}) for b in batches), "bytes long").collect()]
+    assert sum(sizes) > 20_000_000 and max(sizes) < 5_000_000
+    for own in (str(1 << 20), "64m"):  # a smaller bound and one with a unit stay
+        spark.conf.set(name, own)
+        small_batches(spark)
+        assert spark.conf.get(name) == own
+    spark.conf.unset(name)
+    small_batches(spark)
