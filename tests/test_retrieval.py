@@ -416,3 +416,24 @@ def test_answers_hold_few_prompts_as_strings():
     assert [r for b in made for r in b.column("response").to_pylist()] == ["", *(f"p{i}!" for i in range(1, 600))]
     with pytest.raises(ValueError):
         list(I._answered(lambda prompts: [], "prompt", "response")(iter([batch])))
+
+
+@pytest.mark.parametrize("depth, longest", [(0, 40), (1, 40), (2, 40), (2, 1000), (3, 40)])
+def test_edges_of_what_was_reached_are_those_between_found_nodes(spark, monkeypatch, depth, longest):
+    """Between a hub's members, between them and nodes found row by row, loops and parallel edges; no row of a query
+    that met a hub by its lists is asked for."""
+    edges, ranked, nodes, _ = _hub_graph(spark)
+    more = [("g", "loop", "n5", "n5", None, "calls"), ("g", "a" * 40, "hub", "n5", None, "again"), ("g", "open", "n5", None, "x", "calls"), ("g", "hubloop", "hub", "hub", None, "calls")]
+    edges = edges.unionByName(spark.createDataFrame(more, edges.schema))
+    plain = G.adjacency
+    monkeypatch.setattr(G, "adjacency", lambda edges: plain(edges, longest=longest))
+    found = G.reach(ranked, edges, depth)
+    assert (found.hub is not None) == (depth > 0 and longest == 40)
+    known = {(r.query_id, r.id) for r in G.found_nodes(found).collect()}
+    modules = {r.id for r in nodes.filter("type = 'module'").collect()}
+    rows = edges.collect()
+    for but in (set(), modules):
+        want = sorted((q, *e) for e in rows for q in range(6) if (q, e.source_id) in known and (q, e.target_id) in known and not {e.source_id, e.target_id} & but)
+        got = G.reached_edges(found, edges, nodes.filter("type = 'module'").select("repo_id", "id") if but else None)
+        key = lambda r: tuple(map(str, r))
+        assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(want, key=key)
