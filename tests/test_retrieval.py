@@ -437,3 +437,16 @@ def test_edges_of_what_was_reached_are_those_between_found_nodes(spark, monkeypa
         got = G.reached_edges(found, edges, nodes.filter("type = 'module'").select("repo_id", "id") if but else None)
         key = lambda r: tuple(map(str, r))
         assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_relationships_of_what_was_reached_are_those_of_the_context(spark, monkeypatch):
+    edges, ranked, nodes, _ = _hub_graph(spark)
+    edges = edges.unionByName(spark.createDataFrame([("g", i, "n5", "n6", None, "calls") for i in ("a" * 40, "f" * 40, "g" * 40, "B" * 40)], edges.schema))
+    plain = G.adjacency
+    monkeypatch.setattr(G, "adjacency", lambda edges: plain(edges, longest=40))
+    found = G.reach(ranked, edges, 2)
+    every = G.found_nodes(found)
+    want = P.render_relationships(P.context_nodes(ranked, every, nodes), G.subgraph_edges(every, edges))
+    got = P.reached_relationships(found, nodes, edges)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 4
+    assert dict(G.packed_edges(found, edges).dtypes)["id"] == "binary"  # as ids reach their queries
