@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import EDGE_KEY_NAMES, packed, unpacked
 from ..schemas import EXTRACTED
-from ..sources.shared import dealt
+from ..sources.shared import dealt, stored
 
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -308,23 +308,38 @@ def validate_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.filter("reason is null").drop("reason"), judged.filter("reason is not null")
 
 
+#: Targets of edges that are told apart by themselves, and those among them that no node has and that go to all edges.
+SMALL, MOST_UNKNOWN = 10_000, 1_000_000
+
+
 def judge_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges and why each is rejected (reason; null for a valid one): sources must be nodes, and targets too where
     there are any.
 
     What a row itself tells comes first; such rows, and open ones, are dealt by their ids, as their ends may be all
-    the same. The nodes' keys are what a task holds, so edges are shuffled once an end and never sorted."""
+    the same. The nodes' keys are what a task holds, so edges are shuffled once an end and never sorted. Where edges
+    have over ``SMALL`` targets, these are told apart by themselves first: if up to ``MOST_UNKNOWN`` of them are no
+    nodes, these go to the edges, which then are shuffled by their sources alone, without their targets."""
     ids = nodes.select("repo_id", F.col("id").alias("_end"), F.lit(True).alias("_known")).distinct().hint("shuffle_hash")
+    targets = edges.filter("target_id is not null").select("repo_id", F.col("target_id").alias("_end")).distinct()
+    targets = stored(targets.join(ids, ["repo_id", "_end"], "left"), "targets")
+    unknown = targets.filter("_known is null").select("repo_id", F.col("_end").alias("target_id"), F.lit("unknown target").alias("_gone"))
+    few = targets.count() > SMALL and unknown.limit(MOST_UNKNOWN + 1).count() <= MOST_UNKNOWN
     blank = lambda c: F.col(c).isNotNull() & (F.trim(c) == "")
     own = (
         F.when(F.coalesce(F.trim("id") == "", F.lit(True)), "blank id").when(F.coalesce(F.trim("source_id") == "", F.lit(True)), "blank source")
         .when(blank("target_id"), "blank target").when(F.col("target_id").isNull() & (F.coalesce(F.col("target_ref"), F.lit("")) == ""), "no target")
     )
-    judged = edges.withColumn("reason", own).withColumn("_spread", F.xxhash64("id").cast("string")).withColumn("id", packed(F.col("id")))
-    for end in ("source", "target"):
+    spread = F.pmod(F.xxhash64("id"), F.lit(1 << 16)).cast("string")
+    gone = F.lit(None).cast("string")
+    if few:
+        edges, gone = edges.join(F.broadcast(unknown), ["repo_id", "target_id"], "left").select(*edges.columns, "_gone"), F.col("_gone")
+    judged = edges.withColumn("reason", own).withColumn("_spread", spread).withColumn("id", packed(F.col("id")))
+    for end in ("source",) if few else ("source", "target"):
         asks = F.col("reason").isNull() & F.col(f"{end}_id").isNotNull()
         judged = judged.withColumn("_asks", asks).withColumn("_end", F.when(asks, F.col(f"{end}_id")).otherwise(F.col("_spread"))).join(ids, ["repo_id", "_end"], "left")
-        judged = judged.select(*edges.columns, F.xxhash64("id").cast("string").alias("_spread"), F.when(F.col("_asks") & F.col("_known").isNull(), f"unknown {end}").otherwise(F.col("reason")).alias("reason"))
+        judged = judged.select(*edges.columns, spread.alias("_spread"), F.when(F.col("_asks") & F.col("_known").isNull(), f"unknown {end}").otherwise(F.col("reason")).alias("reason"))
+    judged = judged.withColumn("reason", F.coalesce("reason", gone)).drop("_gone")
     return judged.withColumn("id", unpacked(F.col("id"))).drop("_spread")
 
 

@@ -123,3 +123,16 @@ def test_packed_keys_come_back(spark):
     keys = ["da39a3ee5e6b4b0d3255bfef95601890afd80709", "DA39", "abc", "", "0a\n", "ü", "h00", None]
     rows = spark.createDataFrame([(k,) for k in keys], "id string").select("id", K.packed(F.col("id")).alias("p")).select("id", "p", K.unpacked(F.col("p")).alias("back")).collect()
     assert [r.back for r in rows] == keys and len(rows[0].p) == 21
+
+
+@pytest.mark.parametrize("small, most, joins", [(0, 1_000_000, 1), (0, 1, 2), (10_000, 1_000_000, 2)])
+def test_edges_of_few_unknown_targets_are_shuffled_by_their_sources_alone(spark, monkeypatch, small, most, joins):
+    monkeypatch.setattr(X, "SMALL", small)
+    monkeypatch.setattr(X, "MOST_UNKNOWN", most)
+    nodes = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "z")], "repo_id string, id string")
+    rows = [("1", "a", "b", None), ("2", " ", "q", "blank source"), ("3", "a", "", "blank target"), ("4", "a", None, "no target"), ("5", "q", "b", "unknown source"), ("6", "q", "q", "unknown source"), ("7", "a", "z", "unknown target"), ("8", "a", "a", None), ("8", "a", "q", "unknown target")]
+    edges = spark.createDataFrame([("g", *r[:3], None) for r in rows] + [("h", "9", "z", "z", None)], "repo_id string, id string, source_id string, target_id string, target_ref string")
+    judged = X.judge_edges(edges, nodes)
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == joins and plan.count("BroadcastHashJoin") == 2 - joins and "SortMergeJoin" not in plan
+    assert sorted(((r.id, r.reason) for r in judged.collect()), key=str) == sorted([(r[0], r[3]) for r in rows] + [("9", None)], key=str)
