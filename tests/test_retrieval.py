@@ -450,3 +450,36 @@ def test_relationships_of_what_was_reached_are_those_of_the_context(spark, monke
     got = P.reached_relationships(found, nodes, edges)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 4
     assert dict(G.packed_edges(found, edges).dtypes)["id"] == "binary"  # as ids reach their queries
+
+
+def test_links_are_shuffled_once_and_parallel_ones_are_told_apart_in_their_list(spark):
+    """Parallel edges and edges both ways are one neighbour, in one list; no shuffle but that to the lists is made."""
+    rows = [("g", f"e{i}", *p) for i, p in enumerate([("hub", f"n{k % 100}") for k in range(400)] + [(f"n{k}", "hub") for k in range(100)])]
+    edges = spark.createDataFrame(rows, "repo_id string, id string, source_id string, target_id string")
+    shuffled, plain = [], G.bucketed
+    try:
+        G.bucketed = lambda df, *more: shuffled.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, *more)
+        lists, hubs = G.adjacency(edges, longest=50)
+    finally:
+        G.bucketed = plain
+    assert "Aggregate" not in shuffled[0] and "Exchange hashpartitioning(repo_id" not in shuffled[0]
+    found = [t for r in lists.filter("id = 'hub'").collect() for t in r.to]
+    assert sorted(found) == sorted(f"n{k}" for k in range(100)) and [r.id for r in hubs.collect()] == ["hub"]
+
+
+def test_only_what_a_hub_lists_is_left_out_of_it(spark, monkeypatch):
+    """Of the nodes a query has seen, those that its hub doesn't list don't go to the hub's lists."""
+    edges, ranked, nodes, want = _hub_graph(spark)
+    plain = G.adjacency
+    monkeypatch.setattr(G, "adjacency", lambda edges: plain(edges, longest=40))
+    found = G.reach(ranked, edges, 2)
+    listed = {r.id for r in G.hub_members(found).collect()}
+    most = []
+    collect = F.collect_list
+    monkeypatch.setattr(G.F, "collect_list", lambda c: most.append(c) or collect(c))
+    rest = G._of_hubs(found, found.lists, lambda x: x)
+    plan = rest._jdf.queryExecution().optimizedPlan().toString()
+    assert most == ["id"] and plan.count("adjacency") == 2  # the lists themselves, and their members for what is left out
+    got = sorted((r.query_id, r.to) for r in rest.collect())
+    seen = {(r.query_id, r.id) for r in found.seen.collect()}
+    assert got == sorted((q, i) for q in (0, 1, 3) for i in listed if (q, i) not in seen) and len(got) > 300
