@@ -146,8 +146,8 @@ def g2(spark: SparkSession, d: str) -> DataFrame:
 @query("g3_subgraph", f"WITH {_REACH} SELECT query_id, level, n.repo_id, n.id, n.qualified_name, n.type FROM found JOIN {GN} n ON n.id = found.id")
 def g3(spark: SparkSession, d: str) -> DataFrame:
     nodes = frame(spark, d, fx.GRAPH_NODES).select("repo_id", "id", "qualified_name", "type")
-    nodes, _ = G.subgraph(frame(spark, d, fx.GRAPH_SEEDS), nodes, frame(spark, d, fx.GRAPH_EDGES), 2)
-    return nodes.select("query_id", "level", "repo_id", "id", "qualified_name", "type")
+    found = G.reach(frame(spark, d, fx.GRAPH_SEEDS), frame(spark, d, fx.GRAPH_EDGES), 2)
+    return G.labelled_nodes(found, nodes).select("query_id", "level", "repo_id", "id", "qualified_name", "type")
 
 
 def _context(reach: str) -> str:
