@@ -483,3 +483,13 @@ def test_only_what_a_hub_lists_is_left_out_of_it(spark, monkeypatch):
     got = sorted((r.query_id, r.to) for r in rest.collect())
     seen = {(r.query_id, r.id) for r in found.seen.collect()}
     assert got == sorted((q, i) for q in (0, 1, 3) for i in listed if (q, i) not in seen) and len(got) > 300
+
+
+def test_rows_laid_into_chunks_are_shuffled_to_them_once(spark, monkeypatch):
+    edges, ranked, nodes, _ = _hub_graph(spark)
+    plain = G.adjacency
+    monkeypatch.setattr(G, "adjacency", lambda edges: plain(edges, longest=40))
+    monkeypatch.setattr(P, "CHUNK", 16)
+    plan = P.context_of(ranked, G.reach(ranked, edges, 2), nodes)._jdf.queryExecution().executedPlan().toString()
+    moved = plan[: plan.index("REPARTITION_BY_NUM")]
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "collect_list(node" in moved and "Window" not in moved[moved.index("collect_list(node") :]
